@@ -27,7 +27,6 @@ from itertools import groupby
 from operator import itemgetter
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

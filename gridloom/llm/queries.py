@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact_dedup, language_id, projected_ann, repair_files, tier_packing, url_rules
+from gridloom.llm import exact_dedup, language_id, near_dedup, pii_semicrf, projected_ann, repair_files, tier_packing, url_rules
 from gridloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_semicrf.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op9_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_files.encode_to_files(table(spark, sf_dir, "documents"))
 
@@ -36,5 +44,5 @@ def op10_projected_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projected_ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op4_tier_packing, op5_language_id, op6_url_rules, op9_repair_files, op10_projected_ann)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op4_tier_packing, op5_language_id, op6_url_rules, op7_pii_semicrf, op8_near_dedup, op9_repair_files, op10_projected_ann)}
 ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op6_url_rules": url_rules.ORACLE}

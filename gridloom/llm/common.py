@@ -59,3 +59,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
+
+
+class Powers:
+    """Powers of an odd base and of its inverse modulo 2^64, as far as needed, to hash stretches of bytes."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def names(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes, never 0, of data[start:end] for each pair; equal stretches have equal hashes."""
+        n = len(data)
+        if len(self.up) < n:
+            grow = lambda base: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n + 1024, np.uint64(base)))])
+            self.up, self.down = grow(self.BASE), grow(pow(self.BASE, -1, 1 << 64))
+        prefix = np.concatenate([[np.uint64(0)], np.cumsum(data.astype(np.uint64) * self.up[:n])])
+        out = mix64((prefix[end] - prefix[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+        out[out == 0] = 1
+        return out

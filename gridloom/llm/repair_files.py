@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import record, slices, strings
+from gridloom.llm.common import record, slices, utf8
 from gridloom.llm.tokens import BYTE_BPE, encoder
 from gridloom.session import let_workers_import, written
 
@@ -172,14 +172,14 @@ def write_files(docs: DataFrame, path: str = BYTE_BPE, end_id: int = END_ID, sha
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = encoder(path), np.array([end_id], "<u4")
-        kind = "<u2" if max(own.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+        kind = "<u2" if max(own.size, end_id + 1) <= 1 << 16 else "<u4"
         for batch in slices(batches, 1):
-            ids = [np.concatenate([np.frombuffer(x, "<u4"), end]).astype(kind).tobytes() for x in own.encode(strings(batch.column(1)))]
+            ids = [np.concatenate([np.frombuffer(x, "<u4"), end]).astype(kind).tobytes() for x in own.encode(utf8(batch.column(1)))]
             at = np.searchsorted(bounds, batch.column(0).fill_null(-(1 << 63)).to_numpy(), side="right")
             yield record(_CODED_ARROW, at.astype(np.int32), batch.column(0), ids)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = max(encoder(path).tokenizer.get_vocab_size(), end_id + 1)
+        size = max(encoder(path).size, end_id + 1)
         kind = "<u2" if size <= 1 << 16 else "<u4"
         bucket, shard, start, have, held = None, 0, 0, 0, []
 

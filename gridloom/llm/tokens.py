@@ -1,10 +1,12 @@
 """Token ids of a byte-level BPE vocabulary, by the tokenizers library.
 
-A worker keeps the ids of the words it has met (bounded), so that a word is
-encoded once and not each time it occurs. Words are what the vocabulary's own
-pre-tokeniser makes; they are found here by the same pattern with its character
-classes written out, which holds up to U+024F. A text with any character beyond
-goes to the library whole.
+A worker keeps the ids of the words it has met (bounded), so that the library
+encodes a word once and not each time it occurs. Words are what the vocabulary's
+own pre-tokeniser makes: they are found here over the bytes of many texts at
+once by character classes written out up to U+024F, named by a 64-bit hash, and
+looked up in a table, all in numpy. A text with a character beyond, or with an
+apostrophe that may begin a contraction, goes to the library whole; so does a
+word of more than LONGEST bytes.
 """
 
 from __future__ import annotations
@@ -15,77 +17,202 @@ import re
 import numpy as np
 import public_tokenizers
 
+from gridloom.llm.common import Powers, mix64
+
 #: Words whose ids a worker keeps; beyond it the store is emptied.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 1 << 21
+#: Bytes of a word that is kept.
+LONGEST = 64
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
-_L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-_N = "0-9\xb2\xb3\xb9\xbc-\xbe"
-_S = r"\t-\r \x85\xa0"
-#: The public pattern 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+ up to U+024F.
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
-_NEAR = re.compile("[\x00-ɏ]*").fullmatch
+_BLANK, _LETTER, _NUMBER, _OTHER, _END = range(5)
+
+
+def _class_of(c: str) -> int:
+    return _BLANK if re.match("[\t-\r \x85\xa0]", c) else _NUMBER if re.match("[0-9\xb2\xb3\xb9\xbc-\xbe]", c) else _LETTER if c.isalpha() else _OTHER
+
+
+#: Classes of the characters up to U+024F, and of the bytes below 128; 0xFF stands between texts.
+_CLASS = np.array([_class_of(chr(i)) for i in range(0x250)], np.uint8)
+_BYTE_CLASS = np.concatenate([_CLASS[:128], np.full(128, _OTHER, np.uint8)])
+_BYTE_CLASS[0xFF] = _END
+#: Beyond U+024F, or a contraction of the public pattern 's|'t|'re|'ve|'m|'ll|'d.
+_APART = re.compile(rb"[\xca-\xff]|\xc9[\x90-\xbf]|'(?:[stmd]|re|ve|ll)").search
 #: Words that the pre-tokeniser cuts again where they are strung together (a blank, then letters),
 #: and those that it does where a line feed stands between (no blank but one before).
+_L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _PLAIN = re.compile(rf" [{_L}]+").fullmatch
-_SOLID = re.compile(rf" ?[^{_S}]+").fullmatch
+_SOLID = re.compile(r" ?[^\t-\r \x85\xa0]+").fullmatch
+
+
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """Where words start in texts that each end with 0xFF; the byte 0xFF is a word of its own.
+
+    The public pattern, but for contractions: ' ?L+| ?N+| ?O+|S+(?!not S)|S+' for
+    letters L, numbers N, blanks S and others O.
+    """
+    kind = _BYTE_CLASS[data]
+    two = np.flatnonzero((data >= 0xC2) & (data <= 0xC9))
+    if len(two):
+        kind[two] = kind[two + 1] = _CLASS[((data[two] & np.uint8(31)).astype(np.int64) << 6) | (data[two + 1] & np.uint8(63))]
+    run = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == _END)]))
+    of = kind[run]
+    start = np.zeros(len(data), bool)
+    start[run] = True
+    # the last blank before a word is a word by itself or, if it is a space, the word's start
+    before = run[1:][(of[:-1] == _BLANK) & (of[1:] != _END)]
+    last = before - 1
+    last = last - ((data[last] & np.uint8(0xC0)) == 0x80)
+    start[last] = True
+    start[before[data[before - 1] == 32]] = False
+    return np.flatnonzero(start)
+
+
+class WordStore:
+    """A hash table from words' hashes to their ids in a pool."""
+
+    def __init__(self, most: int):
+        self.bits = 16
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.names, self.first, self.count = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, np.uint32)
+
+    def find(self, names: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 if it is unknown."""
+        mask = np.uint64(len(self.keys) - 1)
+        slot = (names & mask).astype(np.int64)
+        key = self.keys[slot]
+        out = np.where(key == names, self.at[slot], -1)
+        go = np.flatnonzero((key != names) & (key != 0))
+        while len(go):
+            slot[go] = (slot[go] + 1) & int(mask)
+            key = self.keys[slot[go]]
+            hit = key == names[go]
+            out[go[hit]] = self.at[slot[go[hit]]]
+            go = go[~hit & (key != 0)]
+        return out
+
+    def _insert(self, names: np.ndarray, numbers: np.ndarray) -> None:
+        mask = np.uint64(len(self.keys) - 1)
+        slot = (names & mask).astype(np.int64)
+        left = np.arange(len(names))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            _, one = np.unique(slot[free], return_index=True)
+            won = free[one]
+            self.keys[slot[won]], self.at[slot[won]] = names[won], numbers[won]
+            done = np.zeros(len(names), bool)
+            done[won] = True
+            left = left[~done[left]]
+            slot[left] = (slot[left] + 1) & int(mask)
+
+    def add(self, names: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """New words, each once, with their ids one after the other."""
+        old = len(self.names)
+        self.names, self.count, self.pool = np.concatenate([self.names, names]), np.concatenate([self.count, counts.astype(np.int32)]), np.concatenate([self.pool, ids])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
+        if 2 * len(self.names) > len(self.keys):
+            while 2 * len(self.names) > 1 << self.bits:
+                self.bits += 1
+            self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            old, names = 0, self.names
+        self._insert(names, np.arange(old, len(self.names), dtype=np.int32))
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = WORDS_KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        size = self.tokenizer.get_vocab_size()
+        self.size = self.tokenizer.get_vocab_size()
         #: Bytes that each id stands for: in a byte-level vocabulary one character is one byte.
-        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.kept: dict[str, bytes] = {}
+        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.size)], np.int64)
+        self.store, self.powers = WordStore(kept), Powers()
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn_strung(self, words: list[str], between: str) -> None:
-        """Encode many words as one text and cut its ids by the bytes they stand for."""
+    def _strung(self, words: list[str], between: str) -> tuple[np.ndarray, np.ndarray]:
+        """Encode many words as one text and cut its ids by the bytes they stand for: counts, ids."""
+        counts, ids = [], []
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            ids = np.frombuffer(self._encode(between.join(part)), "<u4")
+            got = self._whole(between.join(part))
             sizes = np.array([len(w.encode()) for w in part])
             ends = np.cumsum(sizes + len(between)) - len(between)
-            reach = np.cumsum(self.width[ids])
-            stop = np.searchsorted(reach, ends) + 1
-            first = np.searchsorted(reach, ends - sizes, side="right")
-            data = ids.tobytes()
-            for word, a, b in zip(part, (4 * first).tolist(), (4 * stop).tolist()):
-                self.kept[word] = data[a:b]
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _PLAIN(w)]
-        self._learn_strung(plain, "")
-        rest = [w for w in words if w not in self.kept]
-        self._learn_strung([w for w in rest if _SOLID(w)], "\n")
-        for word in rest:
-            if word not in self.kept:
-                self.kept[word] = self._encode(word)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
-        near = [bool(_NEAR(t)) for t in texts]
-        split = [_WORDS(t) if n else None for t, n in zip(texts, near)]
-        if len(self.kept) > WORDS_KEPT:
-            self.kept.clear()
-        new: set[str] = set()
-        for words in split:
-            if words:
-                new.update(words)
-        kept = self.kept
-        if unknown := [w for w in new if w not in kept]:
-            self._learn(unknown)
-        get = kept.__getitem__
-        return [self._encode(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
+            reach = np.cumsum(self.width[got])
+            stop, first = np.searchsorted(reach, ends) + 1, np.searchsorted(reach, ends - sizes, side="right")
+            counts.append(stop - first)
+            if between:
+                keep = np.ones(len(got), bool)
+                keep[stop[:-1]] = False
+                got = got[keep]
+            ids.append(got)
+        return np.concatenate(counts), np.concatenate(ids)
+
+    def _learn(self, names: np.ndarray, words: list[str]) -> None:
+        kind = np.array([0 if _PLAIN(w) else 1 if _SOLID(w) else 2 for w in words])
+        for k, between in ((0, ""), (1, "\n")):
+            if len(at := np.flatnonzero(kind == k)):
+                self.store.add(names[at], *self._strung([words[i] for i in at.tolist()], between))
+        for i in np.flatnonzero(kind == 2).tolist():
+            ids = self._whole(words[i])
+            self.store.add(names[i : i + 1], np.array([len(ids)]), ids)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each UTF-8 text."""
+        out: list[bytes | None] = [self._whole(t.decode("utf-8", "replace")).astype("<u4").tobytes() if _APART(t) else None for t in texts]
+        near = [i for i, x in enumerate(out) if x is None]
+        if near:
+            for i, ids in zip(near, self._encode_near([texts[i] for i in near])):
+                out[i] = ids
+        return out
+
+    def _encode_near(self, texts: list[bytes]) -> list[bytes]:
+        raw = b"\xff".join(texts) + b"\xff"
+        data = np.frombuffer(raw, np.uint8)
+        start = word_starts(data)
+        end = np.concatenate([start[1:], [len(data)]])
+        names = self.powers.names(data, start, end)
+        stops = data[start] == 0xFF
+        long = np.flatnonzero(end - start > LONGEST)
+        if len(self.store.names) > self.store.most:
+            self.store.clear()
+        number = self.store.find(names)
+        unknown = number < 0
+        unknown[stops] = unknown[long] = False
+        if unknown.any():
+            at = np.flatnonzero(unknown)
+            new, first = np.unique(names[at], return_index=True)
+            first = at[first]
+            self._learn(new, [raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())])
+            number[at] = self.store.find(names[at])
+        number[stops] = number[long] = -1
+        count = np.where(number < 0, 0, self.store.count[number])
+        whole = {}
+        for i in long.tolist():
+            whole[i] = self._whole(raw[start[i] : end[i]].decode())
+            count[i] = len(whole[i])
+        reach = np.cumsum(count, dtype=np.int64)
+        begin = reach - count
+        source = np.repeat(np.where(number < 0, 0, self.store.first[number]) - begin, count) + np.arange(reach[-1] if len(reach) else 0)
+        if whole:
+            extra = np.repeat(np.isin(np.arange(len(count)), long), count)
+            source[extra] = 0
+        ids = self.store.pool[source] if len(self.store.pool) else np.zeros(len(source), np.uint32)
+        for i, x in whole.items():
+            ids[begin[i] : reach[i]] = x
+        cuts = [0, *(4 * reach[stops]).tolist()]
+        out = ids.astype("<u4").tobytes()
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 _OWN: dict[str, Encoder] = {}

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import record, slices, strings
+from gridloom.llm.common import record, slices, utf8
 from gridloom.llm.tokens import BYTE_BPE, encoder
 from gridloom.session import let_workers_import
 
@@ -119,11 +119,10 @@ class Packer:
         return True
 
     def pack(self, last: bool = False) -> None:
-        tier = self.window
-        while tier >= self.smallest:
-            while self.lengths >> (tier // 2 if tier > self.smallest else 0) > 1:
-                if not self._fill(tier):
-                    break
+        tier, full = self.window, True
+        while full and tier >= self.smallest:
+            while full and self.lengths >> (tier // 2 if tier > self.smallest else 0) > 1:
+                full = self._fill(tier)
             tier //= 2
         # What is left fills no window of its tier: whole windows of smaller tiers are taken from it.
         left: list[tuple] = []
@@ -179,7 +178,7 @@ def pack_documents(docs: DataFrame, path: str = BYTE_BPE, end_id: int = END_ID,
         own, end = encoder(path), end_id.to_bytes(4, "little")
         packer = Packer(TaskContext.get().partitionId() << 40, window, smallest, step_tokens, pool)
         for batch in slices(batches, 1):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(strings(batch.column(1)))):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(utf8(batch.column(1)))):
                 packer.add(doc_id, ids + end)
             if rows := packer.take():
                 yield record(_OUT_ARROW, *zip(*rows))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that an operator handles at once; a longer text makes a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: The bytes of [\x20\x09-\x0D].
 BLANKS = b" \t\n\r\x0b\x0c"
 
@@ -61,6 +61,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Values of the hash by which rows are pre-selected in a broadcast: bounds its size.
+PRESELECT = 1 << 20
+
+
+def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have an id of ids, rows that surely have none); null counts as an id.
+
+    Rows are selected by a hash of the id in a broadcast of at most PRESELECT
+    values, so that most need no shuffle where ids are few. Where ids are very
+    many all rows may have one, and nothing is lost but the saving.
+    """
+    number = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(PRESELECT))
+    some = ids.select(number(F.col(ids.columns[0])).alias("__number")).distinct()
+    own = docs.withColumn("__own_number", number(F.col(id_col)))
+    join = lambda how: own.join(F.broadcast(some), F.col("__own_number") == F.col("__number"), how).drop("__own_number")
+    return join("left_semi"), join("left_anti")
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id isn't in the only column of ids; docs' columns as they are."""
+    gone = ids.select(F.col(ids.columns[0]).cast("long").alias("__gone")).distinct()
+    maybe, surely = split_by_ids(docs, gone, id_col)
+    kept = maybe.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    return surely.unionByName(kept)
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2^64, as far as needed, to hash stretches of bytes."""
 
@@ -73,7 +99,8 @@ class Powers:
         """64-bit hashes, never 0, of data[start:end] for each pair; equal stretches have equal hashes."""
         n = len(data)
         if len(self.up) < n:
-            grow = lambda base: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n + 1024, np.uint64(base)))])
+            size = -(-n // (1 << 20)) << 20
+            grow = lambda base: np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, np.uint64(base)))])
             self.up, self.down = grow(self.BASE), grow(pow(self.BASE, -1, 1 << 64))
         prefix = np.concatenate([[np.uint64(0)], np.cumsum(data.astype(np.uint64) * self.up[:n])])
         out = mix64((prefix[end] - prefix[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))

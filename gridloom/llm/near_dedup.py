@@ -16,8 +16,9 @@ links to one leader, and their members are set aside. Candidates of too unequal
 size, or of clearly lower similarity by their whole signatures, are dropped, and
 the others are confirmed on the full sets of shingles of their texts. After
 components are found, the buckets set aside whose members lie in several
-components are taken up again: every pair across components is examined, in
-blocks, so that no link is lost that a leader didn't show.
+components are taken up again: their members meet with their whole sets, in
+blocks, so that no link is lost that a leader didn't show. A block gives only
+links that join components, never all of its pairs.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import mix64, record, slices, utf8
+from gridloom.llm.common import Powers, mix64, record, slices, split_by_ids, utf8, without
 from gridloom.session import drop, let_workers_import, written
 
 TABLES = 16
@@ -41,18 +42,16 @@ PERCENT = 80
 LEAST_AGREEMENT = 0.6
 #: Members of a bucket that gives all its pairs.
 SMALL = 8
-#: Members of a band, or block of a bucket, that one task takes.
+#: Members of a band that one task takes.
 HOT = 20_000
-BLOCK = 4096
-#: Values of the hash by which documents are pre-selected in a broadcast: bounds its size.
-PRESELECT = 1 << 20
+#: Members of a block.
+BLOCK = 1024
 
 _VALUES = 2 * TABLES * ROWS
 _SEED = np.random.default_rng(20170612)
 _MUL = (_SEED.integers(1, 1 << 31, _VALUES, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _ADD = _SEED.integers(0, 1 << 32, _VALUES, dtype=np.uint32)
 _MUL2 = (_SEED.integers(1, 1 << 31, _VALUES, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\r\x0b\x0c")] = True
 
@@ -73,38 +72,19 @@ def shingle_set(text: bytes, width: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(w[i:] for i in range(width))))
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2^64, as far as needed."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            base, inverse = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
-            with np.errstate(over="ignore"):
-                self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n + 1024, base))])
-                self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n + 1024, inverse))])
-        return self.up, self.down
-
-
-def word_hashes(texts: list[bytes], powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of lower-cased texts, and each text's number of words."""
     data = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
     starts_of = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    up, down = powers.get(len(data))
-    with np.errstate(over="ignore"):
-        prefix = np.concatenate([[np.uint64(0)], np.cumsum(data.astype(np.uint64) * up[: len(data)])])
-        blank = _BLANK[data]
-        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-        if not blank[0]:
-            edge = np.concatenate([[0], edge])
-        start, end = edge[0::2], edge[1::2]
-        hashes = mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
-    return hashes, np.diff(np.searchsorted(start, starts_of))
+    blank = _BLANK[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edge = np.concatenate([[0], edge])
+    start, end = edge[0::2], edge[1::2]
+    return powers.names(data, start, end), np.diff(np.searchsorted(start, starts_of))
 
 
-def shingle_hashes(texts: list[bytes], width: int, powers: _Powers) -> list[np.ndarray]:
+def shingle_hashes(texts: list[bytes], width: int, powers: Powers) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
     hashes, counts = word_hashes(texts, powers)
     out, at = [], 0
@@ -149,7 +129,7 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _Powers()
+        powers = Powers()
         for batch in slices(batches, 1):
             sets = shingle_hashes(utf8(batch.column(1)), width, powers)
             a, b, low = [[] for _ in sets], [b""] * len(sets), [b""] * len(sets)
@@ -306,42 +286,51 @@ def _confirm(percent: int, width: int):
     return run
 
 
-def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(node, component) for the nodes of edges(one, two), by alternating large and small stars.
+def _local_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition, some at a time, as stars: each node with the smallest it reaches there."""
+    schema = pa.schema([("one", pa.int64()), ("two", pa.int64())])
+    for batch in batches:
+        root: dict[int, int] = {}
+
+        def find(x: int, root=root) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        nodes = list(root)
+        yield record(schema, nodes, [find(x) for x in nodes])
 
-    Every round is a written table. A node with very many neighbours is
-    aggregated before the shuffle, and its edges meet its minimum in a join that
-    can be split.
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of edges(one, two): all but a component's smallest node.
+
+    Rounds of stars: within partitions by union-find, then across them. Each
+    node's smallest neighbour is aggregated before the shuffle, and edges meet
+    it in a join that can be split, so that a node with very many neighbours is
+    no bottleneck. Every round is a written table; it ends when the edges are
+    stars: no node has two smaller ones, and none that has one is itself one.
     """
-    paths: list[str] = []
-    spark = edges.sparkSession
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select(F.col("one").alias("u"), F.col("two").alias("v"))
-        if large:
-            both = both.union(e.select(F.col("two").alias("u"), F.col("one").alias("v")))
-        else:
-            both = e.select(F.greatest("one", "two").alias("u"), F.least("one", "two").alias("v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        met = both.join(low, "u")
-        if large:
-            out = met.where("v > u").select(F.col("v").alias("one"), F.col("m").alias("two"))
-        else:
-            out = met.select(F.col("v").alias("one"), F.col("m").alias("two")).union(low.select(F.col("u").alias("one"), F.col("m").alias("two")))
-        return out.where("one <> two").distinct()
-
-    was = None
+    spark, before = edges.sparkSession, None
+    edges = edges.select(F.greatest("one", "two").alias("one"), F.least("one", "two").alias("two")).where("one <> two")
     while True:
-        edges, path = written(star(star(edges, True), False), "stars")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("one", "two") % (1 << 40))).first())
-        if paths:
-            drop(spark, paths.pop())
-        paths.append(path)
-        if now == was or not now[0]:
-            break
-        was = now
-    found = edges.groupBy(F.col("one").alias("node")).agg(F.min("two").alias("component"))
-    return found, paths
+        edges = edges.mapInArrow(_local_roots, "one long, two long")
+        low = edges.select(F.inline(F.array(F.struct(F.col("one").alias("node"), F.col("two").alias("m")), F.struct(F.col("two").alias("node"), F.col("two").alias("m")))))
+        low = low.groupBy("node").agg(F.min("m").alias("m"))
+        large = edges.join(low, F.col("two") == F.col("node")).select("one", F.col("m").alias("two"))
+        least = large.groupBy(F.col("one").alias("node")).agg(F.min("two").alias("m"))
+        small = large.join(least, F.col("one") == F.col("node")).select(F.inline(F.array(F.struct("one", F.col("m").alias("two")), F.struct(F.col("two").alias("one"), F.col("m").alias("two")))))
+        edges, path = written(small.where("one <> two").distinct(), "stars")
+        if before:
+            drop(spark, before)
+        before = path
+        ends = edges.select(F.inline(F.array(F.struct(F.col("one").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("two").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+        count = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if count.where("up > 1 or (up > 0 and down > 0)").isEmpty():
+            return edges.select(F.col("one").alias("node"), F.col("two").alias("component"))
 
 
 class _Run:
@@ -368,50 +357,114 @@ class _Run:
         dealt = rows.repartition("band", "salt").sortWithinPartitions("band", "salt")
         return written(dealt.mapInArrow(_collide(self.percent), _FOUND), "collisions")[0]
 
+    def texts_of(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, text) of the documents in ids; written."""
+        texts = split_by_ids(self.texts.where("text is not null"), ids, "doc_id")[0]
+        return written(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")[0]
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (one, two) those that the full sets confirm; written."""
         low = self.classes.select("id", "low")
         met = pairs.join(low.withColumnsRenamed({"id": "one", "low": "low1"}), "one").join(low.withColumnsRenamed({"id": "two", "low": "low2"}), "two").select("one", "two", "low1", "low2")
         near, _ = written(met.mapInArrow(_agree(self.percent, LEAST_AGREEMENT), "one long, two long"), "near")
-        ids = near.select(F.explode(F.array("one", "two")).alias("doc_id")).distinct()
-        number = F.pmod(F.xxhash64("doc_id"), F.lit(PRESELECT))
-        some = ids.select(number.alias("number")).distinct()
-        texts = self.texts.where("text is not null").join(F.broadcast(some), number == F.col("number"), "left_semi")
-        texts, _ = written(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+        texts = self.texts_of(near.select(F.explode(F.array("one", "two")).alias("doc_id")).distinct())
         both = near.join(texts.withColumnsRenamed({"doc_id": "two", "text": "text2"}), "two").join(texts.withColumnsRenamed({"doc_id": "one", "text": "text1"}), "one").select("one", "two", "text1", "text2")
         return written(both.mapInArrow(_confirm(self.percent, self.width), "one long, two long"), "links")[0]
 
     def across(self, aside: DataFrame, found: DataFrame) -> DataFrame:
-        """Candidate pairs across components within the buckets set aside."""
+        """Links across components within the buckets set aside, as many as join what can be joined; written.
+
+        Buckets of one component are settled. Components that meet in a bucket
+        make a cluster; of its members, those outside its largest component meet
+        all members, block by block, with their whole sets.
+        """
         labelled = aside.join(found.withColumnRenamed("node", "one"), "one", "left").select("bucket", "one", F.coalesce("component", "one").alias("component"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members")).where("least <> most")
-        rows = labelled.join(mixed, "bucket").join(self.classes.select(F.col("id").alias("one"), "n", "low"), "one")
-        parts = F.ceil(F.col("members") / BLOCK).cast("int")
-        rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("one"), F.col("parts")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "one", "component", "n", "low")
-        percent, least = self.percent, LEAST_AGREEMENT
-
-        def run(block: pa.Table) -> pa.Table:
-            part, ids, comp, n = (block.column(c).to_numpy() for c in ("part", "one", "component", "n"))
-            low = np.frombuffer(b"".join(block.column("low").to_pylist()), np.uint8).reshape(len(ids), _VALUES)
-            p, q = block.column("p")[0].as_py(), block.column("q")[0].as_py()
-            left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
-            values, count = np.unique(comp, return_counts=True)
-            common = values[count.argmax()]
-            out = []
-            for i in left.tolist():
-                # pairs of the commonest component with itself are the bulk, and none of them is asked for
-                others = right[comp[right] != comp[i]] if p == q or comp[i] != common else right[comp[right] != common]
-                if p == q:
-                    others = others[ids[others] > ids[i]]
-                others = others[(100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
-                if len(others):
-                    others = others[(low[others] == low[i]).mean(axis=1) >= least]
-                    out += [(min(ids[i], x), max(ids[i], x)) for x in ids[others].tolist()]
-            return pa.table([[int(x) for x, _ in out], [int(y) for _, y in out]], schema=pa.schema([("one", pa.int64()), ("two", pa.int64())]))
+        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket", "least")
+        members, _ = written(labelled.join(mixed, "bucket").select("one", "component", "least").distinct(), "mixed")
+        met = members.select(F.col("component").alias("one"), F.col("least").alias("two")).where("one <> two").distinct()
+        clusters = components(met).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+        rows = members.select("one", "component").distinct().join(clusters, "component", "left").withColumn("cluster", F.coalesce("cluster", "component"))
+        sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("members"))
+        blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+        largest = largest.select("cluster", F.col("top.component").alias("top"), blocks(F.col("top.n")).alias("inner"), blocks(F.col("members") - F.col("top.n")).alias("outer"))
+        rows = rows.join(largest, "cluster")
+        outside, number = F.col("component") != F.col("top"), F.xxhash64("one")
+        rows = rows.withColumn("part", F.when(outside, F.col("inner") + F.pmod(number, F.col("outer"))).otherwise(F.pmod(number, F.col("inner"))).cast("int"))
+        first = F.when(outside, F.lit(0)).otherwise(F.col("inner"))
+        texts = self.texts_of(rows.select(F.col("one").alias("doc_id")).distinct())
+        sets = texts.mapInArrow(_sets(self.width), "one long, shingles binary")
+        rows = rows.select("cluster", "one", "component", "part", F.explode(F.sequence(first, F.col("inner") + F.col("outer") - 1)).alias("other")).join(sets, "one")
+        rows = rows.select("cluster", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "one", "component", "shingles")
+        return written(rows.groupBy("cluster", "p", "q").applyInArrow(_block_links(self.percent), "one long, two long"), "across")[0].distinct()
+
+
+def _sets(width: int):
+    """Hashes of the whole sets of shingles."""
 
-        return rows.groupBy("bucket", "p", "q").applyInArrow(run, "one long, two long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, schema = Powers(), pa.schema([("one", pa.int64()), ("shingles", pa.binary())])
+        for batch in slices(batches, 1):
+            yield record(schema, batch.column(0), [x.tobytes() for x in shingle_hashes(utf8(batch.column(1)), width, powers)])
+
+    return run
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set."""
+    values = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)))
+    out = np.zeros((len(left), len(right)), np.float32)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row, flat = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.searchsorted(values, flat)
+        hit = at < len(values)
+        hit[hit] = values[at[hit]] == flat[hit]
+        return row[hit], at[hit]
+
+    (lr, lc), (rr, rc) = places(left), places(right)
+    for a in range(0, len(values), columns):
+        parts = []
+        for n, row, col in ((len(left), lr, lc), (len(right), rr, rc)):
+            own = (col >= a) & (col < a + columns)
+            part = np.zeros((n, min(columns, len(values) - a)), np.float32)
+            part[row[own], col[own] - a] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _block_links(percent: int):
+    """Of the members of two blocks, links that join their components."""
+
+    def run(block: pa.Table) -> pa.Table:
+        part, ids, comp = (block.column(c).to_numpy() for c in ("part", "one", "component"))
+        sets = [np.frombuffer(x, np.uint64) for x in block.column("shingles").to_pylist()]
+        p, q = block.column("p")[0].as_py(), block.column("q")[0].as_py()
+        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            size = np.array([len(x) for x in sets], np.float32)
+            both = intersections([sets[i] for i in left], [sets[i] for i in right])
+            linked = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+            label = {int(c): int(c) for c in np.unique(comp)}
+
+            def root(c: int) -> int:
+                while label[c] != c:
+                    label[c] = c = label[label[c]]
+                return c
+
+            for i, row in zip(left.tolist(), linked):
+                mates = right[row & (comp[right] != comp[i])]
+                _, one = np.unique(comp[mates], return_index=True)
+                for j in mates[one].tolist():
+                    a, b = root(int(comp[i])), root(int(comp[j]))
+                    if a != b:
+                        label[a] = b
+                        out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+        return pa.table([[x for x, _ in out], [y for _, y in out]], schema=pa.schema([("one", pa.int64()), ("two", pa.int64())]))
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,12 +484,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     run = _Run(docs, id_col, text_col, width, percent)
     found = run.candidates()
     edges = run.links(found.where("bucket is null").select("one", "two").distinct())
-    labels, _ = components(edges)
+    labels = components(edges)
     aside = found.where("bucket is not null").select("bucket", "one").distinct()
-    more, _ = written(run.across(aside, labels), "across")
+    more = run.across(aside, labels)
+    classes = run.classes.select("id", "digest").join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     if not more.isEmpty():
-        labels, _ = components(edges.union(run.links(more)))
-    classes = run.classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+        # components join components: those are few
+        first = run.links(more).join(labels.withColumnRenamed("node", "one"), "one", "left").select(F.coalesce("component", "one").alias("one"), "two")
+        joined = first.join(labels.withColumnRenamed("node", "two"), "two", "left").select("one", F.coalesce("component", "two").alias("two"))
+        merged = components(joined).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        classes = classes.join(merged, "component", "left").select("digest", F.coalesce("to", "component").alias("component"))
     joined = run.signed.select("doc_id", "n", "digest").join(classes, "digest", "left")
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, that of the smallest id; all columns as they are.
+
+    Documents that are linked with nothing stay, so do rows without an id.
+    """
+    gone, _ = written(near_duplicates(docs, width, percent, id_col, text_col).where(~F.col("kept")).select("doc_id"), "near-copies")
+    return without(docs, gone, id_col)

@@ -28,10 +28,10 @@ from operator import itemgetter
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BLANKS, record, slices, utf8
+from gridloom.llm.common import BLANKS, record, slices, split_by_ids, utf8
 from gridloom.session import let_workers_import, written
 
 #: Partners in a round, itself included.
@@ -146,6 +146,20 @@ def _merged_within_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield record(_ENTRY_ARROW, *batch.columns[:9], runs)
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay; all columns as they are. Rows repeated whole become one."""
+    found = exact_dedup(docs, id_col, text_col)
+    told = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("__kept"), F.min("kept").alias("__all"))
+    told, _ = written(told.where(~F.col("__all")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "__kept"), "copies")
+    maybe, surely = split_by_ids(docs, told.select("__id"), id_col)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = maybe.withColumns({"__own": F.col(id_col).cast("long"), "__own_sha": F.sha2(F.translate(text, BLANKS.decode(), "").cast("binary"), 256)})
+    joined = own.join(told, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__own_sha") == F.col("__sha")), "left")
+    order = Window.partitionBy("__own", "__own_sha").orderBy(F.char_length(text).desc(), text)
+    kept = joined.withColumn("__place", F.row_number().over(order)).where(F.col("__kept").isNull() | (F.col("__kept") & (F.col("__place") == 1)))
+    return surely.unionByName(kept.select(*(F.col(f"`{c}`") for c in docs.columns)))
+
+
 ORACLE = r"""
 with t as (select doc_id, length(coalesce(text, '')) chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) text_sha256 from documents)
 select doc_id, first_value(doc_id) over w keep_id, count(*) over (partition by text_sha256) group_size, first_value(doc_id) over w = doc_id kept, text_sha256

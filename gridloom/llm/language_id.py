@@ -173,3 +173,27 @@ def identify(docs: DataFrame, modulus: int = 4, held_out: int = 2, sample_rows:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (remainder(F.col("doc_id"), modulus) == held_out).alias("held_out"))
     return rows.mapInArrow(run, _OUT)
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs whose language is determined and not ambiguous; all columns as they are.
+
+    Learns as identify does. Rows with null text or without a letter go. If
+    there is nothing to learn from, no language is determined and all go.
+    """
+    let_workers_import(docs.sparkSession)
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    model, at = train(plain, remainder(F.col("doc_id"), 4) != 2, sample_rows), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            texts = batch.column(at).to_pylist()
+            known = [i for i, t in enumerate(texts) if model and t is not None and _LETTER.search(t)]
+            keep = np.zeros(len(texts), bool)
+            for a in range(0, len(known), 1024):
+                part = known[a : a + 1024]
+                keep[part] = model.predict(features(texts[i].encode("utf-8", "surrogatepass") for i in part))[1] >= AMBIGUOUS
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -422,3 +422,29 @@ def redact(text: str, spans: list[Span]) -> str:
             out += [text[at:a], f"<{KINDS[k]}>"]
         at = b
     return "".join(out) + text[at:] if out else text
+
+
+def redact_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars", field: Field | None = None) -> DataFrame:
+    """docs with every span of personal data replaced by its kind in brackets.
+
+    All columns as they are, but for the text and, where there is such a column,
+    its number of characters in rows whose text changed. Null texts stay null.
+    """
+    let_workers_import(docs.sparkSession)
+    field = train(docs, text_col) if field is None else field
+    weights, steps = dict(field.weights), field.steps
+    at, size = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Field(weights, steps)
+        for batch in slices(batches, at):
+            texts = batch.column(at).to_pylist()
+            new = [None if t is None else redact(t, all_spans(t, own)[1]) for t in texts]
+            columns = list(batch.columns)
+            columns[at] = pa.array(new, batch.schema.field(at).type)
+            if size >= 0:
+                sizes = [s if t == n else len(n) for s, t, n in zip(columns[size].to_pylist(), texts, new)]
+                columns[size] = pa.array(sizes, batch.schema.field(size).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -29,18 +29,19 @@ def tissue_em(voxels: DataFrame, priors: DataFrame, keys: list[str], max_iterati
     numbers) on the driver; posteriors are written each round, so that lineage
     stays short and lost executors cost one round.
     """
-    rows, first = written(voxels.join(priors, keys).select(*keys, *(coords or ()), F.col("intensity").cast("double").alias("i"), "tissue", F.col("q").alias("prior")).withColumn("b", F.lit(0.0)), "em-input")
-    spark, state, path = voxels.sparkSession, rows.withColumn("q", F.col("prior")), None
+    beside = [c for c in coords or () if c not in keys]
+    rows, _ = written(voxels.join(priors, keys).select(*keys, *beside, F.col("intensity").cast("double").alias("_i"), "tissue", F.col("q").alias("_prior")).withColumn("_b", F.lit(0.0)), "em-input")
+    spark, state, path = voxels.sparkSession, rows.withColumn("q", F.col("_prior")), None
     last = None
     for iteration in range(max_iterations):
-        value = F.col("i") - F.col("b")
-        stats = state.groupBy("tissue").agg(F.sum("q").alias("w"), F.sum(F.col("q") * value).alias("s"), F.sum(F.col("q") * value * value).alias("ss")).where("w > 0").collect()
-        model = sorted((r["tissue"], r["s"] / r["w"], max(r["ss"] / r["w"] - (r["s"] / r["w"]) ** 2, 1e-6)) for r in stats)
+        value = F.col("_i") - F.col("_b")
+        stats = state.groupBy("tissue").agg(F.sum("q").alias("_w"), F.sum(F.col("q") * value).alias("s"), F.sum(F.col("q") * value * value).alias("ss")).where("_w > 0").collect()
+        model = sorted((r["tissue"], r["s"] / r["_w"], max(r["ss"] / r["_w"] - (r["s"] / r["_w"]) ** 2, 1e-6)) for r in stats)
         if not model:
             break
-        lookup = spark.createDataFrame([(int(t), float(m), float(v)) for t, m, v in model], "tissue int, mean double, var double")
+        lookup = spark.createDataFrame([(int(t), float(m), float(v)) for t, m, v in model], "tissue int, _mean double, _var double")
         e = state.join(F.broadcast(lookup), "tissue")
-        logp = F.log("prior") - 0.5 * F.log("var") - (value - F.col("mean")) ** 2 / (2 * F.col("var"))
+        logp = F.log("_prior") - 0.5 * F.log("_var") - (value - F.col("_mean")) ** 2 / (2 * F.col("_var"))
         if mrf_beta and coords:
             steps = F.array(*(F.struct(*(F.lit(d).alias(f"d{k}") for k, d in enumerate(s))) for s in _FACES))
             rest = [k for k in keys if k not in coords]
@@ -48,15 +49,15 @@ def tissue_em(voxels: DataFrame, priors: DataFrame, keys: list[str], max_iterati
             around = sent.groupBy(*rest, *((F.col(c) + F.col(f"d{k}")).alias(c) for k, c in enumerate(coords)), "tissue").agg(F.sum("_nq").alias("_around"))
             e = e.join(around, [*rest, *coords, "tissue"], "left")
             logp = logp + mrf_beta * F.coalesce("_around", F.lit(0.0))
-        e = e.withColumn("l", F.when(F.col("prior") > 0, logp))
-        top = e.groupBy(*keys).agg(F.max("l").alias("top"))
-        scaled = e.join(top, keys).withColumn("u", F.exp(F.col("l") - F.col("top")))
-        total = scaled.groupBy(*keys).agg(F.sum("u").alias("z"), F.first("top").alias("_t"))
-        new = scaled.join(total.drop("_t"), keys).select(*keys, *[c for c in coords or () if c not in keys], "i", "tissue", "prior", "b", "mean", "var", safe_ratio(F.col("u"), F.col("z")).alias("q"))
-        likelihood = total.agg(F.sum(F.log("z") + F.col("_t"))).first()[0]
+        e = e.withColumn("_l", F.when(F.col("_prior") > 0, logp))
+        top = e.groupBy(*keys).agg(F.max("_l").alias("_top"))
+        scaled = e.join(top, keys).withColumn("_u", F.exp(F.col("_l") - F.col("_top")))
+        total = scaled.groupBy(*keys).agg(F.sum("_u").alias("_z"), F.first("_top").alias("_tt"))
+        new = scaled.join(total.drop("_tt"), keys).select(*keys, *beside, "_i", "tissue", "_prior", "_b", "_mean", "_var", safe_ratio(F.col("_u"), F.col("_z")).alias("q"))
+        likelihood = total.agg(F.sum(F.log("_z") + F.col("_tt"))).first()[0]
         if bias_order and coords:
-            new = new.drop("b").join(bias_field(new, keys, coords, bias_order), keys)
-        state, now = written(new.drop("mean", "var"), "em")
+            new = new.drop("_b").join(bias_field(new, keys, coords, bias_order), keys)
+        state, now = written(new.drop("_mean", "_var"), "em")
         if path:
             drop(spark, path)
         path = now
@@ -76,9 +77,9 @@ def bias_field(state: DataFrame, keys: list[str], coords: tuple[str, str, str],
     scale = state.agg(*(F.greatest(F.max(c), F.lit(1)).cast("double") for c in coords)).first()
     unit = [2 * F.col(c) / F.lit(s) - 1 for c, s in zip(coords, scale)]
     basis = [F.lit(1.0) * unit[0] ** a * unit[1] ** b * unit[2] ** c for a, b, c in powers]
-    per = state.withColumn("w", F.col("q") / F.col("var")).groupBy(*keys, *[c for c in coords if c not in keys]).agg(F.sum("w").alias("w"), F.sum(F.col("w") * (F.col("i") - F.col("mean"))).alias("r"))
+    per = state.withColumn("_w", F.col("q") / F.col("_var")).groupBy(*keys, *[c for c in coords if c not in keys]).agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * (F.col("_i") - F.col("_mean"))).alias("_r"))
     n = len(powers)
-    sums = [F.sum(F.col("w") * basis[j] * basis[k]) for j in range(n) for k in range(j, n)] + [F.sum(F.col("r") * x) for x in basis]
+    sums = [F.sum(F.col("_w") * basis[j] * basis[k]) for j in range(n) for k in range(j, n)] + [F.sum(F.col("_r") * x) for x in basis]
     got = list(per.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first())
     matrix, at = np.zeros((n, n)), 0
     for j in range(n):
@@ -88,4 +89,4 @@ def bias_field(state: DataFrame, keys: list[str], coords: tuple[str, str, str],
     fit = np.linalg.lstsq(matrix + 1e-9 * np.eye(n), np.array(got[at:]), rcond=None)[0]
     fit[powers.index((0, 0, 0))] = 0.0  # a constant belongs to the means
     b = sum((F.lit(float(c)) * x for c, x in zip(fit, basis)), F.lit(0.0))
-    return per.select(*keys, b.alias("b"))
+    return per.select(*keys, b.alias("_b"))

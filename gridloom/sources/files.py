@@ -60,7 +60,7 @@ def read_named_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(path, row, column, value) of text files of numbers; blank lines don't count."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     lines = text.select("path", F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("row", "line"))
     cells = lines.select("path", "row", F.posexplode(F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")).alias("column", "cell"))
     return cells.select("path", "row", "column", F.col("cell").cast("double").alias("value"))

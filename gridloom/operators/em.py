@@ -22,7 +22,7 @@ _FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
 
 def tissue_em(voxels: DataFrame, priors: DataFrame, keys: list[str], max_iterations: int = MAX_ITERATIONS, min_iterations: int = MIN_ITERATIONS, mrf_beta: float = MRF_BETA, bias_order: int = 0, tolerance: float = 1e-4, coords: tuple[str, str, str] | None = None) -> DataFrame:
-    """Posterior of each voxel's classes: keys, tissue, q.
+    """Posterior of each voxel's classes, with the prior: keys, tissue, q, prior.
 
     voxels: keys, intensity (and coords for the field and the bias). priors:
     keys, tissue, q, sparse. The loop keeps classes' means and variances (a few
@@ -64,7 +64,7 @@ def tissue_em(voxels: DataFrame, priors: DataFrame, keys: list[str], max_iterati
         if last is not None and iteration + 1 >= min_iterations and abs(likelihood - last) <= tolerance * abs(last):
             break
         last = likelihood
-    return state.select(*keys, "tissue", "q")
+    return state.select(*keys, "tissue", "q", F.col("_prior").alias("prior"))
 
 
 def bias_field(state: DataFrame, keys: list[str], coords: tuple[str, str, str], order: int) -> DataFrame:

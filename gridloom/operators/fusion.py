@@ -16,6 +16,15 @@ from gridloom.functions.scalars import PRIOR_THRESHOLD, safe_ratio
 BACKGROUND = 0
 
 
+#: Rows up to which a table of labels is broadcast: labels are 16-bit in the volumes that they come from.
+DIMENSION_ROWS = 1 << 16
+
+
+def dimension(df: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
+    """A table of labels or classes, marked for broadcast if a count finds it within bounds; else Spark chooses."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def weighted_vote(votes: DataFrame, keys: list[str], label: str = "label", weight: str = "weight", out: str = "p") -> DataFrame:
     """Sum of weights for each voxel and label, not normalised.
 
@@ -57,7 +66,7 @@ def tissue_prior(proba: DataFrame, structures: DataFrame, keys: list[str], mask:
     structures is a table of labels, of a checked size broadcast by Spark.
     """
     kept = [*keys, *([mask] if mask else [])]
-    mass = proba.join(bridge(structures), "label", "left").groupBy(*kept, "tissue").agg(F.coalesce(F.sum(F.col(p) / F.col("tissues_n")), F.lit(0.0)).alias("q"))
+    mass = proba.join(dimension(bridge(structures)), "label", "left").groupBy(*kept, "tissue").agg(F.coalesce(F.sum(F.col(p) / F.col("tissues_n")), F.lit(0.0)).alias("q"))
     lists = mass.groupBy(*kept).agg(F.collect_list(F.when(F.col("tissue").isNotNull(), F.struct("tissue", "q"))).alias("qs"))
     background = F.struct(F.lit(BACKGROUND).cast("int").alias("tissue"), F.lit(1.0).alias("q"))
     others = lambda x: F.filter(x, lambda y: y["tissue"] != BACKGROUND)
@@ -82,12 +91,16 @@ def on_border(x: Column, y: Column, z: Column, nx: Column, ny: Column, nz: Colum
     return (x == 0) | (y == 0) | (z == 0) | (x == nx - 1) | (y == ny - 1) | (z == nz - 1)
 
 
-def tissue_map(posterior: DataFrame, prior: DataFrame, keys: list[str], border: Column, q: str = "q") -> DataFrame:
-    """Class of each voxel: background on the border and where the prior is certain of it, else the largest posterior."""
-    best = top_label(posterior, keys, "tissue", q).select(*keys, "tissue")
-    sure = prior.where((F.col("tissue") == BACKGROUND) & (F.col("q") == 1)).select(*keys, F.lit(True).alias("_sure"))
-    joined = best.join(sure, keys, "left")
-    return joined.select(*keys, F.when(border | F.coalesce("_sure", F.lit(False)), F.lit(BACKGROUND)).otherwise(F.col("tissue")).cast("int").alias("tissue"))
+def tissue_map(posterior: DataFrame, keys: list[str], border: Column, q: str = "q", prior: str = "prior") -> DataFrame:
+    """Class of each voxel: background on the border and where the prior is certain of it, else the largest q.
+
+    posterior has q and the prior beside each other, so that one aggregation by
+    voxel does; border may use the keys and is the same for all rows of a voxel.
+    """
+    sure = F.max((F.col("tissue") == BACKGROUND) & (F.col(prior) == 1))
+    best = F.max(F.struct(F.col(q), (-F.col("tissue")).alias("m")))
+    found = posterior.groupBy(*keys).agg(best.alias("_b"), sure.alias("_sure"), F.max(border).alias("_border"))
+    return found.select(*keys, F.when(F.col("_border") | F.coalesce("_sure", F.lit(False)), F.lit(BACKGROUND)).otherwise(-F.col("_b.m")).cast("int").alias("tissue"))
 
 
 def constrained_top(proba: DataFrame, tissues: DataFrame, structures: DataFrame, keys: list[str], p: str = "p", require_positive: bool = False, all_labels: bool = True, stop_at_unknown: bool = False) -> DataFrame:
@@ -97,18 +110,20 @@ def constrained_top(proba: DataFrame, tissues: DataFrame, structures: DataFrame,
     label without a row counts with probability 0 (all_labels adds, for voxels
     that nothing else fits, the smallest label of the class). With
     stop_at_unknown a label without structure row that is more probable ends
-    the search.
+    the search. One join and one aggregation by voxel; tables of labels are
+    broadcast within their bound.
     """
-    links = bridge(structures).select("label", "tissue")
-    rows = proba.where(F.col(p) > 0) if require_positive else proba
-    fits = rows.join(tissues, keys).join(links, ["label", "tissue"])
-    best = fits.groupBy(*keys).agg(F.max(F.struct(F.col(p).alias("p"), (-F.col("label")).alias("m"))).alias("b"))
+    links = bridge(structures).select("label", "tissue").distinct()
+    rows = tissues.join(proba.where(F.col(p) > 0) if require_positive else proba, keys, "left")
+    rows = rows.join(dimension(links.withColumn("_fits", F.lit(True))), ["label", "tissue"], "left")
+    value = F.struct(F.col(p).alias("p"), (-F.col("label")).alias("m"))
+    wanted = [F.max(F.when(F.col("_fits"), value)).alias("b")]
     if stop_at_unknown:
-        unknown = rows.join(structures.select("label"), "label", "left_anti").groupBy(*keys).agg(F.max(F.struct(F.col(p).alias("p"), (-F.col("label")).alias("m"))).alias("u"))
-        best = best.join(unknown, keys, "left").where(F.col("u").isNull() | (F.col("b") > F.col("u"))).drop("u")
-    out = tissues.join(best, keys, "left")
-    label = -F.col("b.m")
+        rows = rows.join(dimension(structures.select("label").distinct().withColumn("_known", F.lit(True))), "label", "left")
+        wanted.append(F.max(F.when(F.col("_known").isNull() & F.col("label").isNotNull(), value)).alias("u"))
+    out = rows.groupBy(*keys, "tissue").agg(*wanted)
+    label = F.when(F.col("u").isNull() | (F.col("b") > F.col("u")), -F.col("b.m")) if stop_at_unknown else -F.col("b.m")
     if all_labels and not require_positive and not stop_at_unknown:
         least = links.groupBy("tissue").agg(F.min("label").alias("_least"))
-        out, label = out.join(least, "tissue", "left"), F.coalesce(label, F.col("_least"))
+        out, label = out.join(dimension(least), "tissue", "left"), F.coalesce(label, F.col("_least"))
     return out.select(*keys, "tissue", F.coalesce(label, F.lit(BACKGROUND)).alias("label"))

@@ -75,8 +75,9 @@ least as (select tissue, min(label) label from bridge group by tissue)
 select v.voxel, cast(v.voxel % 6 as int) tissue, cast(coalesce(c.label, least.label, 0) as int) label
 from (select distinct voxel from votes) v left join c on c.voxel = v.voxel and rk = 1 left join least on least.tissue = v.voxel % 6""")
 def constrained_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = proba(spark, sf_dir)
-    tissues = p.select("voxel").distinct().withColumn("tissue", (F.col("voxel") % 6).cast("int"))
+    v = votes(spark, sf_dir)
+    p = fusion.weighted_vote(v, ["voxel"])
+    tissues = v.select("voxel").distinct().withColumn("tissue", (F.col("voxel") % 6).cast("int"))
     return fusion.constrained_top(p, tissues, structures(spark), ["voxel"])
 
 
@@ -86,10 +87,10 @@ select voxel, cast(case when sure = 1 or voxel % 16 in (0, 15) or (voxel // 16)
 from m where rk = 1""")
 def border_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = prior(spark, sf_dir)
-    posterior = q.withColumn("q", F.round("q", 9))
+    posterior = q.select("voxel", "tissue", F.round("q", 9).alias("q"), F.col("q").alias("prior"))
     at = [F.floor(F.col("voxel") / d) % 16 for d in (1, 16, 256)]
     side = F.lit(16)
-    return fusion.tissue_map(posterior, q, ["voxel"], fusion.on_border(*at, side, side, side))
+    return fusion.tissue_map(posterior, ["voxel"], fusion.on_border(*at, side, side, side))
 
 
 @query(f"""with {_VOTES}, {_BRIDGE}, {_VOTE}, {_PRIOR}

@@ -76,11 +76,8 @@ def segment(targets: DataFrame, sources: DataFrame, structures: DataFrame, tissu
     masked = proba.join(targets.select(*KEYS, "mask"), KEYS)
     prior, _ = written(fusion.tissue_prior(masked, structures, KEYS, "mask", options.prior_threshold, mask_hard=options.mask_hard), "prior")
     posterior = em.tissue_em(targets.select(*KEYS, "intensity"), prior, KEYS, options.em_iterations, mrf_beta=options.mrf_beta, bias_order=options.bias_order, coords=("x", "y", "z"))
-    sized = posterior.join(targets.select(*KEYS, *GRID), KEYS)
     border = fusion.on_border(*(F.col(c) for c in ("x", "y", "z", *GRID)))
-    grid = targets.select(*KEYS, *GRID)
-    best = fusion.tissue_map(sized.drop(*GRID), prior, KEYS, F.lit(False)).join(grid, KEYS)
-    classes = best.select(*KEYS, F.when(border, fusion.BACKGROUND).otherwise(F.col("tissue")).cast("int").alias("tissue"))
+    classes = fusion.tissue_map(posterior.join(targets.select(*KEYS, *GRID), KEYS), KEYS, border)
     parcellation = fusion.constrained_top(proba, classes, structures, KEYS)
     return Segmentation(weights, proba, label_map, prior, classes, parcellation)
 

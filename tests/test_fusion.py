@@ -107,10 +107,11 @@ def test_constrained_choice_against_a_loop(spark):
 
 def test_faces_and_certain_voxels_become_background(spark):
     points = list(itertools.product(range(3), repeat=3))
-    q = spark.createDataFrame([(*p, 1, 1.0) for p in points], "x int, y int, z int, tissue int, q double")
+    schema = "x int, y int, z int, tissue int, q double, prior double"
+    q = spark.createDataFrame([(*p, 1, 1.0, 1.0) for p in points], schema)
     n = F.lit(3)
-    got = fusion.tissue_map(q, q, ["x", "y", "z"], fusion.on_border(F.col("x"), F.col("y"), F.col("z"), n, n, n)).collect()
+    got = fusion.tissue_map(q, ["x", "y", "z"], fusion.on_border(F.col("x"), F.col("y"), F.col("z"), n, n, n)).collect()
     assert {(r["x"], r["y"], r["z"]): r["tissue"] for r in got} == {p: int(p == (1, 1, 1)) for p in points}
-    sure = spark.createDataFrame([(1, 1, 1, 0, 1.0)], "x int, y int, z int, tissue int, q double")
-    got = fusion.tissue_map(q, sure, ["x", "y", "z"], F.lit(False)).where("tissue = 0").collect()
+    sure = q.union(spark.createDataFrame([(1, 1, 1, 0, 0.0, 1.0)], schema))
+    got = fusion.tissue_map(sure, ["x", "y", "z"], F.lit(False)).where("tissue = 0").collect()
     assert [(r["x"], r["y"], r["z"]) for r in got] == [(1, 1, 1)]

@@ -29,12 +29,21 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
     )
 
 
+#: Bytes of a record batch to a Python worker: rows may hold very long texts.
+BATCH_BYTES = "8m"
+
+
 def let_workers_import(spark: SparkSession) -> None:
-    """Put the folder of this package on the Python workers' path.
+    """Prepare a session for operators that run Python on the executors.
 
-    Matters only where the package is not installed; an installed one is found
-    before and stays in use.
+    The folder of this package is put on the workers' path; that matters only
+    where the package is not installed, as an installed one is found before.
+    Where the session leaves the bytes of a record batch at Spark's default of
+    64 MB, BATCH_BYTES is set, since a worker and its executor hold several.
     """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("64m", "67108864", "67108864b"):
+        spark.conf.set(key, BATCH_BYTES)
     env = spark.sparkContext.environment
     have = [x for x in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if x]
     if PACKAGE_ROOT not in have:

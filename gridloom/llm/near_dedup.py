@@ -249,7 +249,7 @@ def _collide(percent: int):
     return run
 
 
-def _agree(percent: int, least: float):
+def _agree(least: float):
     """Keeps pairs whose whole signatures agree well enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,13 +346,14 @@ class _Run:
 
     def candidates(self) -> DataFrame:
         """Pairs (one, two) of classes, and members (bucket, one) of the buckets set aside."""
-        # with at most three shingles only equal sets reach the similarity
+        # smaller sets reach the similarity only if they are equal. A band's salt is its own, so that the
+        # members of a hot group meet other leaders in each band and their stars join
         fewest = -(-self.percent // (100 - self.percent)) if self.percent < 100 else 1
         rows = self.classes.where(F.col("n") >= fewest).select("id", "n", "b", F.posexplode("a").alias("i", "a"))
         rows = rows.withColumn("band", F.shiftleft(F.col("i").cast("long"), 32) + F.col("a").cast("long").bitwiseAND(0xFFFFFFFF)).drop("i", "a")
         hot = rows.groupBy("band").count().where(F.col("count") > HOT).select("band", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
         rows = rows.join(hot, "band", "left").select(
-            "band", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("salt"), "id", "n", "b"
+            "band", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id", "band"), F.col("parts")).cast("int")).alias("salt"), "id", "n", "b"
         )
         dealt = rows.repartition("band", "salt").sortWithinPartitions("band", "salt")
         return written(dealt.mapInArrow(_collide(self.percent), _FOUND), "collisions")[0]
@@ -366,7 +367,7 @@ class _Run:
         """Of candidate pairs (one, two) those that the full sets confirm; written."""
         low = self.classes.select("id", "low")
         met = pairs.join(low.withColumnsRenamed({"id": "one", "low": "low1"}), "one").join(low.withColumnsRenamed({"id": "two", "low": "low2"}), "two").select("one", "two", "low1", "low2")
-        near, _ = written(met.mapInArrow(_agree(self.percent, LEAST_AGREEMENT), "one long, two long"), "near")
+        near, _ = written(met.mapInArrow(_agree(LEAST_AGREEMENT), "one long, two long"), "near")
         texts = self.texts_of(near.select(F.explode(F.array("one", "two")).alias("doc_id")).distinct())
         both = near.join(texts.withColumnsRenamed({"doc_id": "two", "text": "text2"}), "two").join(texts.withColumnsRenamed({"doc_id": "one", "text": "text1"}), "one").select("one", "two", "text1", "text2")
         return written(both.mapInArrow(_confirm(self.percent, self.width), "one long, two long"), "links")[0]
@@ -506,3 +507,16 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = PERCENT, id
     """
     gone, _ = written(near_duplicates(docs, width, percent, id_col, text_col).where(~F.col("kept")).select("doc_id"), "near-copies")
     return without(docs, gone, id_col)
+
+
+#: The same for width 2 in SQL, by all pairs that share a shingle; for small tables.
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+s as (select distinct doc_id, case when len(ws) = 1 then ws[1] else ws[i] || ' ' || ws[i + 1] end shingle from (select doc_id, ws, unnest(range(1, greatest(len(ws), 2))) i from w where len(ws) > 0)),
+n as (select doc_id, count(*) size from s group by doc_id),
+p as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.size + b.size - c)),
+r(doc_id, reach) as (select doc_id, doc_id from w union select r.doc_id, e.y from r join e on e.x = r.reach),
+m as (select doc_id, min(reach) component_id from r group by doc_id)
+select m.doc_id, coalesce(size, 0) n_shingles, component_id, component_id = m.doc_id kept from m left join n on n.doc_id = m.doc_id
+"""

@@ -53,4 +53,4 @@ def op10_projected_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_lattice_lm, op3_piece_fst, op4_tier_packing, op5_language_id, op6_url_rules, op7_pii_semicrf, op8_near_dedup, op9_repair_files, op10_projected_ann)}
-ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op6_url_rules": url_rules.ORACLE}
+ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op6_url_rules": url_rules.ORACLE, "op8_near_dedup": near_dedup.ORACLE}

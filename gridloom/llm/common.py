@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that an operator handles at once; a longer text makes a slice of its own.
@@ -87,6 +87,23 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return surely.unionByName(kept)
 
 
+#: Parts in which the first rows of a group are sought before they meet.
+SALTS = 64
+
+
+def first_of_each(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """The first n rows of each value of key, by order; of equals any.
+
+    Sought first in SALTS parts of each group by a hash of the order's columns,
+    then among what those give, so that no task takes a whole group.
+    """
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    for parts in ([key, "__salt"], [key]):
+        place = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
+        salted = salted.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
+    return salted.drop("__salt")
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2^64, as far as needed, to hash stretches of bytes."""
 

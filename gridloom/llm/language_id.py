@@ -20,10 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import record, remainder, slices, utf8
+from gridloom.llm.common import first_of_each, record, remainder, slices, utf8
 from gridloom.session import let_workers_import
 
 #: Bound on the labelled rows that the classifiers are fitted on.
@@ -117,8 +117,8 @@ def labelled_sample(docs: DataFrame, lang: Column, teach: Column, rows: int = SA
     known = docs.where(lang.isNotNull() & teach).select("doc_id", lang.alias("lang"))
     languages = known.select(F.approx_count_distinct("lang")).first()[0]
     each = max(1, rows // max(1, languages))
-    ranked = known.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.where(F.col("place") <= each).orderBy("place", "lang").limit(rows).select(F.col("doc_id").alias("chosen_id")).distinct()
+    found = first_of_each(known.withColumn("hash", F.xxhash64("doc_id")), "lang", ["hash", "doc_id"], each)
+    chosen = found.orderBy("hash", "doc_id", "lang").limit(rows).select(F.col("doc_id").alias("chosen_id")).distinct()
     return docs.where(lang.isNotNull() & teach).join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi").select(lang.alias("lang"), "text")
 
 

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import record, slices, strings
+from gridloom.llm.common import first_of_each, record, slices, strings
 from gridloom.session import let_workers_import
 
 KINDS = ("email", "ip", "card", "phone")
@@ -332,9 +332,9 @@ _EXAMPLE_ARROW = pa.schema([("kind", pa.int32()), ("hash", pa.binary()), *((x, p
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each slice, the few regions of each kind with the smallest hash."""
+    """Of each partition, the few regions of each kind with the smallest hash."""
+    kept: dict[int, dict[tuple, tuple]] = defaultdict(dict)
     for batch in slices(batches, 0):
-        rows = []
         for text in strings(batch.column(0)):
             if found := regions(text):
                 spans = base_spans(text)
@@ -342,24 +342,21 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if b - a <= 200:
                         gold = _gold(spans, a, b)
                         digest = hashlib.blake2b(text[max(0, a - 40) : b + 40].encode("utf-8", "replace"), digest_size=8).digest()
-                        rows.append((min(gold.values(), default=0), digest, text[a:b], text[a - 1 : a], text[b : b + 1], [x for (s, e), y in sorted(gold.items()) for x in (s, e, y)]))
-        rows.sort(key=lambda r: r[:3])
-        count: dict[int, int] = defaultdict(int)
-        kept = []
-        for r in rows:
-            if count[r[0]] < EXAMPLES:
-                count[r[0]] += 1
-                kept.append(r)
-        if kept:
-            yield record(_EXAMPLE_ARROW, *zip(*kept))
+                        labels = [x for (s, e), y in sorted(gold.items()) for x in (s, e, y)]
+                        kept[min(gold.values(), default=0)][digest, text[a:b]] = (text[a - 1 : a], text[b : b + 1], labels)
+        for kind, own in kept.items():
+            if len(own) > EXAMPLES:
+                kept[kind] = dict(sorted(own.items())[:EXAMPLES])
+    rows = [(kind, digest, region, *rest) for kind, own in kept.items() for (digest, region), rest in own.items()]
+    if rows:
+        yield record(_EXAMPLE_ARROW, *zip(*rows))
 
 
 def train(docs: DataFrame, text_col: str = "text", examples: int = EXAMPLES) -> Field:
     """Fit on a bounded sample of regions; an empty field if there are none."""
     let_workers_import(docs.sparkSession)
     found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_examples, _EXAMPLE)
-    place = F.row_number().over(Window.partitionBy("kind").orderBy("hash", "region"))
-    rows = found.dropDuplicates(["kind", "hash", "region"]).withColumn("place", place).where(F.col("place") <= examples).drop("place").collect()
+    rows = first_of_each(found.dropDuplicates(["kind", "hash", "region"]), "kind", ["hash", "region"], examples).collect()
     rows.sort(key=lambda r: (bytes(r["hash"]), r["region"]))
     take = [(r["region"], r["before"], r["after"], {(a, b): y for a, b, y in zip(*[iter(r["labels"])] * 3)}) for r in rows]
     return fit(take)

@@ -52,6 +52,12 @@ def top_label(proba: DataFrame, keys: list[str], label: str = "label", p: str =
     return proba.groupBy(*keys).agg(best.alias("_b")).select(*keys, (-F.col("_b._minus")).alias(label), F.col(f"_b.{p}").alias(p))
 
 
+def ranked_labels(proba: DataFrame, keys: list[str], most: int, label: str = "label", p: str = "p") -> DataFrame:
+    """The first most labels of each voxel by falling p, of equals the smaller first: rank from 1."""
+    order = Window.partitionBy(*keys).orderBy(F.col(p).desc(), F.col(label))
+    return proba.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
 def bridge(structures: DataFrame, label: str = "label", tissues: str = "tissues") -> DataFrame:
     """(label, tissue, tissues_n): one row for each class that a label may belong to."""
     return structures.select(F.col(label).alias("label"), F.explode(tissues).alias("tissue"), F.size(tissues).alias("tissues_n"))

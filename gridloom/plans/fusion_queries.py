@@ -53,6 +53,13 @@ def weighted_vote_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.top_label(proba(spark, sf_dir), ["voxel"]).select("voxel", "label", rounded(F.col("p")).alias("proba"))
 
 
+@query(f"""with {_VOTES}, {_VOTE},
+r as (select *, row_number() over (partition by voxel order by p desc, label) rk from p)
+select voxel, label, round(p, 9) p, cast(rk as int) as "rank" from r where rk <= 3""")
+def ranked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.ranked_labels(proba(spark, sf_dir), ["voxel"], 3).select("voxel", "label", rounded("p"), "rank")
+
+
 @query(f"""with votes as (select l_orderkey voxel, cast(case when l_quantity < 20 then 0 else l_partkey % 7 end as int) label,
   case when l_discount > 0.03 then 0.0 else exp(-(l_discount * 10) / cast(0.15 as double)) end w from lineitem), {_VOTE}
 select voxel, label, round(p, 9) p from p""")

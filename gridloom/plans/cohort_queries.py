@@ -44,14 +44,13 @@ def natural_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.natural_rank(supplier.select(name.alias("name")))
 
 
-@query("""with a as (select r_name, row_number() over (order by r_name) - 1 pos from region), b as (select n_name, row_number() over (order by cast(regexp_extract(n_name, '[0-9]+') as int)) - 1 pos from nation where n_nationkey < 5)
-select pos as "position", '/data/' || r_name || '/image.nii.gz' image, '/data/' || n_name || '/labels.nii.gz' seg, 'image.nii.gz' base from a join b using (pos)""")
+@query("""with a as (select c_name, row_number() over (order by c_custkey) - 1 pos from customer), b as (select c_custkey, row_number() over (order by c_custkey) - 1 pos from customer)
+select pos as "position", '/data/' || c_name || '/image.nii.gz' image, '/data/seg-' || c_custkey || '/labels.nii.gz' seg, 'image.nii.gz' base from a join b using (pos)""")
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = table(spark, sf_dir, "region").select("r_name")
-    segs = table(spark, sf_dir, "nation").where("n_nationkey < 5").select("n_name")
-    both = cohort.zip_by_position(images, segs, "r_name", "n_name")
-    image = join_path(F.lit("/data"), F.col("r_name"), F.lit("image.nii.gz"))
-    return both.select("position", image.alias("image"), join_path(F.lit("/data"), F.col("n_name"), F.lit("labels.nii.gz")).alias("seg"), base_name(image).alias("base"))
+    customer = table(spark, sf_dir, "customer")
+    both = cohort.zip_by_position(customer.select("c_name"), customer.select(F.concat(F.lit("seg-"), F.col("c_custkey").cast("string")).alias("seg_name")), "c_name", "seg_name")
+    image = join_path(F.lit("/data"), F.col("c_name"), F.lit("image.nii.gz"))
+    return both.select("position", image.alias("image"), join_path(F.lit("/data"), F.col("seg_name"), F.lit("labels.nii.gz")).alias("seg"), base_name(image).alias("base"))
 
 
 @query("select o_orderkey, o_custkey from orders where o_orderkey not in (select l_orderkey from lineitem)")

@@ -65,11 +65,11 @@ def dice_boxplot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", *(rounded(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")), "n_fliers")
 
 
-@query(f"""with {_SCORES}, names as (select n_nationkey label, n_name name from nation where n_nationkey % 2 = 0)
+@query(f"""with {_SCORES}, names as (select r_regionkey label, r_name name from region)
 select subject, s.label, round(dice, 9) dice, coalesce(name, 'label-' || s.label) label_name, s.label || ': ' || coalesce(name, 'label-' || s.label) target_structure, 'fusion on test set' experiment
 from scores s left join names on names.label = s.label""")
 def score_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("label"), F.col("n_name").alias("name"))
+    names = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("label"), F.col("r_name").alias("name"))
     return evaluation.enrich(scores(spark, sf_dir), names, "fusion on test set").withColumn("dice", rounded("dice"))
 
 
@@ -81,16 +81,17 @@ def score_head_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.orderBy("subject", "label").offset(20).limit(10).join(F.broadcast(n)).select("subject", "label", rounded("dice"), rounded("width", 6))
 
 
-@query("""with a as (select s_suppkey subject, s_nationkey % 3 shape, [s_acctbal, s_suppkey] affine from supplier),
-b as (select c_custkey subject, c_nationkey % 3 shape, [c_acctbal, c_custkey] affine from customer where c_custkey % 3 <> 0)
+@query("""with a as (select s_suppkey * 17 subject, s_nationkey % 3 shape, [s_acctbal, s_suppkey * 17] affine from supplier),
+b as (select c_custkey subject, c_nationkey % 3 shape, [c_acctbal, c_custkey] affine from customer)
 select a.subject, b.subject is not null has_truth, coalesce(a.shape = b.shape and abs(a.affine[1] - b.affine[1]) <= 1e-8 + 1e-5 * abs(b.affine[1]) and abs(a.affine[2] - b.affine[2]) <= 1e-8 + 1e-5 * abs(b.affine[2]), false) compatible
 from a left join b on a.subject = b.subject""")
 def pair_join_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def side(t: str, p: str, key: str, suffix: str) -> DataFrame:
-        affine = F.array(F.col(f"{p}_acctbal"), F.col(f"{p}_{key}").cast("double"))
-        return table(spark, sf_dir, t).select(F.col(f"{p}_{key}").alias("subject"), (F.col(f"{p}_nationkey") % 3).alias(f"shape{suffix}"), affine.alias(f"affine{suffix}"))
+    def side(t: str, p: str, key: str, suffix: str, times: int) -> DataFrame:
+        subject = F.col(f"{p}_{key}") * times
+        affine = F.array(F.col(f"{p}_acctbal"), subject.cast("double"))
+        return table(spark, sf_dir, t).select(subject.alias("subject"), (F.col(f"{p}_nationkey") % 3).alias(f"shape{suffix}"), affine.alias(f"affine{suffix}"))
 
-    met, missing = evaluation.matched_pairs(side("supplier", "s", "suppkey", "_a"), side("customer", "c", "custkey", "_b").where("subject % 3 <> 0"))
+    met, missing = evaluation.matched_pairs(side("supplier", "s", "suppkey", "_a", 17), side("customer", "c", "custkey", "_b", 1))
     ok = evaluation.compatible(F.col("shape_a"), F.col("shape_b"), F.col("affine_a"), F.col("affine_b"))
     return met.select("subject", F.lit(True).alias("has_truth"), ok.alias("compatible")).union(missing.select("subject", F.lit(False), F.lit(False)))
 

@@ -34,12 +34,11 @@ def clean_changed_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.changed_count(before, labels.clean_labels(before, [7, 8], strict=False), ["x", "y", "z"])
 
 
-@query("""select n_regionkey k, 'unknown' side from nation where n_nationkey < 5 and n_regionkey not in (select r_regionkey from region where r_regionkey > 1) group by all
-union all select r_regionkey, 'unused' from region where r_regionkey > 1 and r_regionkey not in (select n_regionkey from nation where n_nationkey < 5)""")
+@query("""with f as (select distinct n_regionkey + 2 k from nation), r as (select r_regionkey k from region)
+select k, 'unknown' side from f where k not in (select k from r) union all select k, 'unused' from r where k not in (select k from f)""")
 def label_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "nation").where("n_nationkey < 5").select(F.col("n_regionkey").alias("k"))
-    known = table(spark, sf_dir, "region").where("r_regionkey > 1").select(F.col("r_regionkey").alias("k"))
-    return labels.reconcile(found, known, "k")
+    found = table(spark, sf_dir, "nation").select((F.col("n_regionkey") + 2).alias("k"))
+    return labels.reconcile(found, table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k")), "k")
 
 
 @query("select distinct unnest([p_size % 3, p_size % 4, 5]) tissue from part")
@@ -48,16 +47,16 @@ def tissues_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.distinct_tissues(table(spark, sf_dir, "part").select(int_list(cell).alias("tissues")))
 
 
-@query("""with m as (select distinct p_size original, p_size // 2 consecutive from part where p_size % 5 <> 3)
+@query("""with m as (select distinct p_size * 2 original, p_size consecutive from part)
 select p_partkey, p_size label, consecutive new_label, consecutive is not null mapped from part left join m on original = p_size""")
 def remap_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("label"))
-    mapping = part.where("label % 5 <> 3").select(F.col("label").alias("original"), F.floor(F.col("label") / 2).cast("int").alias("consecutive")).distinct()
+    mapping = part.select((F.col("label") * 2).alias("original"), F.col("label").alias("consecutive")).distinct()
     met, missing = labels.remap(part, mapping)
     return met.select("p_partkey", "label", "new_label", F.lit(True).alias("mapped")).union(missing.select("p_partkey", "label", F.lit(None).cast("int"), F.lit(False)))
 
 
-@query("""with ref as (select replace(p_name, ' ', '') k, min_by([p_size % 6], p_partkey) tissues from part where p_partkey % 3 = 0 group by 1),
+@query("""with ref as (select replace(p_name, ' ', '') || case when p_partkey % 3 = 0 then '' else '#' end k, min_by([p_size % 6], p_partkey) tissues from part group by 1),
 items as (select p_partkey label, case p_partkey % 9 when 1 then 'CSF ' when 2 then 'Left White Matter ' when 4 then 'Unlabeled ' when 5 then 'Vitamin E ' when 7 then 'Basal Forebrain ' when 8 then 'icc ' else '' end || p_name as name, p_partkey % 4 present from part),
 j as (select label, name, tissues, present, k from items left join ref on k = replace(name, ' ', ''))
 select label, name, cast(case when k is not null then tissues when contains(name, 'Unlabeled') then [0,1,2,3,4,5] when contains(name, 'Vitamin E') then [0] when contains(name, 'White Matter') then [3]
@@ -65,12 +64,13 @@ select label, name, cast(case when k is not null then tissues when contains(name
 union all select 0, 'Background', '[0]'""")
 def name_match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    reference = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.array(F.col("p_size") % 6).alias("tissues"))
+    other = F.when(F.col("p_partkey") % 3 == 0, "").otherwise("#")
+    reference = part.select(F.col("p_partkey").alias("pos"), F.concat("p_name", other).alias("name"), F.array(F.col("p_size") % 6).alias("tissues"))
     prefix = F.lit("")
     for k, text in ((1, "CSF "), (2, "Left White Matter "), (4, "Unlabeled "), (5, "Vitamin E "), (7, "Basal Forebrain "), (8, "icc ")):
         prefix = F.when(F.col("p_partkey") % 9 == k, text).otherwise(prefix)
     items = part.select(F.lit("all").alias("source"), F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("label"), F.concat(prefix, "p_name").alias("name"))
-    present = part.where("p_partkey % 4 <> 0").select(F.lit("all").alias("source"), F.col("p_partkey").alias("label"))
+    present = part.select(F.lit("all").alias("source"), F.when(F.col("p_partkey") % 4 == 0, -1 - F.col("p_partkey")).otherwise(F.col("p_partkey")).alias("label"))
     out = labels.assign_tissues(items, reference, present)
     return out.withColumn("tissues", F.concat(F.lit("["), F.array_join(F.transform("tissues", lambda x: x.cast("string")), ", "), F.lit("]")))
 

@@ -34,14 +34,14 @@ def masked_gauss_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencil.masked_gaussian_line(lines(spark, sf_dir), ["vec_id"], ["v"], "m", SIGMA).select("vec_id", "i", "m", rounded("v"))
 
 
-@query(f"""with {_LINE}, pair as (select a.vec_id, a.i, a.m, a.v x, b.v y from line a join line b on b.vec_id = a.vec_id + 1 and b.i = a.i where a.vec_id % 10 = 0),
+@query(f"""with {_LINE}, pair as (select a.vec_id, a.i, a.m, a.v x, b.v y from line a join line b on b.vec_id = a.vec_id + 1 and b.i = a.i),
 s as (select a.vec_id, a.i, sum(tap * m) w, sum(tap * m * x) x, sum(tap * m * x * x) xx, sum(tap * m * y) y, sum(tap * m * y * y) yy, sum(tap * m * x * y) xy from places a join pair p on p.vec_id = a.vec_id and p.i = a.src group by a.vec_id, a.i),
 n as (select s.vec_id, s.i, s.x / w x, s.xx / w xx, s.y / w y, s.yy / w yy, s.xy / w xy from s join pair p on p.vec_id = s.vec_id and p.i = s.i where p.m = 1)
 select p.vec_id, p.i, round(case when (xx - n.x * n.x) * (yy - n.y * n.y) > 0 then 1 - (xy - n.x * n.y) / sqrt((xx - n.x * n.x) * (yy - n.y * n.y)) end, 7) distance from pair p left join n on n.vec_id = p.vec_id and n.i = p.i""")
 def lncc_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = lines(spark, sf_dir)
     b = a.select((F.col("vec_id") - 1).alias("vec_id"), "i", F.col("v").alias("y"))
-    both = a.where("vec_id % 10 = 0").join(b, ["vec_id", "i"])
+    both = a.join(b, ["vec_id", "i"])
     return stencil.lncc_line(both, ["vec_id"], "v", "y", "m", sigma=SIGMA).select("vec_id", "i", rounded("distance", 7))
 
 
@@ -49,14 +49,14 @@ _T3 = ", ".join(f"({k}, {w!r})" for k, w in zip(range(-3, 4), gaussian_kernel(1.
 
 
 @query(f"""with taps(step, tap) as (values {_T3}),
-vox as (select vec_id, cast((i - 1) // 16 as int) x, cast((i - 1) // 4 % 4 as int) y, cast((i - 1) % 4 as int) z, cast(embedding[i] as double) v from embeddings, (select unnest(range(1, 65)) i) where vec_id % 20 = 0),
+vox as (select vec_id, cast((i - 1) // 16 as int) x, cast((i - 1) // 4 % 4 as int) y, cast((i - 1) % 4 as int) z, cast(embedding[i] as double) v from embeddings, (select unnest(range(1, 65)) i)),
 r as (select cast(p as int) p, tap, case when ((p + step) % 8 + 8) % 8 < 4 then ((p + step) % 8 + 8) % 8 else 7 - ((p + step) % 8 + 8) % 8 end s from (select unnest(range(4)) p), taps),
 k as (select p, s, sum(tap) w from r group by p, s)
 select vec_id, a.p x, b.p y, c.p z, round(sum(v * a.w * b.w * c.w), 9) v from vox join k a on a.s = x join k b on b.s = y join k c on c.s = z group by vec_id, a.p, b.p, c.p""")
 def gauss_smooth_3d_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bricks of edge 2 with halos, so that the exchange between bricks is used too."""
     assert kernel_radius(1.0) == 3
-    rows = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
     i, n = F.col("i"), F.lit(4)
     vox = rows.select("vec_id", F.floor(i / 16).cast("int").alias("x"), (F.floor(i / 4) % 4).cast("int").alias("y"), (i % 4).cast("int").alias("z"), n.alias("nx"), n.alias("ny"), n.alias("nz"), F.col("v").cast("double").alias("v"))
     return stencil.gaussian_blocks(vox, ["vec_id"], "v", (1.0, 1.0, 1.0), block=2).select("vec_id", "x", "y", "z", rounded("v"))

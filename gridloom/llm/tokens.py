@@ -17,10 +17,10 @@ import re
 import numpy as np
 import public_tokenizers
 
-from gridloom.llm.common import Powers, mix64
+from gridloom.llm.common import Powers
 
 #: Words whose ids a worker keeps; beyond it the store is emptied.
-WORDS_KEPT = 1 << 21
+WORDS_KEPT = 1 << 20
 #: Bytes of a word that is kept.
 LONGEST = 64
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")

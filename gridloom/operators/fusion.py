@@ -77,18 +77,20 @@ def tissue_prior(proba: DataFrame, structures: DataFrame, keys: list[str], mask:
     background = F.struct(F.lit(BACKGROUND).cast("int").alias("tissue"), F.lit(1.0).alias("q"))
     others = lambda x: F.filter(x, lambda y: y["tissue"] != BACKGROUND)
     total = lambda x: F.aggregate(F.transform(x, lambda y: y["q"]), F.lit(0.0), lambda a, b: a + b)
-    share = lambda x: F.transform(x, lambda y: F.struct(y["tissue"].cast("int").alias("tissue"), safe_ratio(y["q"], total(x)).alias("q")))
-    filled = lambda x: F.when(total(x) == 0, F.array(background)).otherwise(x)
+
+    def shares(df: DataFrame) -> DataFrame:
+        # the total is a column that is used twice, so that the optimiser doesn't move it into the lambda
+        t = df.withColumn("_t", total(F.col("qs")))
+        row = lambda y: F.struct(y["tissue"].cast("int").alias("tissue"), safe_ratio(y["q"], F.col("_t")).alias("q"))
+        return t.withColumn("qs", F.when(F.col("_t") == 0, F.array(background)).otherwise(F.transform("qs", row)))
+
     step = lambda name, value: lists.withColumn(name, value)
     lists = step("qs", F.array_sort(F.transform("qs", lambda y: F.struct(y["tissue"].cast("int").alias("tissue"), y["q"].alias("q")))))
     if mask:
         outside = F.array(background) if mask_hard else F.concat(F.array(background), others(F.col("qs")))
         lists = step("qs", F.when(F.coalesce(F.col(mask), F.lit(1)) == 0, outside).otherwise(F.col("qs")))
-    lists = step("qs", filled(F.col("qs")))
-    lists = step("qs", share(F.col("qs")))
-    lists = step("qs", F.filter("qs", lambda y: y["q"] >= threshold))
-    lists = step("qs", filled(F.col("qs")))
-    lists = step("qs", share(F.col("qs")))
+    lists = shares(lists)
+    lists = shares(step("qs", F.filter("qs", lambda y: y["q"] >= threshold)))
     return lists.select(*keys, F.inline("qs")).where("q > 0")
 
 

@@ -1,16 +1,17 @@
 """Token-id files compressed by a Re-Pair grammar, for random access.
 
 Documents are encoded where they are read, dealt to ranges of ascending id and
-cut into shards of whole documents. Within a shard, frequent id pairs are
-repeatedly replaced by nonterminals: a round counts the adjacent pairs that lie
-within a document and replaces every pair that occurs at least FREQUENT times,
-left to right; rounds go on until no pair is that frequent or ROUNDS are done.
-The counting needs only the symbols that are that frequent themselves, of which
-a shard has a bounded number, so that a table of their pairs counts exactly.
+cut into shards of whole documents. Within a shard, adjacent id pairs that lie
+within a document are replaced by nonterminals, the most frequent first, until
+no pair occurs LEAST times without overlap, whatever the size of the shard. A
+round counts all pairs by sorting and replaces each where it is more frequent
+than the pairs that it overlaps with, so that the most frequent pair of all goes
+whole in any round. A pair that is too rare stays so, as only pairs with a new
+nonterminal can be new; so later rounds sort few.
 
 A shard is one row of a Parquet table: the rules, the length that each
-nonterminal expands to, the reduced sequence, and for each document its id, its
-place in the sequence and its number of ids. One document, or one id of it, is
+nonterminal expands to, the reduced sequence, both in planes of bytes, and for
+each document its id, its place in the sequence and its number of ids. One document, or one id of it, is
 decoded without the rest (decode, id_at).
 """
 
@@ -32,9 +33,8 @@ from gridloom.session import let_workers_import, written
 END_ID = 2
 #: Ids that a shard has at least, but for the last of a range.
 SHARD_IDS = 1 << 20
-ROUNDS = 4
-#: A pair is replaced if it occurs at least once in so many ids of its shard.
-FREQUENT = 1024
+#: Occurrences of a pair that is replaced.
+LEAST = 2
 
 _CODED = "bucket int, doc_id long, ids binary"
 _CODED_ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -57,79 +57,124 @@ class Grammar:
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """All ids of a sequence of symbols."""
-        for a, b in reversed(list(zip([0, *self.levels], self.levels))):
-            new = (symbols >= self.first_new + a) & (symbols < self.first_new + b)
-            if not new.any():
-                continue
-            at = np.flatnonzero(new)
-            pairs = self.rules[symbols[at].astype(np.int64) - self.first_new]
-            symbols = np.repeat(symbols.astype(np.uint32), new.astype(np.int8) + 1)
-            left = at + np.arange(len(at))
-            symbols[left], symbols[left + 1] = pairs[:, 0], pairs[:, 1]
-        return symbols.astype("<u4")
+        symbols, size = symbols.astype("<u4"), self.length(symbols)
+        at, out = np.cumsum(size) - size, np.empty(int(size.sum()), "<u4")
+        while len(symbols):
+            new = symbols >= self.first_new
+            plain, new = np.flatnonzero(~new), np.flatnonzero(new)
+            out[at[plain]] = symbols[plain]
+            pairs, at = self.rules[symbols[new].astype(np.int64) - self.first_new], at[new]
+            symbols = np.concatenate([pairs[:, 0], pairs[:, 1]])
+            at = np.concatenate([at, at + self.length(pairs[:, 0])])
+        return out
 
     def length(self, symbols: np.ndarray) -> np.ndarray:
         """Ids that each symbol expands to."""
         out = np.ones(len(symbols), np.int64)
-        new = symbols >= self.first_new
+        new = np.flatnonzero(symbols >= self.first_new)
         out[new] = self.lengths[symbols[new].astype(np.int64) - self.first_new]
         return out
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_new: int, rounds: int = ROUNDS, frequent: int = FREQUENT) -> tuple[Grammar, np.ndarray, np.ndarray]:
-    """Grammar, reduced sequence and the documents' ends in it; ends: the documents' ends in ids."""
-    least = max(2, -(-len(ids) // frequent))
+def _mix32(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit values that spreads every bit (finaliser of a 32-bit hash)."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+def _in_order(left: np.ndarray, right: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of symbols below top in ascending order, as left << 32 | right, and where they were."""
+    bits, places = np.uint64(int(top).bit_length()), np.uint64(len(left).bit_length())
+    if 2 * bits + places > 64:
+        key = (left.astype(np.uint64) << np.uint64(32)) | right
+        order = np.argsort(key, kind="stable")
+        return key[order], order
+    # with its place each pair fits in one value, and sorting values is several times as fast as sorting places
+    key = (((left.astype(np.uint64) << bits) | right) << places) | np.arange(len(left), dtype=np.uint64)
+    key.sort()
+    pair = key >> places
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    return ((pair >> bits) << np.uint64(32)) | (pair & low), (key & ((np.uint64(1) << places) - np.uint64(1))).view(np.int64)
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first_new: int, rounds: int | None = None, frequent: int | None = None) -> tuple[Grammar, np.ndarray, np.ndarray]:
+    """Grammar, reduced sequence and the documents' ends in it; ends: the documents' ends in ids.
+
+    rounds and frequent, where given, stop early: after so many rounds, and at
+    pairs that are fewer than one in so many ids.
+    """
+    least = LEAST if frequent is None else max(LEAST, -(-len(ids) // frequent))
     rules, lengths, levels = np.zeros((0, 2), np.uint32), np.zeros(0, np.int64), []
-    symbols = ids
-    for _ in range(rounds):
-        n = len(symbols)
-        if n < 2:
-            break
-        top = first_new + len(rules)
-        often = np.flatnonzero(np.bincount(symbols, minlength=top) >= least)
-        if not len(often):
+    symbols = ids.astype(np.uint32)
+    last = np.zeros(len(ids), bool)  # of a document
+    last[ends[ends > 0] - 1] = True
+    open_ = ~last  # symbols that may begin a pair to replace
+    while rounds is None or len(levels) < rounds:
+        at = np.flatnonzero(open_)
+        if not len(at):
             break
-        k = len(often) + 1
-        rank = np.zeros(top, np.int32)
-        rank[often] = np.arange(1, k)
-        own = rank[symbols]
-        pair = own[:-1] * np.int32(k) + own[1:]
-        pair[(own[:-1] == 0) | (own[1:] == 0)] = 0
-        pair[ends[(ends > 0) & (ends < n)] - 1] = 0
-        counts = np.bincount(pair, minlength=k * k)
-        counts[0] = 0
-        chosen = np.flatnonzero(counts >= least)
-        if not len(chosen):
+        left, right = symbols[at], symbols[at + 1]
+        ordered, order = _in_order(left, right, first_new + len(rules))
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        pair = np.empty(len(at), np.int32)
+        pair[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        pairs = ordered[new]
+        apart = np.concatenate([[True], np.diff(at) > 1])
+        same = np.flatnonzero(left == right)
+        start = np.concatenate([[True], np.diff(same) > 1])[: len(same)] | apart[same]
+        second = same[(np.arange(len(same)) - np.maximum.accumulate(np.where(start, np.arange(len(same)), 0))) % 2 == 1]  # of runs of overlapping pairs, every second doesn't count
+        counts = np.bincount(pair, minlength=len(pairs)) - np.bincount(pair[second], minlength=len(pairs))
+        # pairs by frequency, no two alike; equally frequent ones in an order that has no long descents along the text
+        rank = np.where(counts >= least, (counts.astype(np.uint64) << np.uint64(32)) | _mix32(np.arange(len(pairs), dtype=np.uint32)), np.uint64(0))
+        own = rank[pair]
+        open_[at[np.flatnonzero(own == 0)]] = False
+        own[second] = 0
+        first = own > 0
+        first[1:] &= apart[1:] | (own[:-1] < own[1:])
+        first[:-1] &= apart[1:] | (own[1:] < own[:-1])
+        first = np.flatnonzero(first)
+        pair = pair[first]
+        chosen = np.bincount(pair, minlength=len(pairs)) >= least
+        if not chosen.any():
             break
-        chosen = chosen[np.lexsort((chosen, -counts[chosen]))]
-        number = np.zeros(k * k, np.int32)
-        number[chosen] = np.arange(1, len(chosen) + 1)
-        rule = number[pair]
-        at = np.flatnonzero(rule)
-        start = np.diff(at, prepend=-2) > 1  # of runs of overlapping pairs, every second is replaced
-        at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))) % 2 == 0]
-        named = rule[at]
-        used, named = np.unique(named, return_inverse=True)
-        pairs = np.stack([often[chosen[used - 1] // k - 1], often[chosen[used - 1] % k - 1]], axis=1)
+        used = np.flatnonzero(chosen[pair])
+        at, named = at[first[used]], (np.cumsum(chosen, dtype=np.int32) - np.int32(1))[pair[used]]
+        added = np.stack([pairs[chosen] >> np.uint64(32), pairs[chosen] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         grammar = Grammar(first_new, rules, lengths, levels)
-        added = grammar.length(pairs[:, 0]) + grammar.length(pairs[:, 1])
-        keep = np.ones(n, bool)
+        sizes = grammar.length(added[:, 0]) + grammar.length(added[:, 1])
+        symbols[at] = first_new + len(rules) + named
+        last[at] = last[at + 1]
+        open_[at] = ~last[at]
+        before = at[at > 0] - 1
+        open_[before] = ~last[before]
+        keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols = symbols.astype(np.uint32)
-        symbols[at] = top + named
-        gone = np.searchsorted(at + 1, ends)
-        symbols, ends = symbols[keep], ends - gone
-        rules, lengths = np.concatenate([rules, pairs.astype(np.uint32)]), np.concatenate([lengths, added])
+        keep = np.flatnonzero(keep)
+        ends = ends - np.searchsorted(at + 1, ends)
+        symbols, last, open_ = symbols[keep], last[keep], open_[keep]
+        rules, lengths = np.concatenate([rules, added]), np.concatenate([lengths, sizes])
         levels = [*levels, len(rules)]
     return Grammar(first_new, rules, lengths, levels), symbols, ends
 
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The lowest width bytes of each value; all lowest bytes first, then all second ones and so on, which compresses better."""
+    return values.astype("<u4").reshape(-1).view(np.uint8).reshape(-1, 4).T[:width].tobytes()
+
+
+def _values(planes: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(planes) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
+    return out.view("<u4")[:, 0]
+
+
 def _shard_row(bucket: int, shard: int, start: int, docs: list[tuple[int | None, np.ndarray]], first_new: int) -> tuple:
     sizes = np.array([len(x) for _, x in docs], np.int64)
     grammar, symbols, places = compress(np.concatenate([x for _, x in docs]), np.cumsum(sizes), first_new)
-    kind = "<u2" if first_new + len(grammar.rules) <= 1 << 16 else "<u4"
+    width = max(1, -(-int(first_new + len(grammar.rules) - 1).bit_length() // 8))
     return (
-        bucket, shard, start, int(sizes.sum()), first_new, np.dtype(kind).itemsize, grammar.rules.astype("<u4").tobytes(), grammar.lengths.astype("<u4").tobytes(), grammar.levels, symbols.astype(kind).tobytes(), [d for d, _ in docs],
+        bucket, shard, start, int(sizes.sum()), first_new, width, _planes(grammar.rules.T, width), grammar.lengths.astype("<u4").tobytes(), grammar.levels, _planes(symbols, width), [d for d, _ in docs],
         np.concatenate([[0], places]).astype("<u4").tobytes(), sizes.astype("<u4").tobytes(),
     )
 
@@ -138,8 +183,8 @@ class Shard:
     """A shard as read back."""
 
     def __init__(self, row: dict):
-        self.grammar = Grammar(row["first_new"], np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["lengths"], "<u4").astype(np.int64), row["levels"])
-        self.symbols = np.frombuffer(row["sequence"], f"<u{row['width']}")
+        self.grammar = Grammar(row["first_new"], np.ascontiguousarray(_values(row["rules"], row["width"]).reshape(2, -1).T), np.frombuffer(row["lengths"], "<u4").astype(np.int64), row["levels"])
+        self.symbols = _values(row["sequence"], row["width"])
         self.places, self.sizes, self.doc_ids = np.frombuffer(row["places"], "<u4").astype(np.int64), np.frombuffer(row["sizes"], "<u4").astype(np.int64), row["doc_ids"]
 
     def decode(self, k: int) -> np.ndarray:

@@ -114,6 +114,54 @@ def test_rules_expand_to_their_lengths():
     assert len(symbols) < len(ids) / 3
 
 
+def most_repeated(symbols, ends):
+    """Occurrences without overlap of the pair that has most, within documents."""
+    counts = defaultdict(int)
+    for a, b in zip([0, *ends[:-1]], ends):
+        before = None
+        for pair in zip(symbols[a:b].tolist(), symbols[a + 1 : b].tolist()):
+            before = None if pair == before else pair
+            counts[before] += before is not None
+    return max(counts.values())
+
+
+@pytest.mark.parametrize("size", [3_000, 150_000])
+def test_no_pair_is_left_twice_whatever_the_size(size):
+    rng = np.random.default_rng(size)
+    ids = (rng.zipf(1.2, size) % 5_000).astype(np.uint16)
+    phrase = np.arange(6_000, 6_030, dtype=np.uint16)
+    for at in range(100, size - 100, size // 5):
+        ids[at : at + 30] = phrase
+    ends = np.append(np.arange(90, size, size // 20), size)
+    grammar, symbols, places = repair_files.compress(ids, ends, 7_000)
+    assert most_repeated(symbols, places.tolist()) == 1
+    assert 30 <= grammar.lengths.max() and np.array_equal(grammar.expand(symbols), ids)
+    for a, b, c, d in zip([0, *ends[:-1]], ends, [0, *places[:-1]], places):
+        assert np.array_equal(grammar.expand(symbols[c:d]), ids[a:b])
+
+
+def test_rounds_stay_few_on_ascending_and_on_equal_ids():
+    for ids in (np.tile(np.arange(4_000, dtype=np.uint16), 2), np.zeros(8_000, np.uint16)):
+        grammar, symbols, _ = repair_files.compress(ids, np.array([len(ids)]), 5_000)
+        assert len(grammar.levels) < 40 and most_repeated(np.append(symbols, 0), [len(symbols) + 1]) == 1 and np.array_equal(grammar.expand(symbols), ids)
+
+
+def test_pairs_too_wide_for_one_value_give_the_same_sequence():
+    ids = np.random.default_rng(1).integers(0, 9, 2_000).astype(np.uint16)
+    narrow, wide = (repair_files.compress(ids, np.array([len(ids)]), top) for top in (9, 1 << 30))
+    new = narrow[1] >= 9
+    assert np.array_equal(np.where(new, narrow[1].astype(np.int64) - 9 + (1 << 30), narrow[1]), wide[1]) and np.array_equal(wide[0].expand(wide[1]), ids)
+
+
+@pytest.mark.parametrize("first_new", [6, 250, 65_500, 1 << 24])
+def test_shards_of_any_width(first_new):
+    docs = [np.random.default_rng(i).integers(0, 6, 400).astype(np.uint16) for i in range(9)]
+    row = dict(zip([f.name for f in repair_files._SHARD_ARROW], repair_files._shard_row(0, 0, 0, list(enumerate(docs)), first_new)))
+    shard = repair_files.Shard(row)
+    assert (1 << 8 * (row["width"] - 1)) <= first_new + len(shard.grammar.rules) - 1 < 1 << 8 * row["width"]
+    assert all(np.array_equal(shard.decode(k), d) and shard.id_at(k, 7) == d[7] for k, d in enumerate(docs))
+
+
 def test_files_in_order_of_ids(docs_of, library):
     rows = [r for r in ROWS if r[0] != 5] + [(5, "five")]
     got = repair_files.encode_to_files(docs_of(rows).repartition(4), shard_ids=300).collect()

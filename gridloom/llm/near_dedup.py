@@ -10,7 +10,8 @@ would need. A pair of similarity s meets with probability
 (1 - (1 - s^ROWS)^TABLES)^2, which is 0.99998 at 0.8.
 
 Rows are dealt by their band of the first collection; the tables of the second
-are made where they arrive. Bands that very many share are split by a salt.
+are made where they arrive. Bands that very many share are split by a salt, and
+all their members are set aside, also those that are alone in their part.
 Tables' buckets of at most SMALL members give all their pairs; larger ones give
 links to one leader, and their members are set aside. Candidates of too unequal
 size, or of clearly lower similarity by their whole signatures, are dropped, and
@@ -150,14 +151,21 @@ _FOUND_ARROW = pa.schema([("bucket", pa.int64()), ("one", pa.int64()), ("two", p
 
 
 def _bucket_pairs(group: np.ndarray, salted: np.ndarray, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, percent: int, whole: np.ndarray) -> tuple[list, list]:
-    """Candidates (least id first), and (bucket, id) of the members of large buckets.
+    """Candidates (least id first), and (bucket, id) of the members of large buckets and of all in salted bands.
 
     group: number of the band's value, whole: the same as a hash without salt,
     salted: the value is split over several tasks.
     """
     n = len(ids)
     least = (sizes * percent + 99) // 100
-    orders, popularity, cut = [], np.zeros(n, np.int64), []
+    orders, popularity, pairs, aside = [], np.zeros(n, np.int64), [], []
+
+    def set_aside(rows: np.ndarray, j: int) -> None:
+        with np.errstate(over="ignore"):
+            name = mix64(whole[rows] * np.uint64(0x9E3779B97F4A7C15) + (np.uint64(j) << np.uint64(40)) + keys[rows, j])
+        aside.append((name.view(np.int64), ids[rows]))
+
+    split = np.flatnonzero(salted)
     for j in range(TABLES):
         key = (group.astype(np.uint64) << np.uint64(32)) | keys[:, j]
         order = np.argsort(key, kind="stable")
@@ -168,9 +176,8 @@ def _bucket_pairs(group: np.ndarray, salted: np.ndarray, ids: np.ndarray, sizes:
         popularity[order] += members - 1
         large = members > 1
         orders.append(order[large])
-        cut.append((start, count))
+        set_aside(split, j)
     rank = np.floor(4 * np.log2(popularity + 1.0)).astype(np.int64)
-    pairs, aside = [], []
     for j in range(TABLES):
         rows = orders[j]
         if not len(rows):
@@ -187,10 +194,7 @@ def _bucket_pairs(group: np.ndarray, salted: np.ndarray, ids: np.ndarray, sizes:
             pairs.append((rows[at - back], rows[at]))
         at = np.flatnonzero((members > SMALL) & (place > 0))
         pairs.append((rows[at - place[at]], rows[at]))
-        at = np.flatnonzero((members > SMALL) | salted[rows])
-        with np.errstate(over="ignore"):
-            name = mix64(whole[rows[at]] * np.uint64(0x9E3779B97F4A7C15) + (np.uint64(j) << np.uint64(40)) + keys[rows[at], j])
-        aside.append((name.view(np.int64), ids[rows[at]]))
+        set_aside(rows[(members > SMALL) & ~salted[rows]], j)
     out = []
     for x, y in pairs:
         ok = (sizes[x] >= least[y]) & (sizes[y] >= least[x]) & (ids[x] != ids[y])
@@ -375,7 +379,7 @@ class _Run:
     def across(self, aside: DataFrame, found: DataFrame) -> DataFrame:
         """Links across components within the buckets set aside, as many as join what can be joined; written.
 
-        Buckets of one component are settled. Components that meet in a bucket
+        Buckets of one component, or of one member, are settled. Components that meet in a bucket
         make a cluster; of its members, those outside its largest component meet
         all members, block by block, with their whole sets.
         """

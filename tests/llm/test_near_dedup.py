@@ -73,6 +73,21 @@ def test_hot_bands_are_split(docs_of, monkeypatch):
     same(docs_of, copies(rng, [(50, 80, 2), (20, 60, 1)]), 2)
 
 
+def test_pairs_that_a_salt_parts_are_found(docs_of, monkeypatch):
+    monkeypatch.setattr(nd, "HOT", 0.1)
+    same(docs_of, copies(random.Random(8), [(2, 80, 2)] * 12 + [(3, 60, 1)] * 4), 2)
+
+
+def test_all_members_of_salted_bands_are_set_aside():
+    keys = np.arange(nd.TABLES, dtype=np.uint32)[None, :].repeat(3, 0)
+    args = np.array([1, 2, 3]), np.array([10, 10, 10]), keys, 80, np.array([7, 7, 7], np.uint64)
+    pairs, aside = nd._bucket_pairs(np.array([0, 1, 1]), np.array([True] * 3), *args)
+    assert {(a, b) for x, y in pairs for a, b in zip(x.tolist(), y.tolist())} == {(2, 3)}
+    assert [sorted(ids.tolist()) for _, ids in aside if len(ids)] == [[1, 2, 3]] * nd.TABLES
+    assert all(len(set(name.tolist())) == 1 for name, ids in aside if len(ids))
+    assert not any(len(ids) for _, ids in nd._bucket_pairs(np.array([0, 1, 1]), np.array([False] * 3), *args)[1])
+
+
 def test_edge_cases(docs_of):
     long = " ".join(f"t{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One"), (5, "one"), (6, "one one"), (7, "a b c d"), (8, "A  b\tc d"), (9, long), (10, long + " end"), (11, "é ü"), (12, "É ü"), (None, "one"), (14, "a b c d"), (14, "a b c d")]

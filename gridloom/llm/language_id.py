@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import first_of_each, record, remainder, slices, utf8
@@ -118,8 +118,13 @@ def labelled_sample(docs: DataFrame, lang: Column, teach: Column, rows: int = SA
     languages = known.select(F.approx_count_distinct("lang")).first()[0]
     each = max(1, rows // max(1, languages))
     found = first_of_each(known.withColumn("hash", F.xxhash64("doc_id")), "lang", ["hash", "doc_id"], each)
-    chosen = found.orderBy("hash", "doc_id", "lang").limit(rows).select(F.col("doc_id").alias("chosen_id")).distinct()
-    return docs.where(lang.isNotNull() & teach).join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi").select(lang.alias("lang"), "text")
+    chosen = found.orderBy("hash", "doc_id", "lang").limit(rows).groupBy(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang")).agg(F.count("*").alias("n"))
+    own = docs.where(lang.isNotNull() & teach).select("doc_id", lang.alias("lang"), "text", F.xxhash64("text").alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang"))
+    met = own.join(F.broadcast(chosen), same).withColumn("key", F.struct("doc_id", "lang"))
+    # ids may repeat: of each as many rows as were chosen
+    place = F.row_number().over(Window.partitionBy("key").orderBy("text_hash"))
+    return first_of_each(met, "key", ["text_hash"], each).withColumn("place", place).where("place <= n").select("lang", "text")
 
 
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +142,7 @@ def train(docs: DataFrame, teach: Column, rows: int = SAMPLE_ROWS) -> Model | No
     got = labelled_sample(plain, F.col("lang"), teach, rows).mapInArrow(_sample_counts, "lang string, at binary, n binary").collect()
     if not got:
         return None
-    got = sorted(got[: 2 * rows], key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
+    got = sorted(got, key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
     x = np.zeros((len(got), BUCKETS), np.float32)
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint32)

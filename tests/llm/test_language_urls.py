@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import language_id, url_rules
 
@@ -50,6 +51,13 @@ def test_prediction_ignores_label_and_source(spark):
     assert got[10_002]["lang_pred"] == got[10_003]["lang_pred"] == "en"
 
 
+def test_sample_is_bounded_where_ids_repeat(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}", "en" if i % 2 else "de") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [sorted(map(tuple, language_id.labelled_sample(docs.repartition(n), F.col("lang"), F.lit(True), 200).collect())) for n in (1, 5)]
+    assert got[0] == got[1] and [sum(x[0] == lang for x in got[0]) for lang in ("de", "en")] == [100, 100]
+
+
 def test_undetermined_and_empty(spark, docs_of):
     docs = docs_of([(1, None), (2, ""), (3, "123 !"), (4, "abc"), (None, "abc"), (6, "x " * 100_000)])
     got = {repr(r["doc_id"]): r["lang_pred"] for r in language_id.identify(docs).collect()}

@@ -26,9 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Powers, record, remainder, slices, utf8
-from gridloom.llm.near_dedup import word_hashes
-from gridloom.llm.tokens import WordStore
+from gridloom.llm.common import WordStore, record, remainder, slices, utf8
+from gridloom.llm.near_dedup import word_stretches
 from gridloom.session import let_workers_import, written
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -38,9 +37,8 @@ ROUNDS = 2
 SMOOTHING = 0.01
 #: Bytes of text in a block.
 BLOCK_BYTES = 16_000_000
-#: Bytes of a word that is handled in one go; longer ones in windows.
+#: Bytes of a word whose arcs are held at once; a longer one goes through in windows, with the same result.
 WINDOW = 2048
-_SEQ_BITS = 24
 
 _CODED = "block long, seq int, word binary, n long, doc_id long, held_out boolean, tokens long, code binary"
 _CODED_ARROW = pa.schema(
@@ -68,65 +66,86 @@ class Lattice:
         self.first_guess = np.log(np.append(start, start.max()) / (start.sum() + start.max()))
         self.longest = max(map(len, self.pieces))
         self.sizes = sorted({len(x) for x in self.pieces})
-        self.powers = Powers()
-        self.known = WordStore(len(self.pieces) + 1)
-        data = np.frombuffer(b"".join(self.pieces), np.uint8)
-        stop = np.cumsum([len(x) for x in self.pieces])
-        self.known.add(self.powers.names(data, stop - [len(x) for x in self.pieces], stop), np.zeros(len(self.pieces), np.int64), np.zeros(0, np.uint32))
+        child: dict[tuple[int, int], int] = {}
+        ends = {}
+        for number, piece in enumerate(self.pieces):
+            at = 0
+            for b in piece:
+                at = child.setdefault((at, b), len(child) + 1)
+            ends[at] = number
+        #: The trie of the pieces: next state by state and byte (0: none), and the piece that ends at a state.
+        self.next, self.piece = np.zeros((len(child) + 1, 256), np.int32), np.full(len(child) + 1, -1, np.int32)
+        for (at, b), to in child.items():
+            self.next[at, b] = to
+        self.piece[list(ends)] = list(ends.values())
 
     def arcs(self, words: np.ndarray, first: int, last: int) -> np.ndarray:
         """For words (rows of bytes) and ends first < j <= last: number of the piece of each size, or -1."""
-        m, n = words.shape
-        low = max(0, first - self.longest)
-        data = np.ascontiguousarray(words[:, low:last]).ravel()
-        width = last - low
-        out = np.full((m, last - first, len(self.sizes)), -1, np.int32)
-        rows = np.arange(m, dtype=np.int64)[:, None] * width
-        for s, size in enumerate(self.sizes):
-            ends = np.arange(max(first + 1, size), last + 1)
-            if len(ends):
-                stop = (rows + (ends - low)).ravel()
-                out[:, ends - first - 1, s] = self.known.find(self.powers.names(data, stop - size, stop)).reshape(m, -1)
+        m, low = len(words), max(0, first - self.longest)
+        width, out = last - low, np.full((m, last - first, len(self.sizes)), -1, np.int32)
+        data = np.append(np.ascontiguousarray(words[:, low:last]).ravel(), np.uint8(0))
+        at, column = np.arange(m * width), np.tile(np.arange(low, last), m)
+        state = np.zeros(m * width, np.int32)
+        for size in range(1, self.longest + 1):
+            state = self.next[state, data[at + size - 1]]
+            alive = np.flatnonzero((state > 0) & (column + size <= last))
+            at, column, state = at[alive], column[alive], state[alive]
+            if not len(at):
+                break
+            piece = self.piece[state]
+            hit = np.flatnonzero((piece >= 0) & (column + size > first))
+            if len(hit):
+                out[at[hit] // width, column[hit] + size - first - 1, self.sizes.index(size)] = piece[hit]
+            inside = column + size < last
+            at, column, state = at[inside], column[inside], state[inside]
         return out
 
-    def forward(self, words: np.ndarray, weights: np.ndarray, keep: bool = False):
-        """Log probability of each word of equal length; with keep also the arcs and the recursion's values."""
+    def forward(self, words: np.ndarray, weights: np.ndarray, kept: list | None = None) -> np.ndarray:
+        """Log probability of each beginning of each word of equal length; kept: gets the arcs of a word of one window."""
         m, n = words.shape
         alpha = np.full((m, n + 1), -np.inf)
         alpha[:, 0] = 0.0
         sizes = np.array(self.sizes)
         padded = np.append(weights[:-1], -np.inf)  # number -1: no such piece
-        kept = []
         with np.errstate(divide="ignore", invalid="ignore"):
             for a in range(0, n, WINDOW):
                 b = min(n, a + WINDOW)
                 arcs = self.arcs(words, a, b)
-                kept.append(arcs)
+                if kept is not None and n <= WINDOW:
+                    kept.append(arcs)
                 for j in range(a + 1, b + 1):
-                    usable = sizes <= j
-                    x = alpha[:, j - sizes[usable]] + padded[arcs[:, j - a - 1, usable]]
+                    usable = int(np.searchsorted(sizes, j, side="right"))
+                    x = alpha[:, j - sizes[:usable]] + padded[arcs[:, j - a - 1, :usable]]
                     top = x.max(axis=1)
                     alpha[:, j] = np.log(np.exp(x - top[:, None]).sum(axis=1)) + top
-        return (alpha[:, n], np.concatenate(kept, axis=1), alpha) if keep else alpha[:, n]
+        return alpha
+
+    def score(self, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Log marginal probability of each word of equal length."""
+        return self.forward(words, weights)[:, -1]
 
     def expected(self, words: np.ndarray, counts: np.ndarray, weights: np.ndarray, out: np.ndarray) -> None:
-        """Add to out how often each piece is expected in words that occur counts times."""
+        """Add to out how often each piece is expected in words that occur counts times; long words window by window, from the last."""
         m, n = words.shape
-        total, arcs, alpha = self.forward(words, weights, keep=True)
-        sizes = np.array(self.sizes)
+        kept: list[np.ndarray] = []
+        alpha = self.forward(words, weights, kept)
+        total = alpha[:, n]
         padded = np.append(weights[:-1], -np.inf)
         beta = np.full((m, n + 1), -np.inf)
         beta[:, n] = 0.0
-        for j in range(n, 0, -1):
-            for s, size in enumerate(self.sizes):
-                if size > j:
-                    break
-                own = arcs[:, j - 1, s]
-                at = np.flatnonzero(own >= 0)
-                if len(at):
-                    w = padded[own[at]] + beta[at, j]
-                    beta[at, j - size] = np.logaddexp(beta[at, j - size], w)
-                    out += np.bincount(own[at], np.exp(alpha[at, j - size] + w - total[at]) * counts[at], len(out))
+        for a in range((n - 1) // WINDOW * WINDOW, -1, -WINDOW):
+            b = min(n, a + WINDOW)
+            arcs = kept[0] if kept else self.arcs(words, a, b)
+            for j in range(b, a, -1):
+                for s, size in enumerate(self.sizes):
+                    if size > j:
+                        break
+                    own = arcs[:, j - a - 1, s]
+                    at = np.flatnonzero(own >= 0)
+                    if len(at):
+                        w = padded[own[at]] + beta[at, j]
+                        beta[at, j - size] = np.logaddexp(beta[at, j - size], w)
+                        out += np.bincount(own[at], np.exp(alpha[at, j - size] + w - total[at]) * counts[at], len(out))
 
     def groups(self, words: list[bytes], cells: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Indices and bytes of words of equal length, with the blank before, some at a time."""
@@ -156,22 +175,15 @@ def _code(block_bytes: int):
     """Rows of (doc_id, text, held_out) to rows of blocks: one a distinct word and one a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, number = Powers(), TaskContext.get().partitionId() << 16
+        number = TaskContext.get().partitionId() << 16
 
         def block(parts: list[tuple], name: int) -> Iterator[pa.RecordBatch]:
-            store = WordStore(1 << 62)
-            words: list[bytes] = []
+            store, words = WordStore(1 << 62), []
             train, docs = np.zeros(0, np.int64), []
             for ids, held, texts in parts:
-                names, counts = word_hashes(texts, powers)
-                own = store.find(names)
-                new = np.flatnonzero(own < 0)
-                if len(new):
-                    fresh, first = np.unique(names[new], return_index=True)
-                    flat = b" ".join(texts).lower().split()
-                    words += [flat[i] for i in new[first].tolist()]
-                    store.add(fresh, np.zeros(len(fresh), np.int64), np.zeros(0, np.uint32))
-                    own[new] = store.find(names[new])
+                met, counts = word_stretches(texts)
+                own, new = store.numbers(met)
+                words += [met.text(i) for i in new.tolist()]
                 teach = np.repeat(~np.array(held, bool), counts)
                 seen = np.bincount(own[teach], minlength=len(words))
                 seen[: len(train)] += train
@@ -204,25 +216,53 @@ def _code(block_bytes: int):
     return run
 
 
+_PLACED = "word binary, c long, first boolean, blocks array<long>, seqs array<int>"
+#: Places in a row of a word.
+PLACES = 8192
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, n, place) in the order of words to one row a word: word, c, places."""
-    schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("places", pa.list_(pa.int64()))])
-    rest: tuple | None = None
+    """Rows (word, n, block, seq) in the order of words to rows of at most PLACES places with the word's whole count."""
+    schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("first", pa.bool_()), ("blocks", pa.list_(pa.int64())), ("seqs", pa.list_(pa.int32()))])
+    held: list[tuple] = []  # parts of the last word so far
+
+    def rows(word: pa.Array, start: np.ndarray, n: np.ndarray, block: np.ndarray, seq: np.ndarray) -> pa.RecordBatch:
+        """start: where words begin, and the end."""
+        size = np.diff(start)
+        parts = -(-size // PLACES)
+        of = np.repeat(np.arange(len(size)), parts)
+        part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        cuts = pa.array(np.append(start[:-1][of] + part * PLACES, start[-1]), pa.int32())
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (block, seq)]
+        return record(schema, word.take(pa.array(start[:-1][of])), np.add.reduceat(n, start[:-1])[of], part == 0, *lists)
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if held:
+            n, block, seq = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+            word, total = pa.array([held[0][0]], pa.binary()), n.sum()
+            for a in range(0, len(n), PLACES):
+                part = slice(a, a + PLACES)
+                yield record(schema, word, [total], [a == 0], [block[part].tolist()], [seq[part].tolist()])
+            held.clear()
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        word, n, place = batch.column(0).cast(pa.binary()), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        if rest is not None:
-            word, n, place = pa.concat_arrays([rest[0], word]), np.concatenate([rest[1], n]), np.concatenate([rest[2], place])
+        word, (n, block, seq) = batch.column(0).cast(pa.binary()), (batch.column(i).to_numpy() for i in (1, 2, 3))
         new = np.concatenate([[True], pa.compute.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)]) if len(word) > 1 else np.array([True])
         start = np.flatnonzero(new)
         last = int(start[-1])
-        rest = word.slice(last), n[last:], place[last:]
-        if last:
-            start = start[:-1]
-            yield record(schema, word.take(pa.array(start)), np.add.reduceat(n[:last], start), pa.ListArray.from_arrays(pa.array(np.append(start, last), pa.int32()), pa.array(place[:last], pa.int64())))
-    if rest is not None:
-        yield record(schema, rest[0].slice(0, 1), [int(rest[1].sum())], [rest[2].tolist()])
+        if held and held[0][0] == word[0].as_py():
+            stop = int(start[1]) if len(start) > 1 else len(word)
+            held.append((held[0][0], n[:stop], block[:stop], seq[:stop]))
+            start = start[1:]
+            if not len(start):
+                continue
+        yield from close()
+        if len(start) > 1:
+            yield rows(word, start, n[:last], block[:last], seq[:last])
+        held.append((word[last].as_py(), n[last:], block[last:], seq[last:]))
+    yield from close()
 
 
 def fit(vocabulary: DataFrame, ends: int, path: str = MODEL, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> np.ndarray:
@@ -237,15 +277,12 @@ def fit(vocabulary: DataFrame, ends: int, path: str = MODEL, rounds: int = ROUND
             out = np.zeros(len(mine.pieces))
             for batch in batches:
                 words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-                # a very long word is taken in stretches here; its score below is exact
-                cut = [(w[a : a + WINDOW], c) for w, c in zip(words, counts.tolist()) for a in range(0, len(w), WINDOW)]
-                counts = np.array([c for _, c in cut], float)
-                for at, rows in mine.groups([w for w, _ in cut]):
+                for at, rows in mine.groups(words):
                     mine.expected(rows, counts[at], weights, out)
             used = np.flatnonzero(out)
             yield record(schema, used.astype(np.int32), out[used])
 
-        sums = vocabulary.where("c > 0").select("word", "c").mapInArrow(run, "piece int, expected double").groupBy("piece").agg(F.sum("expected").alias("expected")).collect()
+        sums = vocabulary.where("first and c > 0").select("word", "c").mapInArrow(run, "piece int, expected double").groupBy("piece").agg(F.sum("expected").alias("expected")).collect()
         total = np.full(len(own.pieces) + 1, smoothing)
         for r in sums:
             total[r["piece"]] += r["expected"]
@@ -277,10 +314,9 @@ def score_documents(docs: DataFrame, modulus: int = 5, held_out: int = 1, path:
     out = remainder(F.col(id_col), modulus) == held_out
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), out.alias("held_out"))
     coded, _ = written(rows.mapInArrow(_code(block_bytes), _CODED), "coded")
-    place = F.shiftleft("block", _SEQ_BITS).bitwiseOR(F.col("seq").cast("long"))
-    words = coded.where("word is not null").select("word", "n", place.alias("place"))
-    vocabulary, _ = written(words.repartition("word").sortWithinPartitions("word").mapInArrow(_gather, "word binary, c long, places array<long>"), "vocabulary")
-    tokens, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    words = coded.where("word is not null").select("word", "n", "block", "seq")
+    vocabulary, _ = written(words.repartition("word").sortWithinPartitions("word").mapInArrow(_gather, _PLACED), "vocabulary")
+    tokens, kinds = vocabulary.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     ends = coded.where("code is not null and not held_out").count()
     weights = fit(vocabulary, ends, path, rounds) if ends else lattice(path).first_guess
     total, distinct = tokens + ends, kinds + (ends > 0)
@@ -291,15 +327,14 @@ def score_documents(docs: DataFrame, modulus: int = 5, held_out: int = 1, path:
         own = lattice(path)
         schema = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
-            texts, lists = batch.column(0).to_pylist(), batch.column(2)
+            texts, blocks = batch.column(0).to_pylist(), batch.column(2)
             value = np.empty(len(texts))
             for at, part in own.groups(texts):
-                value[at] = own.forward(part, weights) / np.log(10)
-            size = pa.compute.list_value_length(lists).to_numpy()
-            places = lists.flatten().to_numpy()
-            entry = np.empty(len(places), _ENTRY)
-            entry["seq"], entry["c"], entry["score"] = places & ((1 << _SEQ_BITS) - 1), np.repeat(batch.column(1).to_numpy(), size), np.repeat(value, size)
-            block = places >> _SEQ_BITS
+                value[at] = own.score(part, weights) / np.log(10)
+            size = pa.compute.list_value_length(blocks).to_numpy()
+            block = blocks.flatten().to_numpy()
+            entry = np.empty(len(block), _ENTRY)
+            entry["seq"], entry["c"], entry["score"] = batch.column(3).flatten().to_numpy(), np.repeat(batch.column(1).to_numpy(), size), np.repeat(value, size)
             order = np.argsort(block, kind="stable")
             block, entry = block[order], entry[order]
             cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist() + [len(block)] if len(block) else [0]
@@ -328,7 +363,7 @@ def score_documents(docs: DataFrame, modulus: int = 5, held_out: int = 1, path:
             if done:
                 yield record(_OUT_ARROW, *zip(*done))
 
-    entries = vocabulary.select("word", "c", "places").mapInArrow(score, "block long, payload binary")
+    entries = vocabulary.select("word", "c", "blocks", "seqs").mapInArrow(score, "block long, payload binary")
     nothing = lambda *types: [F.lit(None).cast(t) for t in types]
     entries = entries.select("block", "payload", *(x.alias(n) for x, n in zip(nothing("long", "boolean", "long", "binary"), ("doc_id", "held_out", "tokens", "code"))))
     numbered = coded.where("code is not null").select("block", F.lit(None).cast("binary").alias("payload"), "doc_id", "held_out", "tokens", "code")

@@ -1,7 +1,8 @@
 """Near-duplicates by MinHash with tensored banding, confirmed on full sets.
 
 A document is the set of its distinct word shingles. Documents with the same
-set form a class; the rest works on one row a class. MinHash values are made
+words in the same order (by a digest of 32 bytes) form a class; the rest works
+on one row a class. Classes with the same set are linked like others. MinHash values are made
 for two small collections only, each of TABLES bands of ROWS values. A hash
 table's key is the combination of one band of the first collection with one of
 the second, which gives TABLES * TABLES tables of 2 * ROWS values each from
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Powers, mix64, record, slices, split_by_ids, utf8, without
+from gridloom.llm.common import Stretches, mix64, record, slices, split_by_ids, utf8, without
 from gridloom.session import drop, let_workers_import, written
 
 TABLES = 16
@@ -73,8 +74,8 @@ def shingle_set(text: bytes, width: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(w[i:] for i in range(width))))
 
 
-def word_hashes(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of lower-cased texts, and each text's number of words."""
+def word_stretches(texts: list[bytes]) -> tuple[Stretches, np.ndarray]:
+    """All words of lower-cased texts, and each text's number of words."""
     data = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
     starts_of = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     blank = _BLANK[data]
@@ -82,13 +83,13 @@ def word_hashes(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndar
     if not blank[0]:
         edge = np.concatenate([[0], edge])
     start, end = edge[0::2], edge[1::2]
-    return powers.names(data, start, end), np.diff(np.searchsorted(start, starts_of))
+    return Stretches(data, start, end), np.diff(np.searchsorted(start, starts_of))
 
 
-def shingle_hashes(texts: list[bytes], width: int, powers: Powers) -> list[np.ndarray]:
+def shingle_hashes(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    hashes, counts = word_hashes(texts, powers)
-    out, at = [], 0
+    words_, counts = word_stretches(texts)
+    hashes, out, at = words_.names, [], 0
     with np.errstate(over="ignore"):
         for n in counts.tolist():
             own = hashes[at : at + n]
@@ -130,9 +131,9 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in slices(batches, 1):
-            sets = shingle_hashes(utf8(batch.column(1)), width, powers)
+            texts = utf8(batch.column(1))
+            sets = shingle_hashes(texts, width)
             a, b, low = [[] for _ in sets], [b""] * len(sets), [b""] * len(sets)
             full = [i for i, s in enumerate(sets) if len(s)]
             if full:
@@ -141,7 +142,7 @@ def _sign(width: int):
                 first, second, small = keys[:, :TABLES].view(np.int32).tolist(), keys[:, TABLES:], values.astype(np.uint8)
                 for at, i in enumerate(full):
                     a[i], b[i], low[i] = first[at], second[at].tobytes(), small[at].tobytes()
-            yield record(_SIGNED_ARROW, batch.column(0), [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], a, b, low)
+            yield record(_SIGNED_ARROW, batch.column(0), [len(s) for s in sets], [hashlib.blake2b(b" ".join(words(t)), digest_size=32).digest() for t in texts], a, b, low)
 
     return run
 
@@ -408,9 +409,9 @@ def _sets(width: int):
     """Hashes of the whole sets of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, schema = Powers(), pa.schema([("one", pa.int64()), ("shingles", pa.binary())])
+        schema = pa.schema([("one", pa.int64()), ("shingles", pa.binary())])
         for batch in slices(batches, 1):
-            yield record(schema, batch.column(0), [x.tobytes() for x in shingle_hashes(utf8(batch.column(1)), width, powers)])
+            yield record(schema, batch.column(0), [x.tobytes() for x in shingle_hashes(utf8(batch.column(1)), width)])
 
     return run
 

@@ -1,18 +1,23 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
 Three transducers are compiled from a model file: the normaliser (a blank
-before the text, blanks as U+2581), the pieces (a trie whose arcs read a piece
-and write its id) and the byte fallback (a character that no piece holds writes
-the ids of its bytes). Composed with a text they give a lattice whose states
-are positions with the last piece; encoding is the shortest path in the
-tropical semiring.
+before the text, U+2581 as a blank, all else as it is), the pieces (a trie
+whose arcs read a piece's characters, and an arc back to the root that writes
+its id and weighs it) and the byte fallback (an arc at the root that reads a
+character which is no piece and writes the ids of its bytes). The last two are
+joined at the root and composed with the normaliser once. The result is
+composed with the texts, many at a time: every place of a text walks the trie
+at once, and the piece arcs that are met are a lattice between places. Encoding
+is the lattice's shortest path in the tropical semiring, by relaxing the arcs
+in the order of their ends.
 
 The models here are of the BPE kind, whose merges are no sum of piece scores.
 Their result is still a path: a sequence of pieces is the result of the merges
 exactly if every two neighbours are the result of the merges of their own
-string. So the transducer for neighbours has weight 0 for such a pair and
-infinite weight for all others, and every piece weighs 1; for unigram models
-neighbours are free and a piece weighs its negative log score.
+string. So the lattice is composed with one more transducer, whose state is the
+last piece: it has an arc of weight 0 for such a pair and none for all others,
+and every piece weighs 1. For unigram models neighbours are free and a piece
+weighs its negative log score.
 
 No piece reads a blank after another character; the lattice falls apart before
 each run of blanks, and what lies between is solved once and kept (bounded).
@@ -21,8 +26,10 @@ each run of blanks, and what lies between is solved once and kept (bounded).
 from __future__ import annotations
 
 import hashlib
+import heapq
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import public_tokenizers
@@ -30,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Powers, record, slices, utf8
-from gridloom.llm.tokens import WordStore
+from gridloom.llm.common import Stretches, record, slices, utf8
+from gridloom.llm.tokens import IdStore
 from gridloom.session import let_workers_import
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -40,14 +47,131 @@ KEPT = 1 << 20
 LONGEST = 64
 #: Neighbour pairs whose weight a worker keeps.
 PAIRS_KEPT = 1_000_000
+#: What the library subtracts from the least score of a unigram model for a character without a piece.
+UNKNOWN = 10.0
 
-_START, _BYTES = -1, -2
 _INFINITE = float("inf")
 _META = "▁".encode()
+#: Labels: 0 is nothing, a character is its code + 1; these two are any other character as it is, and as its bytes.
+NOTHING, SAME, BYTES = 0, -1, -2
+#: Written labels of pieces begin here, beyond all characters.
+PIECE = 0x110001
+
+
+def character(c: str) -> int:
+    return ord(c) + 1
+
+
+@dataclass
+class Fst:
+    """A weighted transducer: arcs[state] holds (read, write, weight, next); the start is state 0."""
+
+    arcs: list[list[tuple[int, int, float, int]]] = field(default_factory=lambda: [[]])
+    final: set[int] = field(default_factory=set)
+
+    def state(self) -> int:
+        self.arcs.append([])
+        return len(self.arcs) - 1
+
+
+def normaliser(prefix: bool) -> Fst:
+    """U+2581 as a blank; with prefix a blank before any text that isn't empty."""
+    out = Fst(final={0})
+    body = out.state()
+    out.final.add(body)
+    steps = [(character("▁"), character(" "), 0.0, body), (SAME, SAME, 0.0, body)]
+    out.arcs[body] = steps
+    if prefix:
+        begun = out.state()
+        out.arcs[begun] = steps
+        out.arcs[0] = [(NOTHING, character(" "), 0.0, begun)]
+    else:
+        out.arcs[0] = steps
+    return out
+
+
+def pieces_or_bytes(weights: dict[str, tuple[int, float]], fallback: float) -> Fst:
+    """The loop over pieces (id and weight of each) and single characters that are no piece."""
+    out = Fst(final={0})
+    child: dict[tuple[int, str], int] = {}
+    for piece, (number, weight) in weights.items():
+        at = 0
+        for c in piece:
+            to = child.get((at, c))
+            if to is None:
+                to = child[at, c] = out.state()
+                out.arcs[at].append((character(c), NOTHING, 0.0, to))
+            at = to
+        out.arcs[at].append((NOTHING, PIECE + number, weight, 0))
+    for c, to in [(c, to) for (at, c), to in child.items() if at == 0 and c not in weights]:
+        out.arcs[0].append((character(c), BYTES, fallback, 0))  # it begins a piece but is none
+    out.arcs[0].append((SAME, BYTES, fallback, 0))
+    return out
+
+
+def compose(a: Fst, b: Fst) -> Fst:
+    """What b makes of what a writes. SAME in a matches an own arc of b or, if b has none, b's SAME."""
+    out, number, todo = Fst(), {(0, 0): 0}, [(0, 0)]
+
+    def to(x: int, y: int) -> int:
+        if (x, y) not in number:
+            number[x, y] = out.state()
+            todo.append((x, y))
+        return number[x, y]
+
+    while todo:
+        x, y = todo.pop()
+        own = out.arcs[number[x, y]]
+        if x in a.final and y in b.final:
+            out.final.add(number[x, y])
+        known = {read for read, *_ in b.arcs[y]}
+        taken = {read for read, *_ in a.arcs[x]}
+        for read, write, weight, after in b.arcs[y]:
+            if read == NOTHING:
+                own.append((NOTHING, write, weight, to(x, after)))
+        for read, write, weight, after in a.arcs[x]:
+            if write == NOTHING:
+                own.append((read, NOTHING, weight, to(after, y)))
+                continue
+            for read2, write2, weight2, after2 in b.arcs[y]:
+                if write == SAME and read2 > NOTHING and read2 not in taken:
+                    own.append((read2, write2, weight + weight2, to(after, after2)))
+                elif read2 == write or (write > NOTHING and read2 == SAME and write not in known):
+                    own.append((read, write if write2 == SAME else write2, weight + weight2, to(after, after2)))
+    return out
+
+
+def chain(text: str) -> Fst:
+    """The acceptor of one text."""
+    out = Fst()
+    for c in text:
+        out.arcs[-1].append((character(c), character(c), 0.0, len(out.arcs)))
+        out.state()
+    out.final.add(len(out.arcs) - 1)
+    return out
+
+
+def shortest_path(fst: Fst) -> list[int]:
+    """Labels written on the path of least weight; the plain form, for one explicit transducer."""
+    best, heap, back = {0: 0.0}, [(0.0, 0)], {}
+    while heap:
+        cost, at = heapq.heappop(heap)
+        if cost > best[at]:
+            continue
+        for _, write, weight, to in fst.arcs[at]:
+            if cost + weight < best.get(to, _INFINITE):
+                best[to], back[to] = cost + weight, (at, write)
+                heapq.heappush(heap, (cost + weight, to))
+    at, out = min((x for x in fst.final if x in best), key=best.__getitem__), []
+    while at in back:
+        at, write = back[at]
+        if write != NOTHING:
+            out.append(write)
+    return out[::-1]
 
 
 class Transducer:
-    """Normaliser, pieces and byte fallback of a model file."""
+    """Normaliser, pieces and byte fallback of a model file, composed."""
 
     def __init__(self, path: str = MODEL):
         from sentencepiece import sentencepiece_model_pb2 as proto
@@ -63,26 +187,40 @@ class Transducer:
         normal, byte = proto.ModelProto.SentencePiece.NORMAL, proto.ModelProto.SentencePiece.BYTE
         self.score = {p.piece.replace("▁", " "): p.score for p in model.pieces if p.type == normal}
         self.id = {p.piece.replace("▁", " "): i for i, p in enumerate(model.pieces) if p.type == normal}
-        self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == byte}
+        byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == byte}
         if any(" " in x.lstrip(" ") for x in self.id):
             raise ValueError("a piece reads a blank after another character")
         self.text = {i: x for x, i in self.id.items()}
-        self.trie: dict = {}
-        for piece, i in self.id.items():
-            node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
-        self.pairs: dict[tuple[int, int], float] = {}
+        weights = {x: (i, 1.0 if self.merges else -self.score[x]) for x, i in self.id.items()}
+        fallback = 1.0 if self.merges else UNKNOWN - min(self.score.values())
+        self.body = compose(normaliser(False), pieces_or_bytes(weights, fallback))
+        self.fallback, self.byte = fallback, np.array([byte_ids[b] for b in range(256)], np.uint32)
+        self._lay_out()
+        self.pairs: dict[int, bool] = {}
         out = [b""] * len(model.pieces)
         for x, i in self.id.items():
             out[i] = x.encode()
-        for b, i in self.byte.items():
+        for b, i in byte_ids.items():
             out[i] = bytes([b])
         self.out_size = np.array([len(x) for x in out], np.int64)
         self.out_first = np.concatenate([[0], np.cumsum(self.out_size)[:-1]])
         self.out_bytes = np.frombuffer(b"".join(out), np.uint8)
 
+    def _lay_out(self) -> None:
+        """The composed transducer's arcs as arrays: steps by (state, character), and what each state writes on its way to the root."""
+        arcs = self.body.arcs
+        steps = sorted(((s << 21) | read, to) for s, own in enumerate(arcs) for read, write, _, to in own if read > NOTHING and write == NOTHING)
+        self.step_key, self.step_to = np.array([k for k, _ in steps], np.int64), np.array([t for _, t in steps], np.int32)
+        self.wrote, self.weight = np.full(len(arcs), -1, np.int32), np.zeros(len(arcs))
+        for s, own in enumerate(arcs):
+            for read, write, weight, _ in own:
+                if read == NOTHING:
+                    self.wrote[s], self.weight[s] = write - PIECE, weight
+        # characters with a piece of their own never fall back to bytes
+        self.single = np.zeros(0x110002, bool)
+        single = [read for read, write, _, to in arcs[0] if read > NOTHING and write == NOTHING and self.wrote[to] >= 0]
+        self.single[single] = True
+
     def merged(self, text: str) -> list[str]:
         """The merges' result: the best-scored pair first, of equals the leftmost, until none is a piece."""
         parts = list(text)
@@ -97,56 +235,100 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def pair_weight(self, left: int, right: int) -> float:
-        """Weight of two neighbours; left may be the start or a byte."""
-        if not self.merges:
-            return 0.0
-        key = (left if left >= 0 else _START, right)
-        weight = self.pairs.get(key)
-        if weight is None:
+    def fits(self, pair: int) -> bool:
+        """Whether the last transducer has an arc for a pair: (left piece + 1, 0 for the start or a byte) << 32 | right piece."""
+        found = self.pairs.get(pair)
+        if found is None:
             if len(self.pairs) > PAIRS_KEPT:
                 self.pairs.clear()
-            want = [self.text[x] for x in key if x >= 0]
-            weight = self.pairs[key] = 0.0 if self.merged("".join(want)) == want else _INFINITE
-        return weight
-
-    def shortest(self, text: str) -> list[int]:
-        """Ids of the shortest path for one stretch of normalised text."""
-        n, trie, pairs, merges = len(text), self.trie, self.pairs, self.merges
-        cost, last, back = [_INFINITE] * (n + 1), [_START] * (n + 1), [0] * (n + 1)
-        cost[0] = 0.0
-        for k in range(n):
-            here = cost[k]
-            if here == _INFINITE:
+            want = [self.text[x] for x in ((pair >> 32) - 1, pair & 0xFFFFFFFF) if x >= 0]
+            found = self.pairs[pair] = self.merged("".join(want)) == want
+        return found
+
+    def lattice(self, codes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Arcs (from, to, piece or -1 for bytes, weight) of texts composed with the transducer.
+
+        codes: the texts' characters, each text closed by -1; place: of each within its text.
+        """
+        n = len(codes)
+        alive, state = np.flatnonzero(codes >= 0), np.zeros(n, np.int64)
+        starts, ends, writes, weights = [], [], [], []
+        none = alive[~self.single[codes[alive] + 1]]
+        starts.append(none), ends.append(none + 1), writes.append(np.full(len(none), -1, np.int32)), weights.append(np.full(len(none), self.fallback))
+        for step in range(n):
+            alive = alive[codes[np.minimum(alive + step, n - 1)] >= 0]
+            if not len(alive):
+                break
+            key = (state[alive] << 21) | (codes[alive + step] + 1)
+            at = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
+            found = self.step_key[at] == key
+            alive = alive[found]
+            state[alive] = here = self.step_to[at[found]]
+            done = self.wrote[here] >= 0
+            starts.append(alive[done]), ends.append(alive[done] + step + 1), writes.append(self.wrote[here[done]]), weights.append(self.weight[here[done]])
+        start, end, write, weight = (np.concatenate(x) for x in (starts, ends, writes, weights))
+        order = np.lexsort((start, end, place[end]))
+        return start[order], end[order], write[order], weight[order]
+
+    def shortest(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the shortest path of each text, one after the other, and their numbers; none may be empty."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        codes = np.full(int(sizes.sum()) + len(texts), -1, np.int64)
+        stop = np.cumsum(sizes + 1) - 1
+        inside = np.ones(len(codes), bool)
+        inside[stop] = False
+        codes[inside] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        place = np.arange(len(codes)) - np.repeat(stop - sizes, sizes + 1)
+        start, end, write, weight = self.lattice(codes, place)
+        if len(texts) == 1:
+            return self._trace(codes, stop, stop - sizes, *self._relaxed(start, end, write, weight, len(codes)))
+        cost, last, back = np.full(len(codes), _INFINITE), np.full(len(codes), -1, np.int32), np.full(len(codes), -1, np.int64)
+        cost[place == 0] = 0.0
+        cuts = np.searchsorted(place[end], np.arange(1, int(sizes.max(initial=0)) + 2))
+        for a, b in zip(cuts, cuts[1:]):
+            own = np.arange(a, b)
+            own = own[np.isfinite(cost[start[own]])]
+            if self.merges:
+                piece = own[write[own] >= 0]
+                pairs, which = np.unique(((last[start[piece]].astype(np.int64) + 1) << 32) | write[piece], return_inverse=True)
+                right = piece[np.array([self.fits(x) for x in pairs.tolist()], bool)[which]]
+                own = np.sort(np.concatenate([right, own[write[own] < 0]]))
+            if not len(own):
                 continue
-            left = last[k]
-            node, i = trie, k
-            while i < n:
-                node = node.get(text[i])
-                if node is None:
-                    break
-                i += 1
-                piece = node.get("")
-                if piece is not None:
-                    total = here + (1.0 if merges else -self.score[self.text[piece]])
-                    if total < cost[i]:
-                        weight = pairs.get((left if left >= 0 else _START, piece))
-                        if weight is None:
-                            weight = self.pair_weight(left, piece)
-                        if total + weight < cost[i]:
-                            cost[i], last[i], back[i] = total + weight, piece, k
-            if text[k] not in self.id and here + 1 < cost[k + 1]:
-                cost[k + 1], last[k + 1], back[k + 1] = here + 1, _BYTES, k
-        out: list[int] = []
-        i = n
-        while i:
-            k = back[i]
-            if last[i] == _BYTES:
-                out += [self.byte[b] for b in reversed(text[k:i].encode())]
-            else:
-                out.append(last[i])
-            i = k
-        return out[::-1]
+            total = cost[start[own]] + weight[own]
+            order = np.lexsort((total, end[own]))
+            own, total = own[order], total[order]
+            first = np.concatenate([[True], end[own[1:]] != end[own[:-1]]])
+            to = end[own[first]]
+            cost[to], last[to], back[to] = total[first], write[own[first]], start[own[first]]
+        return self._trace(codes, stop, stop - sizes, last, back)
+
+    def _relaxed(self, start: np.ndarray, end: np.ndarray, write: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The last arc of the shortest path to each place of one text, arc by arc, as a long one has few that end together."""
+        cost, last, back = [_INFINITE] * n, [-1] * n, [-1] * n
+        cost[0] = 0.0
+        for a, b, piece, w in zip(start.tolist(), end.tolist(), write.tolist(), weight.tolist()):
+            if cost[a] + w < cost[b] and (piece < 0 or not self.merges or self.fits(((last[a] + 1) << 32) | piece)):
+                cost[b], last[b], back[b] = cost[a] + w, piece, a
+        return np.array(last, np.int32), np.array(back, np.int64)
+
+    def _trace(self, codes: np.ndarray, stop: np.ndarray, begin: np.ndarray, last: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers, from the ends of the paths back."""
+        on = np.zeros(len(codes), bool)  # ends of arcs on the path
+        at = stop[stop > begin]
+        while len(at):
+            on[at] = True
+            at = back[at]
+            at = at[back[at] >= 0]
+        end = np.flatnonzero(on)
+        piece, texts = last[end], np.searchsorted(stop, end)
+        count, raw = np.ones(len(end), np.int64), np.flatnonzero(piece < 0)
+        spelt = [chr(c).encode("utf-8", "replace") for c in codes[end[raw] - 1].tolist()]
+        count[raw] = [len(x) for x in spelt]
+        ids = np.repeat(piece, count).astype(np.uint32)
+        if len(raw):
+            ids[np.repeat(piece < 0, count)] = self.byte[np.frombuffer(b"".join(spelt), np.uint8)]
+        return ids, np.bincount(texts, count, len(stop)).astype(np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The normalised text in UTF-8, blanks as blanks, that the ids stand for, without the blank before it."""
@@ -160,48 +342,39 @@ class PieceEncoder:
     """Encodes many texts; keeps the ids of the stretches met."""
 
     def __init__(self, path: str = MODEL, kept: int = KEPT):
-        self.fst, self.store, self.powers = Transducer(path), WordStore(kept), Powers()
+        self.fst, self.store = Transducer(path), IdStore(kept)
 
     def normalised(self, text: bytes) -> bytes:
+        """What decoding gives back."""
         return text.replace(_META, b" ") if _META in text else text
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each UTF-8 text."""
+        # the normaliser's first arc reads nothing and writes a blank
         before = b" " if self.fst.prefix else b""
-        raw = b"".join((before + self.normalised(t) if t else b"") + b"\xff" for t in texts)
+        raw = b"".join((before + t if t else b"") + b"\xff" for t in texts)
         data = np.frombuffer(raw, np.uint8)
         blank, stop = data == 32, data == 0xFF
+        at = raw.find(_META)
+        while at >= 0:
+            blank[at : at + len(_META)] = True
+            at = raw.find(_META, at + len(_META))
         first = np.concatenate([[True], stop[:-1]]) | stop
         first[1:] |= blank[1:] & ~blank[:-1]
         start = np.flatnonzero(first)
         end = np.concatenate([start[1:], [len(data)]])
-        names = self.powers.names(data, start, end)
         stops = stop[start]
-        skip = stops | (end - start > LONGEST)
-        if len(self.store.names) > self.store.most:
+        if len(self.store) > self.store.most:
             self.store.clear()
-        number = self.store.find(names)
-        unknown = np.flatnonzero((number < 0) & ~skip)
-        solve = lambda a, b: self.fst.shortest(raw[a:b].decode("utf-8", "replace"))
-        if len(unknown):
-            new, at = np.unique(names[unknown], return_index=True)
-            at = unknown[at]
-            got = [solve(a, b) for a, b in zip(start[at].tolist(), end[at].tolist())]
-            self.store.add(new, np.array([len(x) for x in got]), np.array([i for x in got for i in x], np.uint32))
-            number[unknown] = self.store.find(names[unknown])
-        number[skip] = -1
-        count = np.where(number < 0, 0, self.store.count[number] if len(self.store.count) else 0)
-        long = {i: np.array(solve(start[i], end[i]), np.uint32) for i in np.flatnonzero(skip & ~stops).tolist()}
-        for i, x in long.items():
-            count[i] = len(x)
-        reach = np.cumsum(count, dtype=np.int64)
-        begin = reach - count
-        source = np.repeat(np.where(number < 0, 0, self.store.first[number]) - begin, count) + np.arange(reach[-1])
-        for i in long:
-            source[begin[i] : reach[i]] = 0
-        ids = self.store.pool[source] if len(self.store.pool) else np.zeros(len(source), np.uint32)
-        for i, x in long.items():
-            ids[begin[i] : reach[i]] = x
+        rows, before_ = np.flatnonzero(~stops & (end - start <= LONGEST)), len(self.store)
+        number = np.full(len(start), -1, np.int32)
+        number[rows], new = self.store.numbers(Stretches(data, start[rows], end[rows]))
+        solve = lambda rows: self.fst.shortest([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[rows].tolist(), end[rows].tolist())])
+        if len(new):
+            ids, counts = solve(rows[new])
+            self.store.put(np.arange(before_, len(self.store)), counts, ids)
+        apart = np.flatnonzero(~stops & (end - start > LONGEST))
+        ids, reach = self.store.lay_out(number, {i: solve(np.array([i]))[0] for i in apart.tolist()})
         cuts = [0, *reach[stops].tolist()]
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
@@ -259,7 +432,7 @@ def round_trip(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = piece_encoder(path)
-        low, high = min(own.fst.byte.values()), max(own.fst.byte.values())
+        low, high = int(own.fst.byte.min()), int(own.fst.byte.max())
         for batch in slices(batches, 1):
             texts = utf8(batch.column(1))
             ids = own.encode(texts)

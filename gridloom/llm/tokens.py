@@ -3,8 +3,8 @@
 A worker keeps the ids of the words it has met (bounded), so that the library
 encodes a word once and not each time it occurs. Words are what the vocabulary's
 own pre-tokeniser makes: they are found here over the bytes of many texts at
-once by character classes written out up to U+024F, named by a 64-bit hash, and
-looked up in a table, all in numpy. A text with a character beyond, or with an
+once by character classes written out up to U+024F and looked up in a table by a
+64-bit hash, with every hit compared by bytes, all in numpy. A text with a character beyond, or with an
 apostrophe that may begin a contraction, goes to the library whole; so does a
 word of more than LONGEST bytes.
 """
@@ -17,7 +17,7 @@ import re
 import numpy as np
 import public_tokenizers
 
-from gridloom.llm.common import Powers
+from gridloom.llm.common import Stretches, WordStore
 
 #: Words whose ids a worker keeps; beyond it the store is emptied.
 WORDS_KEPT = 1 << 20
@@ -68,59 +68,38 @@ def word_starts(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-class WordStore:
-    """A hash table from words' hashes to their ids in a pool."""
-
-    def __init__(self, most: int):
-        self.bits = 16
-        self.most = most
-        self.clear()
+class IdStore(WordStore):
+    """Words with their ids, which lie in a pool."""
 
     def clear(self) -> None:
-        self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-        self.names, self.first, self.count = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
-        self.pool = np.zeros(0, np.uint32)
-
-    def find(self, names: np.ndarray) -> np.ndarray:
-        """Number of each word, -1 if it is unknown."""
-        mask = np.uint64(len(self.keys) - 1)
-        slot = (names & mask).astype(np.int64)
-        key = self.keys[slot]
-        out = np.where(key == names, self.at[slot], -1)
-        go = np.flatnonzero((key != names) & (key != 0))
-        while len(go):
-            slot[go] = (slot[go] + 1) & int(mask)
-            key = self.keys[slot[go]]
-            hit = key == names[go]
-            out[go[hit]] = self.at[slot[go[hit]]]
-            go = go[~hit & (key != 0)]
-        return out
-
-    def _insert(self, names: np.ndarray, numbers: np.ndarray) -> None:
-        mask = np.uint64(len(self.keys) - 1)
-        slot = (names & mask).astype(np.int64)
-        left = np.arange(len(names))
-        while len(left):
-            free = left[self.keys[slot[left]] == 0]
-            _, one = np.unique(slot[free], return_index=True)
-            won = free[one]
-            self.keys[slot[won]], self.at[slot[won]] = names[won], numbers[won]
-            done = np.zeros(len(names), bool)
-            done[won] = True
-            left = left[~done[left]]
-            slot[left] = (slot[left] + 1) & int(mask)
-
-    def add(self, names: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """New words, each once, with their ids one after the other."""
-        old = len(self.names)
-        self.names, self.count, self.pool = np.concatenate([self.names, names]), np.concatenate([self.count, counts.astype(np.int32)]), np.concatenate([self.pool, ids])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
-        if 2 * len(self.names) > len(self.keys):
-            while 2 * len(self.names) > 1 << self.bits:
-                self.bits += 1
-            self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-            old, names = 0, self.names
-        self._insert(names, np.arange(old, len(self.names), dtype=np.int32))
+        super().clear()
+        self.first, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def put(self, numbers: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """The ids of words that were added, one word's after the other's."""
+        more = len(self) - len(self.first)
+        self.first, self.count = np.concatenate([self.first, np.zeros(more, np.int64)]), np.concatenate([self.count, np.zeros(more, np.int32)])
+        self.first[numbers], self.count[numbers] = len(self.pool) + np.cumsum(counts) - counts, counts
+        self.pool = np.concatenate([self.pool, ids])
+
+    def lay_out(self, number: np.ndarray, apart: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words by their numbers, one after the other, and where each ends); apart: those of words without number."""
+        known = number >= 0
+        count = np.zeros(len(number), np.int64)
+        count[known] = self.count[number[known]]
+        for i, x in apart.items():
+            count[i] = len(x)
+        reach = np.cumsum(count)
+        begin, total = reach - count, int(reach[-1]) if len(reach) else 0
+        source = np.full(len(number), 0, np.int64)
+        source[known] = self.first[number[known]] - begin[known]
+        source = np.repeat(source, count) + np.arange(total)
+        for i, x in apart.items():
+            source[begin[i] : reach[i]] = 0
+        ids = self.pool[source] if len(self.pool) else np.zeros(total, np.uint32)
+        for i, x in apart.items():
+            ids[begin[i] : reach[i]] = x
+        return ids, reach
 
 
 class Encoder:
@@ -135,7 +114,7 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         #: Bytes that each id stands for: in a byte-level vocabulary one character is one byte.
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.size)], np.int64)
-        self.store, self.powers = WordStore(kept), Powers()
+        self.store = IdStore(kept)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -158,14 +137,14 @@ class Encoder:
             ids.append(got)
         return np.concatenate(counts), np.concatenate(ids)
 
-    def _learn(self, names: np.ndarray, words: list[str]) -> None:
+    def _learn(self, numbers: np.ndarray, words: list[str]) -> None:
         kind = np.array([0 if _PLAIN(w) else 1 if _SOLID(w) else 2 for w in words])
         for k, between in ((0, ""), (1, "\n")):
             if len(at := np.flatnonzero(kind == k)):
-                self.store.add(names[at], *self._strung([words[i] for i in at.tolist()], between))
+                self.store.put(numbers[at], *self._strung([words[i] for i in at.tolist()], between))
         for i in np.flatnonzero(kind == 2).tolist():
             ids = self._whole(words[i])
-            self.store.add(names[i : i + 1], np.array([len(ids)]), ids)
+            self.store.put(numbers[i : i + 1], np.array([len(ids)]), ids)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text."""
@@ -181,35 +160,18 @@ class Encoder:
         data = np.frombuffer(raw, np.uint8)
         start = word_starts(data)
         end = np.concatenate([start[1:], [len(data)]])
-        names = self.powers.names(data, start, end)
         stops = data[start] == 0xFF
-        long = np.flatnonzero(end - start > LONGEST)
-        if len(self.store.names) > self.store.most:
+        long = end - start > LONGEST
+        if len(self.store) > self.store.most:
             self.store.clear()
-        number = self.store.find(names)
-        unknown = number < 0
-        unknown[stops] = unknown[long] = False
-        if unknown.any():
-            at = np.flatnonzero(unknown)
-            new, first = np.unique(names[at], return_index=True)
-            first = at[first]
-            self._learn(new, [raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())])
-            number[at] = self.store.find(names[at])
-        number[stops] = number[long] = -1
-        count = np.where(number < 0, 0, self.store.count[number] if len(self.store.count) else 0)
-        whole = {}
-        for i in long.tolist():
-            whole[i] = self._whole(raw[start[i] : end[i]].decode())
-            count[i] = len(whole[i])
-        reach = np.cumsum(count, dtype=np.int64)
-        begin = reach - count
-        source = np.repeat(np.where(number < 0, 0, self.store.first[number]) - begin, count) + np.arange(reach[-1] if len(reach) else 0)
-        if whole:
-            extra = np.repeat(np.isin(np.arange(len(count)), long), count)
-            source[extra] = 0
-        ids = self.store.pool[source] if len(self.store.pool) else np.zeros(len(source), np.uint32)
-        for i, x in whole.items():
-            ids[begin[i] : reach[i]] = x
+        number = np.full(len(start), -1, np.int32)
+        rows = np.flatnonzero(~stops & ~long)
+        before = len(self.store)
+        number[rows], new = self.store.numbers(Stretches(data, start[rows], end[rows]))
+        if len(new):
+            new = rows[new]
+            self._learn(np.arange(before, len(self.store)), [raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist())])
+        ids, reach = self.store.lay_out(number, {i: self._whole(raw[start[i] : end[i]].decode()) for i in np.flatnonzero(long).tolist()})
         cuts = [0, *(4 * reach[stops]).tolist()]
         out = ids.astype("<u4").tobytes()
         return [out[a:b] for a, b in zip(cuts, cuts[1:])]

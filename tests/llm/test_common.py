@@ -34,9 +34,46 @@ def test_first_of_each_group(spark):
         assert sorted(r["h"] for r in got if r["k"] == k) == sorted(h for g, h in rows if g == k)[:9]
 
 
-def test_names_of_stretches_are_equal_only_for_equal_ones():
-    data = np.frombuffer(b"abc xabc abcd ab" + bytes(200), np.uint8)
-    names = common.Powers().names(data, np.array([0, 5, 9, 9, 14]), np.array([3, 8, 12, 13, 16]))
-    assert names[0] == names[1] == names[2] and len(set(names.tolist())) == 3 and (names != 0).all()
-    zeros = common.Powers().names(data, np.array([20, 20]), np.array([25, 26]))
-    assert zeros[0] != zeros[1]
+def stretches(*texts):
+    ends = np.cumsum([len(t) for t in texts])
+    return common.Stretches(np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends)
+
+
+def thue_morse(k):
+    a, b = b"a", b"b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_of_stretches_are_equal_only_for_equal_ones():
+    texts = [b"abc", b"xabc"[1:], b"abcd", b"ab", b"", b"\0", b"\0\0", *thue_morse(3), *thue_morse(6), *thue_morse(10), *thue_morse(12)]
+    names = stretches(*texts).names
+    assert names[0] == names[1] and len(set(names.tolist())) == len(set(texts)) and (names != 0).all()
+
+
+def test_a_store_tells_words_of_one_hash_apart(monkeypatch):
+    monkeypatch.setattr(common.Stretches, "_names", lambda self: np.full(len(self.size), 7, np.uint64))
+    texts = [b"one", b"two", b"one", b"", b"x" * 64, b"x" * 65, b"x" * 500, b"x" * 65, b"abcdefgh", b"abcdefghi"]
+    store = common.WordStore(100)
+    number, new = store.numbers(stretches(*texts))
+    assert [texts.index(t) for t in texts] == [texts.index(texts[list(number).index(k)]) for k in number]
+    assert sorted(texts[i] for i in new) == sorted(set(texts)) and [number[i] for i in new] == list(range(len(new)))
+    assert store.find(stretches(b"two", b"three", b"x" * 66)).tolist() == [number[1], -1, -1]
+
+
+def test_store_grows():
+    texts = [str(i).encode() * (1 + i % 30) for i in range(70_000)]
+    store = common.WordStore(1 << 30)
+    for a in (0, 100, 40_000):
+        store.numbers(stretches(*texts[a:]))
+    number = store.find(stretches(*texts))
+    assert (number >= 0).all() and len(set(number.tolist())) == len(set(texts)) == len(store)
+
+
+def test_helper_columns_have_names_of_their_own(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "_Own int, _own_ int, x int")
+    assert common.unused(df, "_own", "x", "y") == ["_own__", "x_", "y"]
+    odd = spark.createDataFrame([(1, "a", "b", 2), (2, "a", "b", 2)], "doc_id long, _own_number string, _number string, _gone int")
+    left = common.without(odd, spark.createDataFrame([(1,)], "x long"), "doc_id")
+    assert [tuple(r) for r in left.collect()] == [(2, "a", "b", 2)] and left.columns == odd.columns

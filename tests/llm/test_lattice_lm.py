@@ -26,14 +26,27 @@ def marginal(lattice, weights, word):
 @pytest.mark.parametrize("word", [b"the", b"unit", "né".encode(), b"x", "日".encode()])
 def test_forward_is_the_sum_over_segmentations(lattice, word):
     row = np.frombuffer(b" " + word, np.uint8)[None, :]
-    assert lattice.forward(row, lattice.first_guess)[0] == pytest.approx(marginal(lattice, lattice.first_guess, word))
+    assert lattice.score(row, lattice.first_guess)[0] == pytest.approx(marginal(lattice, lattice.first_guess, word))
 
 
 def test_windows_do_not_change_a_long_word(lattice, monkeypatch):
-    row = np.frombuffer(b" " + b"abcdefgh" * 40, np.uint8)[None, :]
-    whole = lattice.forward(row, lattice.first_guess)
+    row, counts = np.frombuffer(b" " + b"abcdefgh internationalisation" * 12, np.uint8)[None, :], np.array([2.0])
+    whole, expected = lattice.score(row, lattice.first_guess), np.zeros(len(lattice.pieces))
+    lattice.expected(row, counts, lattice.first_guess, expected)
     monkeypatch.setattr("gridloom.llm.lattice_lm.WINDOW", 7)
-    assert lattice.forward(row, lattice.first_guess) == pytest.approx(whole)
+    parts = np.zeros(len(lattice.pieces))
+    lattice.expected(row, counts, lattice.first_guess, parts)
+    assert lattice.score(row, lattice.first_guess) == pytest.approx(whole) and np.allclose(parts, expected)
+
+
+def test_arcs_are_all_pieces_that_end_there(lattice):
+    words = [b" thinking", b" x\xc3\xa9\xff the"]
+    for w in words:
+        got = lattice.arcs(np.frombuffer(w, np.uint8)[None, :], 0, len(w))[0]
+        for j in range(1, len(w) + 1):
+            for s, size in enumerate(lattice.sizes):
+                piece = w[j - size : j] if size <= j else None
+                assert got[j - 1, s] == (lattice.pieces.index(piece) if piece in lattice.pieces else -1)
 
 
 def test_expected_counts_add_up_to_the_word(lattice):
@@ -65,6 +78,24 @@ def test_counts_and_base_score_against_plain_python(spark, docs_of):
         by_text.setdefault(i, set()).add(round(r["score"], 6))
 
 
+def test_a_word_of_more_places_than_a_row_holds(docs_of, monkeypatch):
+    rows = [(i, f"the word{i % 7} the {'very' * (i % 3)}") for i in range(60)]
+    order = lambda df: sorted(tuple(r) for r in df.collect())
+    want = order(score_documents(docs_of(rows).repartition(3), block_bytes=100))
+    monkeypatch.setattr("gridloom.llm.lattice_lm.PLACES", 2)
+    got = order(score_documents(docs_of(rows).repartition(3), block_bytes=100))
+    assert [x[:6] for x in got] == [x[:6] for x in want] and [x[6] for x in got] == pytest.approx([x[6] for x in want])
+
+
+def test_words_that_a_sum_of_powers_confuses(docs_of):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = [(i, b if not train(i) else a) for i in range(6)]
+    got = score_documents(docs_of(rows), rounds=0).collect()
+    assert {r["n_known"] for r in got if r["held_out"]} == {1} and {r["n_known"] for r in got if not r["held_out"]} == {2}
+
+
 def test_learning_helps_held_out_text(spark, docs_of):
     rows = [(i, f"word{i % 7} likes tokens and token{i % 5}") for i in range(200)]
     first = {r["doc_id"]: r["score"] for r in score_documents(docs_of(rows), rounds=0).collect()}

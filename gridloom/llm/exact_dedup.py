@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BLANKS, record, slices, split_by_ids, utf8
+from gridloom.llm.common import BLANKS, record, slices, split_by_ids, unused, utf8
 from gridloom.session import let_workers_import, written
 
 #: Partners in a round, itself included.
@@ -75,13 +75,13 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
     for key, same in groupby(entries(), key=itemgetter(0, 1, 2, 3)):
         best = next(same)
-        rows, runs = best[8], best[9]
+        rows, runs = best[8], set(best[9])
         for entry in same:
             rows += entry[8]
-            runs = runs + entry[9]
+            runs.update(entry[9])
             if _best(entry) < _best(best):
                 best = entry
-        out.append((*key, *best[4:8], rows, runs))
+        out.append((*key, *best[4:8], rows, sorted(runs)))
         if len(out) >= 4096:
             yield record(_ENTRY_ARROW, *zip(*out))
             out = []
@@ -117,7 +117,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = rows.select(
         (F.col("run") % slots).cast("int").alias("slot"), "sha", "size", "check", "chars", "doc_id", "run", "pos", F.lit(1).cast("long").alias("rows"), F.array("run").alias("runs")
     )
-    entries = entries.sortWithinPartitions("slot", "sha", "size", "check").mapInArrow(_merged_within_run, _ENTRY)
+    entries = entries.sortWithinPartitions("slot", "sha", "size", "check").mapInArrow(_merged, _ENTRY)
     number = F.conv(F.hex(F.substring("sha", 1, 4)), 16, 10).cast("long")
     for r in range(rounds):
         unit = radix**r
@@ -126,7 +126,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         entries = entries.withColumn("slot", (F.col("slot") + (will - was) * unit).cast("int"))
         entries = _sorted_merge(entries)
     shared = entries.where("rows > 1").select(
-        F.explode(F.array_distinct("runs")).alias("run"), "sha", "size", "check", F.col("rows").alias("group_size"), F.col("doc_id").alias("keep_id"), F.col("run").alias("keep_run"), F.col("pos").alias("keep_pos")
+        F.explode("runs").alias("run"), "sha", "size", "check", F.col("rows").alias("group_size"), F.col("doc_id").alias("keep_id"), F.col("run").alias("keep_run"), F.col("pos").alias("keep_pos")
     )
     joined = rows.join(shared, ["run", "sha", "size", "check"], "left")
     alone = F.col("group_size").isNull()
@@ -139,24 +139,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _merged_within_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First level: the same digest in one read partition becomes one entry; run numbers stay sets."""
-    for batch in _merged(batches):
-        runs = [list(dict.fromkeys(x)) for x in batch.column(9).to_pylist()]
-        yield record(_ENTRY_ARROW, *batch.columns[:9], runs)
-
-
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay; all columns as they are. Rows repeated whole become one."""
     found = exact_dedup(docs, id_col, text_col)
-    told = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("__kept"), F.min("kept").alias("__all"))
-    told, _ = written(told.where(~F.col("__all")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "__kept"), "copies")
-    maybe, surely = split_by_ids(docs, told.select("__id"), id_col)
+    told = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("some"), F.min("kept").alias("every"))
+    id_, sha, some, own, own_sha, place = unused(docs, "_id", "_sha", "_some", "_own", "_own_sha", "_place")
+    told, _ = written(told.where(~F.col("every")).select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha), F.col("some").alias(some)), "copies")
+    maybe, surely = split_by_ids(docs, told.select(id_), id_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = maybe.withColumns({"__own": F.col(id_col).cast("long"), "__own_sha": F.sha2(F.translate(text, BLANKS.decode(), "").cast("binary"), 256)})
-    joined = own.join(told, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__own_sha") == F.col("__sha")), "left")
-    order = Window.partitionBy("__own", "__own_sha").orderBy(F.char_length(text).desc(), text)
-    kept = joined.withColumn("__place", F.row_number().over(order)).where(F.col("__kept").isNull() | (F.col("__kept") & (F.col("__place") == 1)))
+    mine = maybe.withColumns({own: F.col(id_col).cast("long"), own_sha: F.sha2(F.translate(text, BLANKS.decode(), "").cast("binary"), 256)})
+    joined = mine.join(told, F.col(own).eqNullSafe(F.col(id_)) & (F.col(own_sha) == F.col(sha)), "left")
+    # of rows that have id and normalised text in common one stays; alone they need no shuffle
+    order = Window.partitionBy(own, own_sha).orderBy(F.char_length(text).desc(), text)
+    kept = joined.where(F.coalesce(F.col(some), F.lit(True))).withColumn(place, F.row_number().over(order)).where(F.col(some).isNull() | (F.col(place) == 1))
     return surely.unionByName(kept.select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 

@@ -142,11 +142,13 @@ def train(docs: DataFrame, teach: Column, rows: int = SAMPLE_ROWS) -> Model | No
     got = labelled_sample(plain, F.col("lang"), teach, rows).mapInArrow(_sample_counts, "lang string, at binary, n binary").collect()
     if not got:
         return None
-    got = sorted(got, key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
-    x = np.zeros((len(got), BUCKETS), np.float32)
+    got.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
+    x, labels = np.zeros((len(got), BUCKETS), np.float32), [r["lang"] for r in got]
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint32)
-    return fit(np.sqrt(x / x.sum(axis=1, keepdims=True)), [r["lang"] for r in got])
+    del got
+    x /= x.sum(axis=1, keepdims=True)
+    return fit(np.sqrt(x, out=x), labels)
 
 
 def identify(docs: DataFrame, modulus: int = 4, held_out: int = 2, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

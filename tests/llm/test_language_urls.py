@@ -1,3 +1,4 @@
+import math
 import os
 import random
 import zlib
@@ -44,6 +45,27 @@ def test_a_wrong_bit_is_corrected():
         assert model.predict(margins[None, :])[0] == ["abcdef"[i]]
 
 
+def test_predictions_against_plain_python(spark):
+    """Counts, margins and weighted losses one by one, with the model that the operator fits."""
+    rows, docs = labelled(spark, ["en", "de", "fr", "es"])
+    model = language_id.train(docs, language_id.remainder(F.col("doc_id"), 4) != 2)
+    for r, (_, text, _) in zip(language_id.identify(docs).orderBy("doc_id").collect(), rows):
+        plain = " " + "".join(c.lower() if "a" <= c.lower() <= "z" else c if c > "\x7f" else " " for c in text) + " "
+        raw, count = plain.encode(), {}
+        for n, mul, add in ((2, 0x9E3779B1, 0x7F4A7C15), (3, 0x85EBCA6B, 0)):
+            for i in range(len(raw) - n + 1):
+                bucket = ((int.from_bytes(raw[i : i + n], "little") * mul + add) % 2**32) >> 20
+                count[bucket] = count.get(bucket, 0) + 1
+        total = sum(count.values())
+        loss = []
+        for lang, word in zip(model.languages, model.code):
+            margins = [model.bias[b] + sum(math.sqrt(c / total) * model.weights[k, b] for k, c in count.items()) for b in range(len(word))]
+            loss.append(sum(t * math.log1p(math.exp(-w * m)) for t, w, m in zip(model.trust, word, margins)))
+        share = [math.exp(min(loss) - x) for x in loss]
+        assert r["lang_pred"] == model.languages[loss.index(min(loss))]
+        assert r["score"] == pytest.approx(1 / sum(share), abs=1e-4) and r["ambiguous"] == (r["score"] < language_id.AMBIGUOUS)
+
+
 def test_prediction_ignores_label_and_source(spark):
     rows, docs = labelled(spark, ["en", "de"])
     more = docs.union(spark.createDataFrame([(10_002, rows[0][1], "de"), (10_003, rows[0][1], None)], docs.schema))

@@ -17,8 +17,8 @@ those with the smallest hash), and of the same spans rewritten in other formats.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -35,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 LONGEST = 24
 #: Regions for training, for each kind and for regions without a span.
 EXAMPLES = 120
+#: Characters of a region for training at most; decoding knows no such bound.
+EXAMPLE_CHARS = 200
 EPOCHS = 6
 #: A span is added only if it scores so much more than no span.
 MARGIN = 1.0
@@ -93,19 +95,30 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
-_NUMBERS = re.compile(r"[+(]*[0-9](?:[0-9 ().+-]*[0-9])?")
-_AROUND = re.compile(r"[A-Za-z0-9._%+-]* ?@ ?[A-Za-z0-9.-]*")
+#: Runs of what numbers are written with; each gives one region at most, so that reading takes linear time.
+_RUN = re.compile("[0-9 ().+-]++")
+_DIGIT = re.compile("[0-9]")
+_AFTER_AT = re.compile("@ ?[A-Za-z0-9.-]*+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]", re.DOTALL)
 _PIECES = re.compile(r"[0-9]+|[A-Za-z]+|.", re.DOTALL)
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Disjoint stretches, in order, outside which no segment can lie."""
+    """Disjoint stretches, in order, outside which no segment can lie.
+
+    From the first digit of a run, with the signs and brackets before it, to its
+    last digit; and around each @ the characters of an address.
+    """
     if not _TRIGGER.search(text):
         return []
-    found = [m.span() for m in _NUMBERS.finditer(text)]
+    found = []
+    for m in _RUN.finditer(text):
+        if digit := _DIGIT.search(text, m.start(), m.end()):
+            run, first = m[0].rstrip(" ().+-"), digit.start() - m.start()
+            before = len(run[:first].rstrip("+("))
+            found.append((m.start() + before, m.start() + len(run)))
     if "@" in text:
-        found += [(m.start(), m.end()) for m in _AROUND.finditer(text)] if len(text) < 100_000 else [_email_region(text, m.start()) for m in re.finditer("@", text)]
+        found += [_email_region(text, m.start()) for m in re.finditer("@", text)]
     found.sort()
     out: list[tuple[int, int]] = []
     for a, b in found:
@@ -117,11 +130,11 @@ def regions(text: str) -> list[tuple[int, int]]:
 
 
 def _email_region(text: str, at: int) -> tuple[int, int]:
-    """The same around one ``@`` of a long text."""
+    """The characters of an address around one @; those before it hold no other @."""
     a = at - 1 if at and text[at - 1] == " " else at
     while a and text[a - 1] in _LOCAL:
         a -= 1
-    return a, _AROUND.match(text, at).end()
+    return a, _AFTER_AT.match(text, at).end()
 
 
 def _beside(c: str) -> str:
@@ -232,50 +245,77 @@ def _arcs(field: Field, region: str, bounds: list[int], ends: list, j: int, left
             yield i, k + 1, score
 
 
-def _gradient(field: Field, region: str, left: str, right: str, gold: dict[tuple[int, int], int]) -> tuple[dict, np.ndarray] | None:
-    """Observed less expected feature counts of one region; gold: label by (start, end)."""
-    bounds, ends = segments(region)
-    n, labels = len(bounds) - 1, len(KINDS) + 1
-    arcs = [list(_arcs(field, region, bounds, ends, j, left, right)) if j else [] for j in range(n + 1)]
-    alpha = np.full((n + 1, labels), -np.inf)
-    alpha[0, 0] = 0.0
-    for j in range(1, n + 1):
-        for i, y, score in arcs[j]:
-            alpha[j, y] = np.logaddexp(alpha[j, y], _lse(alpha[i] + field.steps[:, y]) + score)
-    beta = np.full((n + 1, labels), -np.inf)
-    beta[n] = field.steps[:, 0]
-    total = float(_lse(alpha[n] + beta[n]))
-    counts: dict = defaultdict(float)
-    steps = np.zeros_like(field.steps)
-    for j in range(n, 0, -1):
-        for i, y, score in arcs[j]:
-            reach = score + beta[j, y]
-            share = np.exp(alpha[i] + field.steps[:, y] + reach - total)
-            steps[:, y] -= share
-            mass = float(share.sum())
-            if y and mass > 1e-6:
-                counts[i, j, y] -= mass
-            beta[i] = np.logaddexp(beta[i], field.steps[:, y] + reach)
-    at = {b: t for t, b in enumerate(bounds)}
-    place, previous = 0, 0
-    for (a, b), y in sorted(gold.items()):
-        if a not in at or b not in at or at[a] < place:
-            return None
-        for _ in range(at[a] - place):
-            steps[previous, 0] += 1
-            previous = 0
-        counts[at[a], at[b], y] += 1
-        steps[previous, y] += 1
-        place, previous = at[b], y
-    for _ in range(n - place):
-        steps[previous, 0] += 1
-        previous = 0
-    out: dict = defaultdict(float)
-    for (i, j, y), share in counts.items():
-        before, after = region[bounds[i] - 1] if bounds[i] else left, region[bounds[j]] if bounds[j] < len(region) else right
-        for f in span_features(region[bounds[i] : bounds[j]], before, after):
-            out[f, y - 1] += share
-    return out, steps
+class Example:
+    """A region of text with its true segments, laid out for training: all that doesn't change with the weights.
+
+    Candidates in the order of their ends: first token, features (numbers), and
+    for each end where its candidates begin.
+    """
+
+    def __init__(self, number: dict[str, int], region: str, left: str, right: str, gold: dict[tuple[int, int], int]):
+        bounds, ends = segments(region)
+        at = {b: t for t, b in enumerate(bounds)}
+        self.n = len(bounds) - 1
+        self.first = np.array([i for own in ends for i, _ in own], np.int64)
+        self.cut = np.cumsum([0, *(len(own) for own in ends)])
+        rows = []
+        for j, own in enumerate(ends):
+            for i, span in own:
+                before, after = region[bounds[i] - 1] if bounds[i] else left, region[bounds[j]] if bounds[j] < len(region) else right
+                rows.append([number.setdefault(f, len(number)) for f in span_features(span, before, after)])
+        self.flat = np.array([f for r in rows for f in r], np.int64)
+        self.row = np.cumsum([0, *(len(r) for r in rows)])[:-1]
+        self.size = np.array([len(r) for r in rows], np.int64)
+        self.path: list[tuple[int, int, int]] | None = []  # (first token, end token, label) of the true segments
+        place = 0
+        for (a, b), y in sorted(gold.items()):
+            found = [c for c in range(*self.cut[at[b] : at[b] + 2]) if self.first[c] == at[a]] if a in at and b in at and at[a] >= place else []
+            if not found:
+                self.path = None
+                break
+            self.path.append((at[a], at[b], y))
+            place = at[b]
+
+    def gradient(self, weights: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Observed less expected labels of each candidate (candidates x kinds), and label pairs."""
+        labels, n = len(KINDS) + 1, self.n
+        scores = np.add.reduceat(weights[self.flat], self.row, axis=0) if len(self.row) else np.zeros((0, len(KINDS)))
+        alpha, beta = np.full((n + 1, labels), -np.inf), np.full((n + 1, labels), -np.inf)
+        alpha[0, 0], beta[n] = 0.0, steps[:, 0]
+        for j in range(1, n + 1):
+            alpha[j, 0] = _lse(alpha[j - 1] + steps[:, 0])
+            a, b = self.cut[j], self.cut[j + 1]
+            if b > a:
+                via = _lse(alpha[self.first[a:b], :, None] + steps[None, :, 1:], axis=1) + scores[a:b]
+                alpha[j, 1:] = _lse(via, axis=0)
+        total = float(_lse(alpha[n] + beta[n]))
+        mass, pairs = np.zeros((len(self.first), len(KINDS))), np.zeros_like(steps)
+        pairs[:, 0] -= np.exp(alpha[n] + beta[n] - total)
+        for j in range(n, 0, -1):
+            reach = steps[:, 0] + beta[j, 0]
+            pairs[:, 0] -= np.exp(alpha[j - 1] + reach - total)
+            beta[j - 1] = np.logaddexp(beta[j - 1], reach)
+            a, b = self.cut[j], self.cut[j + 1]
+            if b > a:
+                reach = steps[None, :, 1:] + (scores[a:b] + beta[j, 1:])[:, None, :]
+                share = np.exp(alpha[self.first[a:b], :, None] + reach - total)
+                pairs[:, 1:] -= share.sum(axis=0)
+                mass[a:b] = -share.sum(axis=1)
+                rows = self.first[a:b]  # each token begins one candidate of an end at most
+                beta[rows] = np.logaddexp(beta[rows], _lse(reach, axis=2))
+        place, previous = 0, 0
+        for i, j, y in [*self.path, (n, n, 0)]:
+            if i > place:
+                pairs[previous, 0] += 1
+                pairs[0, 0] += i - place - 1
+                previous = 0
+            if y:
+                found = next(c for c in range(self.cut[j], self.cut[j + 1]) if self.first[c] == i)
+                mass[found, y - 1] += 1
+                pairs[previous, y] += 1
+                place, previous = j, y
+        pairs[previous, 0] += 1
+        return mass, pairs
 
 
 def rewritten(region: str, gold: dict[tuple[int, int], int]) -> list[tuple[str, dict[tuple[int, int], int]]]:
@@ -298,24 +338,27 @@ _PLAIN_REGIONS = ("2024-01-02", "2024-01-02 10", "2023-11-30 23", "1999-12-31",
 
 def fit(examples: list[tuple[str, str, str, dict[tuple[int, int], int]]], epochs: int = EPOCHS, rate: float = 0.5, decay: float = 0.002) -> Field:
     """Adaptive gradient ascent over the examples in a fixed order."""
-    field, seen = Field(), defaultdict(lambda: 1e-6)
-    seen_steps = np.full_like(field.steps, 1e-6)
+    number: dict[str, int] = {}
     work = [(r, left, right, g) for region, left, right, gold in examples for r, g in [(region, gold), *rewritten(region, gold)]]
     work += [(r, " ", ":" if r[-3:-2] == " " else " ", {}) for r in _PLAIN_REGIONS]
+    laid = [x for x in (Example(number, *w) for w in work) if x.path is not None]
+    weights, seen = np.zeros((len(number), len(KINDS))), np.full((len(number), len(KINDS)), 1e-6)
+    steps = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
+    seen_steps = np.full_like(steps, 1e-6)
     order = np.random.default_rng(7)
     for _ in range(epochs):
-        for x in order.permutation(len(work)):
-            got = _gradient(field, *work[x])
-            if got is None:
-                continue
-            for key, g in got[0].items():
-                g -= decay * field.weights.get(key, 0.0)
-                seen[key] += g * g
-                field.weights[key] = field.weights.get(key, 0.0) + rate * g / math.sqrt(seen[key])
-            seen_steps += got[1] ** 2
-            field.steps = field.steps + rate * got[1] / np.sqrt(seen_steps)
-            field.known.clear()
-    return field
+        for x in order.permutation(len(laid)):
+            own = laid[x]
+            mass, pairs = own.gradient(weights, steps)
+            used, which = np.unique(own.flat, return_inverse=True)
+            g = np.zeros((len(used), len(KINDS)))
+            np.add.at(g, which, np.repeat(np.where(np.abs(mass) > 1e-6, mass, 0.0), own.size, axis=0))
+            g = np.where(g != 0, g - decay * weights[used], 0.0)
+            seen[used] += g * g
+            weights[used] += rate * g / np.sqrt(seen[used])
+            seen_steps += pairs**2
+            steps = steps + rate * pairs / np.sqrt(seen_steps)
+    return Field({(f, k): float(w) for f, i in number.items() for k, w in enumerate(weights[i]) if w}, steps)
 
 
 def _gold(spans: list[Span], a: int, b: int) -> dict[tuple[int, int], int]:
@@ -339,7 +382,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if found := regions(text):
                 spans = base_spans(text)
                 for a, b in found:
-                    if b - a <= 200:
+                    if b - a <= EXAMPLE_CHARS:
                         gold = _gold(spans, a, b)
                         digest = hashlib.blake2b(text[max(0, a - 40) : b + 40].encode("utf-8", "replace"), digest_size=8).digest()
                         labels = [x for (s, e), y in sorted(gold.items()) for x in (s, e, y)]
@@ -362,18 +405,35 @@ def train(docs: DataFrame, text_col: str = "text", examples: int = EXAMPLES) ->
     return fit(take)
 
 
+class Cover:
+    """Which characters some spans cover, as disjoint stretches in order."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda x: (x[1], x[2])):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        at = bisect_right(self.ends, a)
+        return at < len(self.starts) and self.starts[at] < b
+
+
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """The base spans, and those with what the field adds beside them; both by kind and then start."""
     base = base_spans(text)
     if not field.weights:
         return base, base
-    added = []
+    added, cover, exact = [], Cover(base), {x[1:] for x in base}
     for a, b in regions(text):
-        inside = [x for x in base if x[1] < b and a < x[2]]
-        if len(inside) == 1 and inside[0][1:] == (a, b):
+        if (a, b) in exact:
             continue
         for k, s, e in decode(field, text[a:b], text[a - 1 : a], text[b : b + 1]):
-            if all(a + e <= x[1] or a + s >= x[2] for x in inside):
+            if not cover.meets(a + s, a + e):
                 added.append((k, a + s, a + e))
     return base, sorted([*base, *added])
 

@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from gridloom.llm import pii_semicrf as pii
@@ -29,9 +31,67 @@ def test_base_spans_against_the_patterns():
         assert pii.base_spans(text) == naive(text)
 
 
-@pytest.mark.parametrize("text", ["1" * 200_000, "+1" + " " * 100_000, "a" * 200_000 + "@", "1." * 50_000, "@" * 50_000, "+1 " * 30_000])
-def test_long_runs_take_linear_time(text):
-    pii.base_spans(text)
+@pytest.mark.parametrize("text", ["1" * 200_000, "+1" + " " * 100_000, "a" * 200_000 + "@", "1." * 50_000, "@" * 50_000, "+1 " * 30_000, "1" + "(" * 200_000, "a" * 200_000 + "@" * 10, "10.0.0.1 " * 20_000, "a@b.co " * 25_000, "(" * 200_000 + "1"])
+def test_long_runs_take_linear_time(field, text):
+    began = time.process_time()
+    pii.all_spans(text, field)
+    assert time.process_time() - began < 60
+
+
+@pytest.mark.parametrize("text", ["1(" * 50, "5" + "(" * 40, "(+(5 - 6)) .", "x@", "a.b @ c.d", "a@ b @c", "@@ a@b.c@d.e", "+1 (443) 555", "5 a@b.c 6@d.e", "+ ( -"])
+def test_regions_hold_what_the_plain_patterns_find(text):
+    plain = [m.span() for p in (r"[+(]*[0-9](?:[0-9 ().+-]*[0-9])?", r"[A-Za-z0-9._%+-]* ?@ ?[A-Za-z0-9.-]*") for m in re.finditer(p, text)]
+    joined = []
+    for a, b in sorted(plain):
+        if joined and a <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+        else:
+            joined.append((a, b))
+    assert pii.regions(text) == joined
+
+
+def test_cover():
+    rng = random.Random(5)
+    for _ in range(300):
+        spans = [(0, a, a + rng.randrange(1, 6)) for a in (rng.randrange(40) for _ in range(rng.randrange(6)))]
+        a = rng.randrange(40)
+        b = a + rng.randrange(1, 6)
+        assert pii.Cover(spans).meets(a, b) == any(x < b and a < y for _, x, y in spans)
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """Against differences of the log-likelihood, by summing over all segmentations one by one."""
+    rng = np.random.default_rng(4)
+    region, left, right, gold = "a@b.co 1.2", " ", "x", {(0, 6): 1}
+    number: dict = {}
+    example = pii.Example(number, region, left, right, gold)
+    weights, steps = rng.normal(0, 0.3, (len(number), 4)), rng.normal(0, 0.3, (5, 5))
+
+    def likelihood(weights, steps):
+        scores = [sum(weights[f] for f in example.flat[a : a + n]) for a, n in zip(example.row, example.size)]
+        arcs = {j: [(j - 1, 0, 0.0)] + [(int(example.first[c]), k + 1, scores[c][k]) for c in range(example.cut[j], example.cut[j + 1]) for k in range(4)] for j in range(1, example.n + 1)}
+
+        def total(j, label):  # of segmentations up to j that end with label
+            return float(label == 0) if j == 0 else sum(total(i, y) * np.exp(steps[y, label] + s) for i, own, s in arcs[j] if own == label for y in range(5))
+
+        (i, j, y), = example.path
+        c = next(c for c in range(example.cut[j], example.cut[j + 1]) if example.first[c] == i)
+        gaps = example.n - j
+        true = steps[0, y] + scores[c][y - 1] + (steps[y, 0] + (gaps - 1) * steps[0, 0] if gaps else 0) + (steps[0, 0] if gaps else steps[y, 0])
+        return true - np.log(sum(total(example.n, y) * np.exp(steps[y, 0]) for y in range(5)))
+
+    mass, pairs = example.gradient(weights, steps)
+    by_feature = np.zeros_like(weights)
+    np.add.at(by_feature, example.flat, np.repeat(mass, example.size, axis=0))
+    for _ in range(12):
+        f, k, a, b = rng.integers(len(number)), rng.integers(4), rng.integers(5), rng.integers(5)
+        for x, at, want in ((weights, (f, k), by_feature[f, k]), (steps, (a, b), pairs[a, b])):
+            x[at] += 1e-5
+            up = likelihood(weights, steps)
+            x[at] -= 2e-5
+            down = likelihood(weights, steps)
+            x[at] += 1e-5
+            assert (up - down) / 2e-5 == pytest.approx(want, abs=1e-4)
 
 
 def samples():

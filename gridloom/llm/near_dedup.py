@@ -18,9 +18,9 @@ links to one leader, and their members are set aside. Candidates of too unequal
 size, or of clearly lower similarity by their whole signatures, are dropped, and
 the others are confirmed on the full sets of shingles of their texts. After
 components are found, the buckets set aside whose members lie in several
-components are taken up again: their members meet with their whole sets, in
-blocks, so that no link is lost that a leader didn't show. A block gives only
-links that join components, never all of its pairs.
+components are taken up again: their members are joined by their rarest
+shingles, which finds every pair that is similar enough (prefix filter), so that
+no link is lost that a leader didn't show.
 """
 
 from __future__ import annotations
@@ -46,8 +46,6 @@ LEAST_AGREEMENT = 0.6
 SMALL = 8
 #: Members of a band that one task takes.
 HOT = 20_000
-#: Members of a block.
-BLOCK = 1024
 
 _VALUES = 2 * TABLES * ROWS
 _SEED = np.random.default_rng(20170612)
@@ -378,97 +376,88 @@ class _Run:
         return written(both.mapInArrow(_confirm(self.percent, self.width), "one long, two long"), "links")[0]
 
     def across(self, aside: DataFrame, found: DataFrame) -> DataFrame:
-        """Links across components within the buckets set aside, as many as join what can be joined; written.
-
-        Buckets of one component, or of one member, are settled. Components that meet in a bucket
-        make a cluster; of its members, those outside its largest component meet
-        all members, block by block, with their whole sets.
+        """Links between components among the members of the buckets set aside; written.
+
+        Buckets of one component, or of one member, are settled. The members of
+        the others are joined by their rarest shingles: with shingles ordered by
+        how frequent they are among these members, a pair that is similar enough
+        has a shingle in common among the first of the smaller set (index) and
+        of the larger one (probe), whose places leave room for the overlap that
+        is needed. That loses nothing, and text that very many have in common
+        comes last and is no reason to meet. Shingles of one component are
+        dropped before pairs are made.
         """
         labelled = aside.join(found.withColumnRenamed("node", "one"), "one", "left").select("bucket", "one", F.coalesce("component", "one").alias("component"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket", "least")
-        members, _ = written(labelled.join(mixed, "bucket").select("one", "component", "least").distinct(), "mixed")
-        met = members.select(F.col("component").alias("one"), F.col("least").alias("two")).where("one <> two").distinct()
-        clusters = components(met).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-        rows = members.select("one", "component").distinct().join(clusters, "component", "left").withColumn("cluster", F.coalesce("cluster", "component"))
-        sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("members"))
-        blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-        largest = largest.select("cluster", F.col("top.component").alias("top"), blocks(F.col("top.n")).alias("inner"), blocks(F.col("members") - F.col("top.n")).alias("outer"))
-        rows = rows.join(largest, "cluster")
-        outside, number = F.col("component") != F.col("top"), F.xxhash64("one")
-        rows = rows.withColumn("part", F.when(outside, F.col("inner") + F.pmod(number, F.col("outer"))).otherwise(F.pmod(number, F.col("inner"))).cast("int"))
-        first = F.when(outside, F.lit(0)).otherwise(F.col("inner"))
-        texts = self.texts_of(rows.select(F.col("one").alias("doc_id")).distinct())
-        sets = texts.mapInArrow(_sets(self.width), "one long, shingles binary")
-        rows = rows.select("cluster", "one", "component", "part", F.explode(F.sequence(first, F.col("inner") + F.col("outer") - 1)).alias("other")).join(sets, "one")
-        rows = rows.select("cluster", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "one", "component", "shingles")
-        return written(rows.groupBy("cluster", "p", "q").applyInArrow(_block_links(self.percent), "one long, two long"), "across")[0].distinct()
-
-
-def _sets(width: int):
-    """Hashes of the whole sets of shingles."""
+        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket")
+        members, path = written(labelled.join(mixed, "bucket").select("one", "component").distinct(), "mixed")
+        if members.isEmpty():
+            drop(self.spark, path)
+            return self.spark.createDataFrame([], "one long, two long")
+        texts = self.texts_of(members.select(F.col("one").alias("doc_id")))
+        counts = texts.mapInArrow(_frequencies(self.width), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+        often = np.zeros(BINS, np.int64)
+        often[[r["bin"] for r in counts]] = [r["n"] for r in counts]
+        first, places = written(texts.mapInArrow(_prefixes(self.width, self.percent, often), _PREFIX).join(members, "one"), "prefixes")
+        shared = first.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("index").alias("any")).where("least <> most and any")
+        first = first.join(shared.select("shingle"), "shingle")
+        small = first.where("index").select("shingle", *(F.col(c).alias(f"{c}1") for c in ("one", "component", "n", "place")))
+        large = first.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("one", "component", "n", "place")))
+        order = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("one1") < F.col("one2")))
+        sizes = 100 * F.col("n1") >= self.percent * F.col("n2")
+        room = (100 + self.percent) * F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) >= self.percent * (F.col("n1") + F.col("n2"))
+        pairs = small.join(large, "shingle").where((F.col("component1") != F.col("component2")) & order & sizes & room)
+        pairs = pairs.select(F.least("one1", "one2").alias("one"), F.greatest("one1", "one2").alias("two")).distinct()
+        links = self.links(pairs)
+        drop(self.spark, path, places)
+        return links
+
+
+#: Bins that shingles are counted in, to order them by frequency; the counts go to the driver and to all tasks.
+BINS = 1 << 16
+_PREFIX = "one long, shingle long, n int, place int, index boolean"
+_PREFIX_ARROW = pa.schema([("one", pa.int64()), ("shingle", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("index", pa.bool_())])
+
+
+def _bins(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(40)).astype(np.int64) % BINS
+
+
+def _frequencies(width: int):
+    """How many sets have a shingle in each bin; a row a bin and partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("one", pa.int64()), ("shingles", pa.binary())])
+        total = np.zeros(BINS, np.int64)
         for batch in slices(batches, 1):
-            yield record(schema, batch.column(0), [x.tobytes() for x in shingle_hashes(utf8(batch.column(1)), width)])
+            for own in shingle_hashes(utf8(batch.column(1)), width):
+                total += np.bincount(_bins(own), minlength=BINS) if len(own) > BINS // 8 else 0
+                if len(own) <= BINS // 8:
+                    np.add.at(total, _bins(own), 1)
+        used = np.flatnonzero(total)
+        yield record(pa.schema([("bin", pa.int32()), ("n", pa.int64())]), used.astype(np.int32), total[used])
 
     return run
 
 
-def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 2048) -> np.ndarray:
-    """Sizes of the intersections of every left with every right set."""
-    values = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)))
-    out = np.zeros((len(left), len(right)), np.float32)
-
-    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        row, flat = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
-        at = np.searchsorted(values, flat)
-        hit = at < len(values)
-        hit[hit] = values[at[hit]] == flat[hit]
-        return row[hit], at[hit]
-
-    (lr, lc), (rr, rc) = places(left), places(right)
-    for a in range(0, len(values), columns):
-        parts = []
-        for n, row, col in ((len(left), lr, lc), (len(right), rr, rc)):
-            own = (col >= a) & (col < a + columns)
-            part = np.zeros((n, min(columns, len(values) - a)), np.float32)
-            part[row[own], col[own] - a] = 1
-            parts.append(part)
-        out += parts[0] @ parts[1].T
-    return out
+def first_shingles(shingles: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set that a pair must meet in: those of a larger set, of which the first are those of a smaller one."""
+    n = len(shingles)
+    ordered = shingles[np.lexsort((shingles, often[_bins(shingles)]))]
+    probe = n - -(-percent * n // 100) + 1
+    index = n - -(-2 * percent * n // (100 + percent)) + 1
+    return ordered[:probe], index
 
 
-def _block_links(percent: int):
-    """Of the members of two blocks, links that join their components."""
-
-    def run(block: pa.Table) -> pa.Table:
-        part, ids, comp = (block.column(c).to_numpy() for c in ("part", "one", "component"))
-        sets = [np.frombuffer(x, np.uint64) for x in block.column("shingles").to_pylist()]
-        p, q = block.column("p")[0].as_py(), block.column("q")[0].as_py()
-        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
-        out: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            size = np.array([len(x) for x in sets], np.float32)
-            both = intersections([sets[i] for i in left], [sets[i] for i in right])
-            linked = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
-            label = {int(c): int(c) for c in np.unique(comp)}
-
-            def root(c: int) -> int:
-                while label[c] != c:
-                    label[c] = c = label[label[c]]
-                return c
-
-            for i, row in zip(left.tolist(), linked):
-                mates = right[row & (comp[right] != comp[i])]
-                _, one = np.unique(comp[mates], return_index=True)
-                for j in mates[one].tolist():
-                    a, b = root(int(comp[i])), root(int(comp[j]))
-                    if a != b:
-                        label[a] = b
-                        out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
-        return pa.table([[x for x, _ in out], [y for _, y in out]], schema=pa.schema([("one", pa.int64()), ("two", pa.int64())]))
+def _prefixes(width: int, percent: int, often: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            ids = batch.column(0).to_pylist()
+            out: list[tuple] = []
+            for doc_id, own in zip(ids, shingle_hashes(utf8(batch.column(1)), width)):
+                first, index = first_shingles(own, often, percent)
+                place = np.arange(len(first), dtype=np.int32)
+                out.append((np.full(len(first), doc_id, np.int64), first.view(np.int64), np.full(len(first), len(own), np.int32), place, place < index))
+            if out:
+                yield record(_PREFIX_ARROW, *(np.concatenate(x) for x in zip(*out)))
 
     return run
 
@@ -496,7 +485,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     classes = run.classes.select("id", "digest").join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     if not more.isEmpty():
         # components join components: those are few
-        first = run.links(more).join(labels.withColumnRenamed("node", "one"), "one", "left").select(F.coalesce("component", "one").alias("one"), "two")
+        first = more.join(labels.withColumnRenamed("node", "one"), "one", "left").select(F.coalesce("component", "one").alias("one"), "two")
         joined = first.join(labels.withColumnRenamed("node", "two"), "two", "left").select("one", F.coalesce("component", "two").alias("two"))
         merged = components(joined).select(F.col("node").alias("component"), F.col("component").alias("to"))
         classes = classes.join(merged, "component", "left").select("digest", F.coalesce("to", "component").alias("component"))

@@ -61,7 +61,6 @@ def test_against_all_pairs(docs_of, width, seed):
 
 def test_a_large_group_that_no_leader_joins(docs_of, monkeypatch):
     monkeypatch.setattr(nd, "SMALL", 3)
-    monkeypatch.setattr(nd, "BLOCK", 16)
     rng = random.Random(3)
     same(docs_of, copies(rng, [(70, 90, 4), (25, 90, 5)]), 2)
 
@@ -130,11 +129,37 @@ def test_shingle_hashes_count_distinct_shingles():
         assert [len(x) for x in nd.shingle_hashes(texts, width)] == [len(nd.shingle_set(t, width)) for t in texts]
 
 
-def test_intersections_in_slices():
+@pytest.mark.parametrize("percent", [50, 80, 95, 100])
+def test_first_shingles_meet_with_room(percent):
+    """Every pair that is similar enough shares a shingle of the smaller set's index and the larger one's probe."""
     rng = np.random.default_rng(7)
-    sets = [np.unique(rng.integers(0, 60, 30).astype(np.uint64)) for _ in range(9)]
-    expected = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
-    assert np.array_equal(nd.intersections(sets, sets, columns=7), expected)
+    often = rng.integers(0, 50, nd.BINS)
+    for _ in range(1500):
+        n = int(rng.integers(1, 40))
+        base = nd.mix64(rng.integers(0, 1 << 60, n + 12).astype(np.uint64))
+        a, b = np.unique(base[:n]), np.unique(np.concatenate([base[: n - rng.integers(0, n // 4 + 1)], base[n : n + rng.integers(0, n // 4 + 1)]]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < percent * (len(a) + len(b) - both) or not len(b):
+            continue
+        (x, index), (y, _) = (nd.first_shingles(s, often, percent) for s in sorted((a, b), key=len))
+        n, m = sorted((len(a), len(b)))
+        met = [(i, int(np.flatnonzero(y == h)[0])) for i, h in enumerate(x[:index]) if h in y]
+        assert any((100 + percent) * min(n - i, m - j) >= percent * (n + m) for i, j in met)
+
+
+def test_common_text_is_no_reason_to_meet(docs_of, monkeypatch):
+    """Documents that share a template but are not similar enough make few pairs, however many they are."""
+    monkeypatch.setattr(nd, "SMALL", 3)
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join(template + [f"own{i}x{k}" for k in range(22)])) for i in range(1, 81)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(5)]
+    seen = []
+    real = nd._Run.links
+    monkeypatch.setattr(nd._Run, "links", lambda self, pairs: seen.append(pairs.count()) or real(self, pairs))
+    rng.shuffle(rows)
+    same(docs_of, rows, 2)
+    assert len(seen) < 2 or seen[1] < 100
 
 
 def test_words_that_a_sum_of_powers_confuses(docs_of):

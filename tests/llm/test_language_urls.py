@@ -1,6 +1,7 @@
 import math
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -101,6 +102,9 @@ URLS = {
     "http://net": ("net", "", None, "allow"),
     "http://net?x": ("net", "", None, "allow"),
     "https://www.casino-win.example.org/en/": ("www.casino-win.example.org", "/en/", None, "block"),
+    "https://casino.example.org/museum/": ("casino.example.org", "/museum/", None, "allow"),
+    "https://casino.example.org/Museum": ("casino.example.org", "/Museum", None, "block"),
+    "https://m.ads-track.example.com/en/1?x": ("m.ads-track.example.com", "/en/1", None, "block"),
     "https://mycasino.example.org/": ("mycasino.example.org", "/", None, "allow"),
     "no scheme": ("", "", None, "allow"),
     "": ("", "", None, "allow"),
@@ -117,17 +121,57 @@ def test_url_cases(spark):
     assert url_rules.judge_urls(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "line, fits, fails, tokens",
+    [
+        ("||ads.*^", ["ads.example.com/", "m.ads.example.com", "ads.x:8"], ["bads.example.com/", "x.com/ads.gif"], ("ads",)),
+        ("|shop.", ["shop.x/"], ["a.shop.x/"], ("shop",)),
+        ("/wp-login.php|", ["x.com/a/wp-login.php"], ["x.com/wp-login.php5", "x.com/wp-login.php/"], ("wp", "login", "php")),
+        ("^day^*.gif", ["x.com/day/a.gif", "x.com/day/.gifs"], ["x.com/days/a.gif", "x.com/day/gif"], ("day",)),
+        ("-casino.", ["x-casino.com/", "x.com/-casino."], ["casino.com/"], ("casino",)),
+        ("casino", ["mycasinos.com/"], ["x"], ()),
+        ("@@||a.b^", ["a.b/", "x.a.b"], ["a.bc"], ("a", "b")),
+    ],
+)
+def test_patterns(line, fits, fails, tokens):
+    rule = url_rules.parse(line)
+    assert rule.tokens == tokens and rule.verdict == ("allow" if line.startswith("@@") else "block")
+    assert all(url_rules.re.search(rule.regex, t) for t in fits) and not any(url_rules.re.search(rule.regex, t) for t in fails)
+    assert all(set(tokens) <= url_rules.url_tokens(t) for t in fits)
+
+
+def test_lists_of_patterns(spark):
+    df = spark.createDataFrame([("! note",), ("",), (None,), ("||a.b^",)], "line string")
+    assert [r.name for r in url_rules.read_rules(df, "line")] == ["||a.b^"]
+    for odd in ("||a.b^$third-party", "x.com##.ad"):
+        with pytest.raises(ValueError):
+            url_rules.parse(odd)
+    assert all(r.tokens for r in url_rules.PATTERNS)
+
+
+def test_token_counts(spark):
+    urls = [u for u in URLS] * 2 + [None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    wanted = ["net", "example", "casino", "q", "zz"]
+    got = url_rules.token_counts(df, F.col("url"), wanted)
+    for t in wanted:
+        n = sum(t in url_rules.url_tokens(re.split("[?#]", u.partition("://")[2])[0].lower()) for u in urls if u)
+        assert got.get(t, 0) == n
+
+
 def test_index_holds_each_rule_once_and_finds_what_all_rules_find():
-    rules = list(url_rules.LISTED + url_rules.PATTERNS)
+    rules = [*url_rules.LISTED, *url_rules.PATTERNS, url_rules.parse("bare")]
     index, rest = url_rules.index_rules(rules, {"example": 10, "net": 5, "com": 7})
-    assert sorted(r.name for x in index.values() for r in x) == sorted(r.name for r in rules) and not rest
+    assert sorted(r.name for x in index.values() for r in x) == sorted(r.name for r in rules if r.tokens) and [r.name for r in rest] == ["bare"]
     compiled = {r.regex: url_rules.re.compile(r.regex) for r in rules}
-    rng = random.Random(2)
-    for _ in range(500):
-        host = ".".join(rng.choices(["example", "net", "com", "org", "casino", "x", "cheap-pills"], k=rng.randrange(1, 4)))
-        path = rng.choice(["", "/", "/en/", "/de/1", "/fr/"])
+    rng, seen = random.Random(2), set()
+    for _ in range(3000):
+        host = ".".join(rng.choices(["example", "net", "com", "org", "casino", "x", "cheap-pills", "lottery", "ads-track", "adult-x", "x-casino", "thebare"], k=rng.randrange(1, 4)))
+        path = rng.choice(["", "/", "/en/", "/de/1", "/fr/", "/history/", "/museum/", "/wp-login.php", "/WP-Login.php", "/calendar/1/day/"])
         every = url_rules.judge(host, path, {}, rules, compiled)
         assert url_rules.judge(host, path, index, rest, compiled) == every
+        seen.add(every[2])
+    assert len(seen) > 10
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")

@@ -2,38 +2,50 @@
 
 Vectors are projected on DIMS Gaussian directions. The Gaussian is 2-stable:
 the squared projected distance of a pair, over its squared true distance, is
-chi-square distributed with DIMS degrees of freedom. Each shard of the vectors
-gets a kd-tree over its projections. A query takes its shard's points in the
-order of the projected distance (of their kd-tree leaf), verifies each by its
-true distance, and stops once the chi-square test holds: the next projected
-distance is so large against the k-th best true distance that a nearer vector
-would have come already with probability CERTAINTY.
-
-Queries are a stated set (ids divisible by 100). They meet all shards in
-blocks: a task takes one block of queries and one shard, both of bounded size.
+chi-square distributed with DIMS degrees of freedom. One kd-tree over the
+projections holds all vectors: its top, from a bounded sample, deals them to
+partitions, and a task builds the rest of its partition. A query first searches
+the partition that it lies in: it takes points in the order of the projected
+distance of their leaf, verifies them by their true distance, and stops once
+the chi-square test holds: the next projected distance is so large against the
+k-th best true distance that a nearer vector would have come already with
+probability CERTAINTY. The same test between the query and the boxes of the
+other partitions then says which of them it has to visit, with what it found so
+far as its bound; it goes to no others.
+
+Queries are a stated set (ids divisible by 100). Of equal vectors a search needs
+the k + 1 smallest ids only, as ties go to the smaller id, so that a vector that
+very many rows have fills no partition.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.session import let_workers_import, written
+from gridloom.llm.common import first_of_each, record
+from gridloom.session import drop, let_workers_import, written
 
 DIMS = 8
 CERTAINTY = 0.98
 LEAF_ROWS = 64
-SHARD_ROWS = 8192
+#: Vectors in a partition, about.
+PART_ROWS = 16_384
+#: Vectors of each width that the top of the tree is made from.
+SAMPLE_ROWS = 16_384
 QUERY_BLOCK = 4096
 #: Leaves verified between two stopping tests.
 STEP = 8
 
-_OUT = "query_id long, vec_id long, score double"
-_OUT_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_PLACED = "width int, part int, vec_id long, v array<double>, low array<double>"
+_OWN = "width int, part int, query_id long, v array<double>, ids array<long>, scores array<double>, read long"
+_OWN_ARROW = pa.schema([("width", pa.int32()), ("part", pa.int32()), ("query_id", pa.int64()), ("v", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64())), ("read", pa.int64())])
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -80,43 +92,114 @@ def kd_leaves(points: np.ndarray, leaf_rows: int) -> tuple[np.ndarray, np.ndarra
     return order, np.array(bounds), low, high
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, dims: int = DIMS, certainty: float = CERTAINTY, leaf_rows: int = LEAF_ROWS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and distances of its k nearest found in one shard, nearest first."""
-    matrix = projection(vectors.shape[1], dims)
-    order, bounds, low, high = kd_leaves(vectors @ matrix, leaf_rows)
-    ids, vectors, projected, limit = ids[order], vectors[order], queries @ matrix, chi_square_quantile(certainty, dims)
-    found = []
-    for own, query, point in zip(query_ids, queries, projected):
-        gap = np.maximum(np.maximum(low - point, point - high), 0)
-        bound = (gap * gap).sum(axis=1)
+@dataclass
+class Top:
+    """The top of a kd-tree: node i splits at cut[i] of axis[i] into child[i]; an axis of -1 is a partition, child[i, 0] its number."""
+
+    axis: np.ndarray
+    cut: np.ndarray
+    child: np.ndarray
+
+    @property
+    def parts(self) -> int:
+        return int((self.axis < 0).sum())
+
+    def place(self, points: np.ndarray) -> np.ndarray:
+        """Partition of each point."""
+        at = np.zeros(len(points), np.int64)
+        go = np.flatnonzero(self.axis[at] >= 0)
+        while len(go):
+            node = at[go]
+            at[go] = self.child[node, (points[go, self.axis[node]] > self.cut[node]).astype(np.int64)]
+            go = go[self.axis[at[go]] >= 0]
+        return self.child[at, 0]
+
+
+def top_of_tree(sample: np.ndarray, parts: int) -> Top:
+    """Splits a sample at the median of its widest axis until there are as many partitions, or nothing is left to split."""
+    axis, cut, child, leaves, whole = [-1], [0.0], [[0, 0]], [(len(sample), 0, np.arange(len(sample)))], []
+    while leaves and len(leaves) + len(whole) < parts:
+        leaves.sort(key=lambda x: x[0])
+        size, node, rows = leaves.pop()
+        spread = np.ptp(sample[rows], axis=0) if size else np.zeros(1)
+        widest = int(spread.argmax())
+        if not spread[widest] > 0:
+            whole.append((size, node, rows))
+            continue
+        values = sample[rows, widest]
+        middle = float(np.median(values))
+        middle = middle if middle < values.max() else float(values[values < middle].max())
+        axis[node], cut[node], child[node] = widest, middle, [len(axis), len(axis) + 1]
+        for part in (rows[values <= middle], rows[values > middle]):
+            leaves.append((len(part), len(axis), part))
+            axis.append(-1), cut.append(0.0), child.append([0, 0])
+    for number, (_, node, _) in enumerate(sorted(leaves + whole, key=lambda x: x[1])):
+        child[node] = [number, number]
+    return Top(np.array(axis), np.array(cut), np.array(child))
+
+
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, also where squares would overflow or vanish."""
+    apart = vectors - query
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.sqrt((apart * apart).sum(axis=1))
+        odd = np.flatnonzero(~((out > 1e-140) & (out < 1e150)))
+        if len(odd):
+            scale = np.abs(apart[odd]).max(axis=1)
+            use = (scale > 0) & np.isfinite(scale)
+            part = apart[odd[use]] / scale[use, None]
+            out[odd[use]] = scale[use] * np.sqrt((part * part).sum(axis=1))
+    return out
+
+
+def box_bounds(low: np.ndarray, high: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Squared distances of a point to boxes."""
+    gap = np.maximum(np.maximum(low - point, point - high), 0)
+    with np.errstate(over="ignore"):
+        return (gap * gap).sum(axis=1)
+
+
+def search(
+    ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, points: np.ndarray, k: int, worst: np.ndarray | None = None, limit: float | None = None, leaf_rows: int = LEAF_ROWS
+) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each query the ids and distances of its k nearest found in one partition, nearest first, and how many it read.
+
+    projected, points: projections of vectors and queries. worst: distances
+    beyond which a query needs nothing, where it has k neighbours already.
+    """
+    limit = chi_square_quantile(CERTAINTY, projected.shape[1]) if limit is None else limit
+    order, bounds, low, high = kd_leaves(projected, leaf_rows)
+    ids, vectors, projected, found = ids[order], vectors[order], projected[order], []
+    for own, query, point, most in zip(query_ids, queries, points, np.full(len(queries), np.inf) if worst is None else worst):
+        bound = box_bounds(low, high, point)
         near = np.argsort(bound, kind="stable")
-        best_ids, best = np.empty(0, np.int64), np.empty(0)
+        best_ids, best, read = np.empty(0, np.int64), np.empty(0), 0
         for at in range(0, len(near), STEP):
-            if len(best) >= k and bound[near[at]] > limit * best[k - 1]:
+            if bound[near[at]] > limit * most * most:
                 break
             rows = np.concatenate([np.arange(*bounds[leaf]) for leaf in near[at : at + STEP]])
             rows = rows[ids[rows] != own]
-            apart = vectors[rows] - query
-            best, best_ids = np.concatenate([best, (apart * apart).sum(axis=1)]), np.concatenate([best_ids, ids[rows]])
+            if np.isfinite(most):
+                away = projected[rows] - point
+                rows = rows[~((away * away).sum(axis=1) > limit * most * most)]
+            apart = distances(vectors[rows], query)
+            read += len(rows)
+            best, best_ids = np.concatenate([best, apart]), np.concatenate([best_ids, ids[rows]])
             if len(best) > k:
                 keep = np.lexsort((best_ids, best))[:k]
                 best, best_ids = best[keep], best_ids[keep]
+            if len(best) == k:
+                most = min(most, best.max())
         keep = np.lexsort((best_ids, best))[:k]
-        found.append((best_ids[keep], np.sqrt(best[keep])))
+        found.append((best_ids[keep], best[keep], read))
     return found
 
 
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of a group, repeated rows once."""
-    table = table.combine_chunks()
-    ids = table.column("vec_id").to_numpy()
-    values = table.column("v").combine_chunks()
-    values = (values.chunk(0) if isinstance(values, pa.ChunkedArray) else values).flatten().to_numpy().reshape(len(ids), -1)
-    if len(np.unique(ids)) < len(ids):
-        _, first = np.unique(np.column_stack([ids.astype(np.float64), values]), axis=0, return_index=True)
-        first.sort()
-        ids, values = ids[first], values[first]
-    return ids, values
+def _rows(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    """A list column of equally long lists as a matrix."""
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = pa.concat_arrays(values.chunks) if isinstance(values, pa.ChunkedArray) else values
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
 def usable(vector: Column) -> Column:
@@ -133,7 +216,7 @@ def nearest(
     vector_col: str = "embedding",
     dims: int = DIMS,
     certainty: float = CERTAINTY,
-    shard_rows: int = SHARD_ROWS,
+    part_rows: int = PART_ROWS,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """The k nearest found of each row whose id is divisible by every: query_id, rank, vec_id, score.
@@ -147,27 +230,105 @@ def nearest(
     neighbour, and the results of its vectors are ranked together. Other
     columns are not read.
     """
+    found = searches(vectors, k, every, id_col, vector_col, dims, certainty, part_rows, query_block)
+    pairs = found.select("query_id", F.inline(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))))
+    best = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def searches(vectors: DataFrame, k: int, every: int, id_col: str, vector_col: str, dims: int, certainty: float, part_rows: int, query_block: int) -> DataFrame:
+    """What each query found in each partition that it visited, and how many vectors it read there; written."""
     spark = vectors.sparkSession
     let_workers_import(spark)
+    limit = chi_square_quantile(certainty, dims)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows, _ = written(rows.where(F.col("vec_id").isNotNull() & usable(F.col("v"))).withColumn("width", F.size("v")), "vectors")
+    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v"))).dropDuplicates(["vec_id", "v"]).withColumn("width", F.size("v"))
+    rows, rows_at = written(rows, "vectors")
+    sizes = {r["width"]: r["n"] for r in rows.groupBy("width").agg(F.count("*").alias("n")).collect()}
+    tops: dict[int, Top] = {}
+    samples: dict[int, list] = {w: [] for w in sizes}
+    for r in first_of_each(rows.withColumn("hash", F.xxhash64("vec_id")), "width", ["hash", "vec_id"], SAMPLE_ROWS).mapInArrow(_projected(dims), "width int, low array<double>").collect():
+        samples[r["width"]].append(r["low"])
+    for width, n in sizes.items():
+        tops[width] = top_of_tree(np.array(samples.pop(width)), math.ceil(n / part_rows))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("width", pa.int32()), ("part", pa.int32()), ("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("low", pa.list_(pa.float64()))])
+        for batch in batches:
+            ids, widths = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for width in np.unique(widths).tolist():
+                at = np.flatnonzero(widths == width)
+                v = batch.column(1).take(pa.array(at))
+                low = _rows(v, len(at)) @ projection(width, dims)
+                yield record(schema, np.full(len(at), width, np.int32), tops[width].place(low).astype(np.int32), ids[at], v, low.tolist())
+
+    placed, placed_at = written(rows.select("vec_id", "v", "width").mapInArrow(place, _PLACED), "placed")
     wanted = F.col("vec_id") % every == 0
-    n, asked = rows.agg(F.count("*"), F.count_if(wanted)).first()
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(asked / query_block))
-    keys = ["width", "shard", "block"]
-    number = F.xxhash64("vec_id", "v")
-    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    data = rows.select("width", F.pmod(number, F.lit(shards)).cast("int").alias("shard"), each(blocks).alias("block"), "vec_id", "v")
-    queries = rows.where(wanted).select("width", each(shards).alias("shard"), F.pmod(F.xxhash64(number), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
-    tasks = shards * blocks
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _OUT_ARROW.empty_table()
-        query_ids, query_vectors = _matrix(right)
-        found = search(*_matrix(left), query_ids, query_vectors, k, dims, certainty)
-        return pa.table([np.repeat(query_ids, [len(x) for x, _ in found]), np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])], schema=_OUT_ARROW)
-
-    pairs = data.repartition(tasks, *keys).groupBy(*keys).cogroup(queries.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(run, _OUT)
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    of_axis = [f(F.col("low")[i]).alias(f"{name}{i}") for i in range(dims) for name, f in (("low", F.min), ("high", F.max))]
+    boxes: dict[int, tuple] = {}
+    for r in sorted(placed.groupBy("width", "part").agg(F.count_if(wanted).alias("asked"), *of_axis).collect(), key=lambda r: (r["width"], r["part"])):
+        own = boxes.setdefault(r["width"], ([], [], []))
+        own[0].append(r["part"]), own[1].append([r[f"low{i}"] for i in range(dims)]), own[2].append([r[f"high{i}"] for i in range(dims)])
+    boxes = {w: tuple(map(np.array, own)) for w, own in boxes.items()}
+    keys = ["width", "part", "block"]
+    # of equal vectors, the smallest ids are all that any search can return
+    same = Window.partitionBy("width", "part", "v").orderBy("vec_id")
+    data, data_at = written(placed.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).drop("place"), "data")
+
+    def visit(asked: DataFrame) -> DataFrame:
+        """asked: width, part, query_id, v, low, worst."""
+        blocks = asked.groupBy("width", "part").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))
+        dealt = asked.join(blocks, ["width", "part"]).withColumn("block", F.pmod(F.xxhash64("query_id", "v"), F.col("blocks")).cast("int")).drop("blocks")
+        met = data.join(blocks, ["width", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            n, m = left.num_rows, right.num_rows
+            if not n or not m:
+                return _OWN_ARROW.empty_table()
+            asked_ids, v = right.column("query_id").to_numpy(), right.column("v")
+            found = search(left.column("vec_id").to_numpy(), _rows(left.column("v"), n), _rows(left.column("low"), n), asked_ids, _rows(v, m), _rows(right.column("low"), m), k, right.column("worst").to_numpy(), limit)
+            columns = [right.column("width"), right.column("part"), right.column("query_id"), v, [x.tolist() for x, _, _ in found], [x.tolist() for _, x, _ in found], [x for _, _, x in found]]
+            return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, t) for c, t in zip(columns, _OWN_ARROW.types)], schema=_OWN_ARROW)
+
+        return met.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(run, _OWN)
+
+    first = placed.where(wanted).select("width", "part", F.col("vec_id").alias("query_id"), "v", "low", F.lit(float("inf")).alias("worst"))
+    own, _ = written(visit(first), "own-partition")
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The other partitions whose boxes don't pass the stopping test, for each query."""
+        schema = pa.schema([("width", pa.int32()), ("part", pa.int32()), ("query_id", pa.int64()), ("v", pa.list_(pa.float64())), ("low", pa.list_(pa.float64())), ("worst", pa.float64())])
+        for batch in batches:
+            out: list[tuple] = []
+            for width, part, query_id, v, scores in zip(*(batch.column(c).to_pylist() for c in ("width", "part", "query_id", "v", "scores"))):
+                parts, low, high = boxes[width]
+                point, worst = np.array(v) @ projection(width, dims), scores[-1] if len(scores) == k else float("inf")
+                for other in parts[~(box_bounds(low, high, point) > limit * worst * worst)].tolist():
+                    if other != part:
+                        out.append((width, other, query_id, v, point.tolist(), worst))
+                if len(out) >= 2000:
+                    yield record(schema, *zip(*out))
+                    out = []
+            if out:
+                yield record(schema, *zip(*out))
+
+    sent, sent_at = written(own.mapInArrow(others, "width int, part int, query_id long, v array<double>, low array<double>, worst double"), "visits")
+    more, _ = written(visit(sent), "other-partitions")
+    drop(spark, rows_at, placed_at, data_at, sent_at)
+    return own.unionByName(more)
+
+
+def _projected(dims: int):
+    """Rows of (vec_id, v, width, ...) to width and projection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("width", pa.int32()), ("low", pa.list_(pa.float64()))])
+        for batch in batches:
+            widths = batch.column("width").to_numpy()
+            for width in np.unique(widths).tolist():
+                at = np.flatnonzero(widths == width)
+                low = _rows(batch.column("v").take(pa.array(at)), len(at)) @ projection(width, dims)
+                yield record(schema, np.full(len(at), width, np.int32), low.tolist())
+
+    return run

@@ -237,8 +237,9 @@ class WordStore:
         old, mine, (own, first) = len(self), self.words, words.packed()
         size = len(mine.data) - 8
         mine.data = np.concatenate([mine.data[:size], own, np.zeros(8, np.uint8)])
-        mine.at, mine.n = np.concatenate([mine.at, first + size]), np.concatenate([mine.n, words.n])
-        mine.size, mine.names = np.concatenate([mine.size, words.size]), np.concatenate([mine.names, words.names])
+        mine.at, mine.size = np.concatenate([mine.at, first + size]), np.concatenate([mine.size, words.size])
+        mine.n = np.where(mine.size > WIDE, 32, mine.size).astype(np.int8)
+        mine.names = np.concatenate([mine.names, words.names])
         names = words.names
         if 2 * len(self) > len(self.keys):
             while 2 * len(self) > 1 << self.bits:

@@ -43,10 +43,10 @@ from gridloom.session import let_workers_import
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Stretches kept by a worker, and bytes of one that is kept.
-KEPT = 1 << 20
+KEPT = 1 << 18
 LONGEST = 64
 #: Neighbour pairs whose weight a worker keeps.
-PAIRS_KEPT = 1_000_000
+PAIRS_KEPT = 500_000
 #: What the library subtracts from the least score of a unigram model for a character without a piece.
 UNKNOWN = 10.0
 

@@ -20,7 +20,7 @@ import public_tokenizers
 from gridloom.llm.common import Stretches, WordStore
 
 #: Words whose ids a worker keeps; beyond it the store is emptied.
-WORDS_KEPT = 1 << 20
+WORDS_KEPT = 1 << 18
 #: Bytes of a word that is kept.
 LONGEST = 64
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")

@@ -130,3 +130,22 @@ def tissue_em(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query()(tissue_em)
+
+
+@query("""with e as (select event_id, event_id % 3 subject, value x, case when event_id % 7 = 0 then 0 else 1 end inside from events),
+p as (select event_id, subject, x, inside, t tissue, (case when event_id % 3 = t or (x > 50 and t = 2) then 3.0 else 1.0 end) / 10 prior from e, (select unnest([0, 1, 2]) t)),
+m as (select subject, tissue, sum(prior * x) / sum(prior) mean, sum(prior * x * x) / sum(prior) square from p where inside = 1 group by subject, tissue),
+g as (select event_id, p.tissue, prior, ln(prior) - 0.5 * ln(greatest(square - mean * mean, 1e-6)) - (x - mean) * (x - mean) / (2 * greatest(square - mean * mean, 1e-6)) g
+  from p join m on m.subject = p.subject and m.tissue = p.tissue where inside = 1),
+u as (select event_id, tissue, prior, exp(g - max(g) over (partition by event_id)) u from g)
+select event_id, cast(tissue as int) tissue, round(u / sum(u) over (partition by event_id), 6) q, prior from u
+union all select event_id, 0, 1.0, prior from p where inside = 0 and tissue = 0""")
+def tissue_em_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round for three subjects with a mask: means and variances from the priors, then posteriors."""
+    from gridloom.operators.em import tissue_em as em
+
+    events = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 3).alias("subject"), F.col("value").alias("intensity"), F.when(F.col("event_id") % 7 == 0, 0).otherwise(1).alias("mask"))
+    lean = lambda t: F.when((F.col("subject") == t) | ((F.col("intensity") > 50) & F.lit(t == 2)), 3.0).otherwise(1.0) / 10
+    priors = events.select("event_id", "subject", F.inline(F.array(*(F.struct(F.lit(t).alias("tissue"), lean(t).alias("q")) for t in range(3)))))
+    out = em(events, priors, ["event_id", "subject"], max_iterations=1, mask="mask", by=["subject"])
+    return out.select("event_id", "tissue", rounded("q", 6), "prior")

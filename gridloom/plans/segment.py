@@ -67,7 +67,7 @@ def source_weights(targets: DataFrame, sources: DataFrame, spacing: tuple[float,
 
 
 def segment(targets: DataFrame, sources: DataFrame, structures: DataFrame, tissues: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), options: Options = Options()) -> Segmentation:
-    """Weights, vote, label map, prior, class map and parcellation of all subjects in one go."""
+    """Weights, vote, label map, prior, class map and parcellation of all subjects in one go, each with an EM model of its own."""
     validation.require(check_metadata(sources, structures, tissues))
     weights, _ = written(source_weights(targets, sources, spacing, options), "weights")
     votes = sources.select(*KEYS, "source", "label").join(weights, [*KEYS, "source"])
@@ -75,7 +75,7 @@ def segment(targets: DataFrame, sources: DataFrame, structures: DataFrame, tissu
     label_map = fusion.top_label(proba, KEYS)
     masked = proba.join(targets.select(*KEYS, "mask"), KEYS)
     prior, _ = written(fusion.tissue_prior(masked, structures, KEYS, "mask", options.prior_threshold, mask_hard=options.mask_hard), "prior")
-    posterior = em.tissue_em(targets.select(*KEYS, "intensity"), prior, KEYS, options.em_iterations, mrf_beta=options.mrf_beta, bias_order=options.bias_order, coords=("x", "y", "z"))
+    posterior = em.tissue_em(targets.select(*KEYS, "intensity", "mask"), prior, KEYS, options.em_iterations, mrf_beta=options.mrf_beta, bias_order=options.bias_order, coords=("x", "y", "z"), mask="mask")
     border = fusion.on_border(*(F.col(c) for c in ("x", "y", "z", *GRID)))
     classes = fusion.tissue_map(posterior.join(targets.select(*KEYS, *GRID), KEYS), KEYS, border)
     parcellation = fusion.constrained_top(proba, classes, structures, KEYS)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from gridloom.operators import em
 from gridloom.plans import segment
@@ -15,6 +16,39 @@ def test_em_separates_two_classes(spark):
     assert np.mean([best[i] == t for i, t in enumerate(truth)]) > 0.98
 
 
+def subject(name, shift, rng, n=8):
+    truth = (np.indices((n, n, n)).sum(0) % n < 4).astype(int)
+    x = truth * 5.0 + shift + rng.normal(0, 0.5, truth.shape)
+    at = list(np.ndindex(truth.shape))
+    voxels = [(name, *p, float(x[p]), 0 if p[0] == 0 else 1) for p in at]
+    return truth, voxels, [(name, *p, t, 0.7 if t == (x[p] - shift > 2.5) else 0.3) for p in at for t in (0, 1)]
+
+
+@pytest.mark.parametrize("bias", [0, 1])
+def test_em_of_two_subjects_equals_each_alone(spark, bias):
+    rng = np.random.default_rng(3)
+    a, b = subject("a", 0.0, rng), subject("b", 30.0, rng)
+
+    def run(*subjects):
+        v = spark.createDataFrame([x for s in subjects for x in s[1]], "subject string, x int, y int, z int, intensity double, mask int")
+        p = spark.createDataFrame([x for s in subjects for x in s[2]], "subject string, x int, y int, z int, tissue int, q double")
+        out = em.tissue_em(v, p, ["subject", "x", "y", "z"], max_iterations=5, bias_order=bias, coords=("x", "y", "z"), mask="mask")
+        return {tuple(r[c] for c in ("subject", "x", "y", "z", "tissue")): r["q"] for r in out.collect()}
+
+    both = run(a, b)
+    alone = run(a) | run(b)
+    assert both.keys() == alone.keys() and all(both[k] == pytest.approx(alone[k], abs=1e-9) for k in both)
+    for name, (truth, _, _) in (("a", a), ("b", b)):
+        assert np.mean([(both[name, *p, 1] > 0.5) == truth[p] for p in np.ndindex(truth.shape) if p[0]]) > 0.98
+        assert all(both[name, 0, y, z, 0] == 1 and (name, 0, y, z, 1) not in both for y in range(8) for z in range(8))
+
+
+def test_em_without_rows(spark):
+    v = spark.createDataFrame([], "subject string, x int, y int, z int, intensity double")
+    p = spark.createDataFrame([], "subject string, x int, y int, z int, tissue int, q double")
+    assert em.tissue_em(v, p, ["subject", "x", "y", "z"], coords=("x", "y", "z")).count() == 0
+
+
 def test_whole_flow_on_a_small_cohort(spark):
     rng = np.random.default_rng(2)
     n = 8

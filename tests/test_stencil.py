@@ -85,6 +85,34 @@ def test_blocks_equal_the_whole_box(spark, block):
     assert np.allclose(cube(got, "v", box.shape), expected)
 
 
+@pytest.mark.parametrize("nz", [1, 2, 3])
+def test_thin_grids_fold_more_than_once(spark, nz):
+    rng = np.random.default_rng(9)
+    box = rng.random((9, 8, nz))
+    kernels = [np.array(scalars.gaussian_kernel(2.5))] * 3
+    expected = stencil.smooth_box(np.pad(box, 7, mode="symmetric"), kernels)
+    for block in (2, 32):
+        got = stencil.gaussian_blocks(voxels(spark, box), ["k"], "v", (2.5,) * 3, block=block)
+        assert np.allclose(cube(got, "v", box.shape), expected)
+    lines = voxels(spark, box).select("k", "x", "y", F.col("z").alias("i"), F.col("nz").alias("n"), "v")
+    line = stencil.gaussian_line(lines, ["k", "x", "y"], ["v"], 2.5).withColumnRenamed("i", "z")
+    assert np.allclose(cube(line, "v", box.shape), stencil.smooth_axis(np.pad(box, [(0, 0), (0, 0), (7, 7)], mode="symmetric"), 2, kernels[2]))
+
+
+def test_many_grids_of_several_sizes_at_once(spark, monkeypatch):
+    monkeypatch.setattr(stencil, "_CELLS", 3000)
+    rng = np.random.default_rng(10)
+    boxes = {k: rng.random((3 + k % 3, 4, 5)) for k in range(12)}
+    rows = [(None if k == 0 else k, *map(int, at), *b.shape, float(b[at])) for k, b in boxes.items() for at in np.ndindex(b.shape)]
+    df = spark.createDataFrame(rows, "k int, x int, y int, z int, nx int, ny int, nz int, v double")
+    got = stencil.gaussian_blocks(df, ["k"], "v", (1.0,) * 3, block=4)
+    assert got.count() == len(rows)
+    kernels = [np.array(scalars.gaussian_kernel(1.0))] * 3
+    for k, b in boxes.items():
+        own = got.where(F.col("k").eqNullSafe(F.lit(None if k == 0 else k)))
+        assert np.allclose(cube(own, "v", b.shape), stencil.smooth_box(np.pad(b, 3, mode="symmetric"), kernels))
+
+
 def test_lncc_blocks(spark):
     rng = np.random.default_rng(8)
     box = rng.random((6, 6, 6))

@@ -72,26 +72,22 @@ def tissue_prior(proba: DataFrame, structures: DataFrame, keys: list[str], mask:
     structures is a table of labels, of a checked size broadcast by Spark.
     """
     kept = [*keys, *([mask] if mask else [])]
-    mass = proba.join(dimension(bridge(structures)), "label", "left").groupBy(*kept, "tissue").agg(F.coalesce(F.sum(F.col(p) / F.col("tissues_n")), F.lit(0.0)).alias("q"))
-    lists = mass.groupBy(*kept).agg(F.collect_list(F.when(F.col("tissue").isNotNull(), F.struct("tissue", "q"))).alias("qs"))
-    background = F.struct(F.lit(BACKGROUND).cast("int").alias("tissue"), F.lit(1.0).alias("q"))
-    others = lambda x: F.filter(x, lambda y: y["tissue"] != BACKGROUND)
-    total = lambda x: F.aggregate(F.transform(x, lambda y: y["q"]), F.lit(0.0), lambda a, b: a + b)
-
-    def shares(df: DataFrame) -> DataFrame:
-        # the total is a column that is used twice, so that the optimiser doesn't move it into the lambda
-        t = df.withColumn("_t", total(F.col("qs")))
-        row = lambda y: F.struct(y["tissue"].cast("int").alias("tissue"), safe_ratio(y["q"], F.col("_t")).alias("q"))
-        return t.withColumn("qs", F.when(F.col("_t") == 0, F.array(background)).otherwise(F.transform("qs", row)))
-
-    step = lambda name, value: lists.withColumn(name, value)
-    lists = step("qs", F.array_sort(F.transform("qs", lambda y: F.struct(y["tissue"].cast("int").alias("tissue"), y["q"].alias("q")))))
-    if mask:
-        outside = F.array(background) if mask_hard else F.concat(F.array(background), others(F.col("qs")))
-        lists = step("qs", F.when(F.coalesce(F.col(mask), F.lit(1)) == 0, outside).otherwise(F.col("qs")))
-    lists = shares(lists)
-    lists = shares(step("qs", F.filter("qs", lambda y: y["q"] >= threshold)))
-    return lists.select(*keys, F.inline("qs")).where("q > 0")
+    mass = proba.join(dimension(bridge(structures)), "label", "left").groupBy(*kept, F.col("tissue").cast("int").alias("tissue")).agg(F.coalesce(F.sum(F.col(p) / F.col("tissues_n")), F.lit(0.0)).alias("q"))
+    # a voxel's rows lie in one partition already: its sums are windows without another exchange
+    own, first = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("tissue")
+    out = (F.coalesce(F.col(mask), F.lit(1)) == 0) if mask else F.lit(False)
+    background = F.col("tissue") == BACKGROUND
+    value = F.when(F.col("tissue").isNull(), None).when(out & background, 1.0).when(out & F.lit(mask_hard), None).otherwise(F.col("q"))
+    rows = mass.withColumn("_v", value).withColumns({"_n": F.row_number().over(first), "_has": F.max(F.coalesce(background, F.lit(False))).over(own), "_sum": F.coalesce(F.sum("_v").over(own), F.lit(0.0))})
+    rows = rows.withColumn("_set", out & ~F.col("_has"))  # the mask's background, where the voxel has no such row
+    rows = rows.withColumn("_t", F.col("_sum") + F.when(F.col("_set"), 1.0).otherwise(0.0))
+    cut = lambda x: F.when(x >= threshold, x)
+    rows = rows.withColumns({"_s": cut(safe_ratio(F.col("_v"), F.col("_t"))), "_b": cut(F.when(F.col("_set"), safe_ratio(F.lit(1.0), F.col("_t"))))})
+    rows = rows.withColumn("_u", F.coalesce(F.sum("_s").over(own), F.lit(0.0)) + F.coalesce("_b", F.lit(0.0)))
+    added = F.when(F.col("_n") == 1, F.when(F.col("_u") == 0, 1.0).otherwise(F.col("_b") / F.col("_u")))
+    pair = lambda t, q: F.struct(t.alias("tissue"), q.alias("q"))
+    both = F.array(pair(F.col("tissue"), safe_ratio(F.col("_s"), F.col("_u"))), pair(F.lit(BACKGROUND).cast("int"), added))
+    return rows.select(*keys, F.inline(both)).where("q > 0")
 
 
 def on_border(x: Column, y: Column, z: Column, nx: Column, ny: Column, nz: Column) -> Column:

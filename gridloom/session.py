@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,10 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
 BATCH_BYTES = "8m"
 
 
+#: Allocator settings of Python workers.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_MMAP_THRESHOLD_": "8388608"}
+
+
 def let_workers_import(spark: SparkSession) -> None:
     """Prepare a session for operators that run Python on the executors.
 
@@ -45,6 +51,9 @@ def let_workers_import(spark: SparkSession) -> None:
     if spark.conf.get(key, None) in ("64m", "67108864", "67108864b"):
         spark.conf.set(key, BATCH_BYTES)
     env = spark.sparkContext.environment
+    # a worker lives through many tasks: what one used goes back to the system
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     have = [x for x in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if x]
     if PACKAGE_ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([*have, PACKAGE_ROOT])
@@ -53,11 +62,14 @@ def let_workers_import(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, a temporary folder is made and used.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
+    and the session runs on one machine, as in tests, a temporary folder is made
+    and used; elsewhere executors would not see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="gridloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -65,14 +77,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that were written and not dropped yet, the oldest first.
+_WRITTEN: dict[str, None] = {}
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage: what was computed survives the loss of executors. The
-    path is returned so that a caller who is done with the table can drop it.
+    path is returned so that a caller who is done with the table can drop it;
+    drop_written drops what lazy results still needed when it was made.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = None
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -83,3 +101,15 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _WRITTEN.pop(path, None)
+
+
+def tables_written() -> list[str]:
+    """The tables that this process wrote and didn't drop, the oldest first."""
+    return list(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, keep: Iterable[str] = ()) -> None:
+    """Delete all tables that this process wrote, but for some: for when the results that read them are stored."""
+    keep = set(keep)
+    drop(spark, *(p for p in tables_written() if p not in keep))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,30 +66,50 @@ class Prewarped:
         return work.select("target", "name", F.lit("prewarped").alias("step"), F.lit(None).cast("string").alias("command"), F.lit(0).alias("exit_code"), F.lit(None).cast("string").alias("error"))
 
 
+#: Exit code of a step that wasn't run, as one before it failed.
+SKIPPED = -2
+
+
 class Commands:
-    """Runs a command for each row of a work list (target, name, step, command array<string>), a task a row."""
+    """Runs a work list (target, name, step, command array<string>, and position where steps depend on others).
+
+    All steps of a target and name run in one task, by position; after a step
+    that failed the others are reported as skipped. threads: cores that a
+    command uses; a cluster that schedules by stage gives a task as many.
+    """
 
-    def __init__(self, timeout: int = 6 * 3600):
-        self.timeout = timeout
+    def __init__(self, timeout: int = 6 * 3600, threads: int | None = None):
+        self.timeout, self.threads = timeout, threads
 
     def run(self, work: DataFrame) -> DataFrame:
         let_workers_import(work.sparkSession)
         timeout = self.timeout
 
         def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            failed = None
             for frame in frames:
                 out = []
                 for r in frame.itertuples():
+                    if failed == (r.target, r.name):
+                        out.append((r.target, r.name, r.step, " ".join(r.command), SKIPPED, "an earlier step failed"))
+                        continue
                     try:
                         done = subprocess.run(list(r.command), capture_output=True, text=True, timeout=timeout)
                         code, error = done.returncode, done.stderr[-2000:] if done.returncode else None
                     except (OSError, subprocess.TimeoutExpired) as e:
                         code, error = -1, str(e)
+                    if code and "position" in frame.columns:
+                        failed = (r.target, r.name)
                     out.append((r.target, r.name, r.step, " ".join(r.command), code, error))
                 yield pd.DataFrame(out, columns=["target", "name", "step", "command", "exit_code", "error"])
 
-        n = max(1, work.count())
-        return work.repartition(n, "target", "name", "step").mapInPandas(each, _RESULT)
+        group = ["target", "name"] if "position" in work.columns else ["target", "name", "step"]
+        n = max(1, work.select(*group).distinct().count())
+        dealt = work.repartition(n, *group).sortWithinPartitions(*group, *(["position"] if "position" in work.columns else []))
+        profile = None
+        if self.threads and not work.sparkSession.sparkContext.master.startswith("local"):
+            profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(self.threads)).build
+        return dealt.mapInPandas(each, _RESULT, profile=profile)
 
 
 def require_success(results: DataFrame) -> DataFrame:

@@ -43,6 +43,15 @@ def read_xml(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame
     return spark.read.format("xml").option("rowTag", row).schema(schema).load(path)
 
 
+def read_xml_tree(spark: SparkSession, path: str, row: str) -> DataFrame:
+    """The elements named row of XML files, with the schema that they have themselves.
+
+    Nested elements become structs and tags that repeat become arrays, at any
+    depth; a column ``_name`` is an attribute.
+    """
+    return spark.read.format("xml").option("rowTag", row).load(path)
+
+
 def read_label_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(tissues, labels) of a file with tissues/item and labels/item; a label's classes as array<int>."""
     item = "array<struct<number:int,name:string,tissues:string>>"

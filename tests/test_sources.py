@@ -44,6 +44,13 @@ def test_data_source_forms(spark, volume, tmp_path):
     out = str(tmp_path / "out")
     vox.repartition(1).write.format("nifti").mode("append").option("path", out).save()
     assert np.array_equal(nifti.read_volume(f"{out}/one.nii.gz", labels=True)[1][..., 0], values)
+    few = vox.where("label > 0 and x < 2").withColumns({"nx": F.lit(3), "ny": F.lit(4), "nz": F.lit(5)})
+    few.repartition(1).write.format("nifti").mode("append").option("path", out).option("affine", ",".join(map(str, affine.ravel()))).save()
+    header, got = nifti.read_volume(f"{out}/one.nii.gz", labels=True)
+    assert got.shape == (3, 4, 5, 1) and np.allclose(header.affine, affine) and np.array_equal(got[:2, ..., 0], values[:2]) and not got[2].any()
+    with pytest.raises(Exception, match="several tasks"):
+        vox.repartition(3).write.format("nifti").mode("append").option("path", str(tmp_path / "split")).save()
+    assert not list((tmp_path / "split").iterdir())
 
 
 def test_sform_rewrite(volume, tmp_path):
@@ -78,6 +85,12 @@ def test_label_xml(spark, tmp_path):
     assert {tuple(r) for r in files.read_named_labels(spark, str(tmp_path / "n.xml")).collect()} == {(3, "A"), (4, "B")}
 
 
+def test_xml_tree(spark, tmp_path):
+    (tmp_path / "t.xml").write_text("<doc><a n='1'><b>1</b><b>2</b><c><d>x</d></c></a><a n='2'><b>3</b><c><d>y</d><d>z</d></c></a></doc>")
+    got = {r["_n"]: (r["b"], r["c"]["d"]) for r in files.read_xml_tree(spark, str(tmp_path / "t.xml"), "a").collect()}
+    assert got == {1: ([1, 2], ["x"]), 2: ([3], ["y", "z"])}
+
+
 def test_text_matrix_and_listing(spark, tmp_path):
     (tmp_path / "affine.txt").write_text("1 0 0 2\n0 1  0 3\n0 0 1 4\n0 0 0 1\n\n")
     got = files.matrices(files.read_matrix(spark, str(tmp_path / "affine.txt"))).first()["matrix"]
@@ -104,6 +117,16 @@ def test_commands_report_exit_codes(spark):
     assert line[line.index("-sx") + 1] == "-5.0" and line[-2:] == ["-rmask", "m"]
 
 
+def test_steps_of_a_pair_run_in_order_and_stop_at_a_failure(spark, tmp_path):
+    py, log = sys.executable, str(tmp_path / "log")
+    note = lambda x: [py, "-c", f"open({log!r}, 'a').write({x!r})"]
+    rows = [("t", "a", 2, "last", note("3")), ("t", "a", 0, "first", note("1")), ("t", "a", 1, "middle", note("2")), ("t", "b", 0, "bad", [py, "-c", "import sys; sys.exit(3)"]), ("t", "b", 1, "after", note("x"))]
+    work = spark.createDataFrame(rows, "target string, name string, position int, step string, command array<string>").repartition(4)
+    got = {r["step"]: r["exit_code"] for r in adapters.Commands().run(work).collect()}
+    assert got == {"first": 0, "middle": 0, "last": 0, "bad": 3, "after": adapters.SKIPPED}
+    assert open(log).read() == "123"
+
+
 def test_following_a_folder_takes_up_only_what_is_new(spark, tmp_path):
     work, out = str(tmp_path / "work"), str(tmp_path / "out")
     for k in range(2):

@@ -237,7 +237,8 @@ class WordStore:
         old, mine, (own, first) = len(self), self.words, words.packed()
         size = len(mine.data) - 8
         mine.data = np.concatenate([mine.data[:size], own, np.zeros(8, np.uint8)])
-        mine.at, mine.size = np.concatenate([mine.at, first + size]), np.concatenate([mine.size, words.size])
+        kind = np.int32 if len(mine.data) < 1 << 31 else np.int64
+        mine.at, mine.size = np.concatenate([mine.at, first + size]).astype(kind), np.concatenate([mine.size, words.size]).astype(kind)
         mine.n = np.where(mine.size > WIDE, 32, mine.size).astype(np.int8)
         mine.names = np.concatenate([mine.names, words.names])
         names = words.names

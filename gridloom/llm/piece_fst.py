@@ -43,7 +43,7 @@ from gridloom.session import let_workers_import
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Stretches kept by a worker, and bytes of one that is kept.
-KEPT = 1 << 18
+KEPT = 1 << 19
 LONGEST = 64
 #: Neighbour pairs whose weight a worker keeps.
 PAIRS_KEPT = 500_000

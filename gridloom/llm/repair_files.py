@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import record, slices, utf8
@@ -35,9 +35,11 @@ END_ID = 2
 SHARD_IDS = 1 << 20
 #: Occurrences of a pair that is replaced.
 LEAST = 2
+#: Stands for a null id where ids are put in order.
+_NO_ID = -(1 << 63)
 
-_CODED = "bucket int, doc_id long, ids binary"
-_CODED_ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+_CODED = "bucket int, doc_id long, crc long, ids binary"
+_CODED_ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
 _SHARD = "bucket int, shard int, start long, ids long, first_new long, width int, rules binary, lengths binary, levels array<int>, sequence binary, doc_ids array<long>, places binary, sizes binary"
 _SHARD_ARROW = pa.schema(
     [("bucket", pa.int32()), ("shard", pa.int32()), ("start", pa.int64()), ("ids", pa.int64()), ("first_new", pa.int64()), ("width", pa.int32()), *((x, pa.binary()) for x in ("rules", "lengths")), ("levels", pa.list_(pa.int32())), ("sequence", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("places", pa.binary()), ("sizes", pa.binary())]
@@ -206,22 +208,30 @@ class Shard:
         return symbol
 
 
-def write_files(docs: DataFrame, path: str = BYTE_BPE, end_id: int = END_ID, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode all texts and write the shards to the shared folder; the table read back."""
+def buckets_of(cuts: np.ndarray, ids: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    """Bucket of each row by its place among the sorted cuts; an id that several cuts have is split by its rows' checksums."""
+    left, right = np.searchsorted(cuts, ids, side="left"), np.searchsorted(cuts, ids, side="right")
+    split = right - left > 1
+    return np.where(split, left + 1 + ((crc * (right - left)) >> 32), right)
+
+
+def write_files(docs: DataFrame, path: str = BYTE_BPE, end_id: int = END_ID, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text", out: str | None = None) -> DataFrame:
+    """Encode all texts and write the shards to the folder out, without one to the shared folder; the table read back."""
     spark = docs.sparkSession
     let_workers_import(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0]
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    number = F.coalesce("doc_id", F.lit(_NO_ID).cast("long"))
+    cuts = np.array(rows.select(F.percentile_approx(number, [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or [], np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = encoder(path), np.array([end_id], "<u4")
         kind = "<u2" if max(own.size, end_id + 1) <= 1 << 16 else "<u4"
         for batch in slices(batches, 1):
             ids = [np.concatenate([np.frombuffer(x, "<u4"), end]).astype(kind).tobytes() for x in own.encode(utf8(batch.column(1)))]
-            at = np.searchsorted(bounds, batch.column(0).fill_null(-(1 << 63)).to_numpy(), side="right")
-            yield record(_CODED_ARROW, at.astype(np.int32), batch.column(0), ids)
+            crc = np.array([zlib.crc32(x) for x in ids], np.int64)
+            at = buckets_of(cuts, batch.column(0).fill_null(_NO_ID).to_numpy(), crc)
+            yield record(_CODED_ARROW, at.astype(np.int32), batch.column(0), crc, ids)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = max(encoder(path).size, end_id + 1)
@@ -232,7 +242,7 @@ def write_files(docs: DataFrame, path: str = BYTE_BPE, end_id: int = END_ID, sha
             return record(_SHARD_ARROW, *([x] for x in _shard_row(bucket, shard, start, held, size)))
 
         for batch in batches:
-            for b, doc_id, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3))):
                 if held and (b != bucket or have >= shard_ids):
                     yield close()
                     shard, start, have, held = shard + 1, start + have, 0, []
@@ -244,8 +254,17 @@ def write_files(docs: DataFrame, path: str = BYTE_BPE, end_id: int = END_ID, sha
         if held:
             yield close()
 
-    coded = rows.mapInArrow(encode, _CODED).repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
-    return written(coded.mapInArrow(shards, _SHARD), "repair-shards")[0]
+    coded = rows.mapInArrow(encode, _CODED).repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", "crc", "ids")
+    found = coded.mapInArrow(shards, _SHARD)
+    if out is None:
+        return written(found, "repair-shards")[0]
+    found.write.option("compression", "zstd").parquet(out)
+    return open_files(spark, out)
+
+
+def open_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The shards that write_files wrote to a folder."""
+    return spark.read.schema(_SHARD).parquet(folder)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -269,13 +288,15 @@ def read_documents(shards: DataFrame) -> DataFrame:
     return shards.mapInArrow(run, _OUT)
 
 
-def encode_to_files(docs: DataFrame, path: str = BYTE_BPE, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+def encode_to_files(docs: DataFrame, path: str = BYTE_BPE, end_id: int = END_ID, shard_ids: int = SHARD_IDS, out: str | None = None) -> DataFrame:
     """Write the id files of all texts and read them back: doc_id, start, n_tokens, ids_crc32.
 
     Each text's ids, by the tokenizers library without special tokens, and then
     end_id, in the order of ascending doc_id; start counts the ids of all
     documents before. Null text counts as empty: only the end id. Null ids come
-    first; rows with equal ids come in the order of their ids' bytes; repeated
-    rows each have their place. Other columns are not read. No rows give none.
+    first; rows with equal ids come in the order of the checksum of their ids,
+    by which very many of them are dealt to several files; repeated rows each
+    have their place. Other columns are not read. No rows give none. out: the
+    folder that keeps the files, which must not exist.
     """
-    return read_documents(write_files(docs, path, end_id, shard_ids))
+    return read_documents(write_files(docs, path, end_id, shard_ids, out=out))

@@ -20,7 +20,7 @@ import public_tokenizers
 from gridloom.llm.common import Stretches, WordStore
 
 #: Words whose ids a worker keeps; beyond it the store is emptied.
-WORDS_KEPT = 1 << 18
+WORDS_KEPT = 1 << 19
 #: Bytes of a word that is kept.
 LONGEST = 64
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,12 +73,12 @@ class IdStore(WordStore):
 
     def clear(self) -> None:
         super().clear()
-        self.first, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.first, self.count, self.pool = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def put(self, numbers: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
         """The ids of words that were added, one word's after the other's."""
         more = len(self) - len(self.first)
-        self.first, self.count = np.concatenate([self.first, np.zeros(more, np.int64)]), np.concatenate([self.count, np.zeros(more, np.int32)])
+        self.first, self.count = np.concatenate([self.first, np.zeros(more, np.int32)]), np.concatenate([self.count, np.zeros(more, np.int32)])
         self.first[numbers], self.count[numbers] = len(self.pool) + np.cumsum(counts) - counts, counts
         self.pool = np.concatenate([self.pool, ids])
 

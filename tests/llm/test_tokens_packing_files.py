@@ -176,3 +176,32 @@ def test_files_in_order_of_ids(docs_of, library):
 def test_empty_tables(docs_of):
     assert tier_packing.pack_documents(docs_of([])).count() == 0
     assert repair_files.encode_to_files(docs_of([])).count() == 0
+
+
+def test_files_stay_in_a_folder(docs_of, spark, tmp_path):
+    rows = [(i, f"text {i} " * 20) for i in range(30)]
+    out = str(tmp_path / "files")
+    got = repair_files.encode_to_files(docs_of(rows), out=out).orderBy("doc_id").collect()
+    again = repair_files.read_documents(repair_files.open_files(spark, out)).orderBy("doc_id").collect()
+    assert got == again and len(again) == 30
+
+
+def test_rows_of_one_id_are_dealt_to_several_files(docs_of):
+    rows = [(7, f"copy {i}") for i in range(300)] + [(None, f"none {i}") for i in range(300)] + [(i, "x") for i in range(100, 150)]
+    shards = repair_files.write_files(docs_of(rows).repartition(4))
+    held = [len(r["doc_ids"]) for r in shards.select("doc_ids").collect()]
+    assert len(held) > 2 and max(held) < 400
+    got = repair_files.read_documents(shards).orderBy("start").collect()
+    ids = [r["doc_id"] for r in got]
+    assert ids == [None] * 300 + [7] * 300 + list(range(100, 150))
+    assert [r["start"] for r in got] == list(np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]))
+    assert sorted(r["ids_crc32"] for r in got) == sorted(zlib.crc32(np.array([*Tokenizer.from_file(repair_files.BYTE_BPE).encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for _, t in rows)
+
+
+def test_buckets_keep_the_order_of_ids():
+    rng = np.random.default_rng(3)
+    cuts = np.array([2, 5, 5, 5, 9])
+    ids, crc = rng.integers(0, 12, 2000), rng.integers(0, 1 << 32, 2000)
+    got = repair_files.buckets_of(cuts, ids, crc)
+    order = np.lexsort((crc, ids))
+    assert (np.diff(got[order]) >= 0).all() and set(got[ids == 5]) == {2, 3, 4}

@@ -14,7 +14,7 @@ from gridloom.llm.language_id import keep_identified
 from gridloom.llm.near_dedup import drop_near_copies
 from gridloom.llm.pii_semicrf import redact_documents
 from gridloom.llm.tier_packing import pack_documents
-from gridloom.session import written
+from gridloom.session import drop_written, tables_written, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents of a folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the table documents of a folder; what a stage wrote on its way goes when its result is stored."""
+    docs, kept = table(spark, sf_dir, "documents"), tables_written()
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
+        docs, path = written(stage(spark, docs, sf_dir), name)
+        drop_written(spark, [*kept, path])
     return STAGES[-1][1](spark, docs, sf_dir)

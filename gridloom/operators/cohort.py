@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import natural_key
+from gridloom.session import written
 
 
 def leave_one_out(sources: DataFrame, name: str = "name") -> DataFrame:
@@ -34,9 +35,24 @@ def unfinished(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return work.join(done.select(*keys), keys, "left_anti")
 
 
+def with_position(rows: DataFrame, *order: Column | str, position: str = "position") -> DataFrame:
+    """rows with their place, from 0, in an order; equal rows in any.
+
+    Sorted over ranges of the order, one a task; a row's place is its place in
+    its range after the rows of the ranges before, whose counts are a row a
+    range. The sorted rows are written, so that both read the same ranges.
+    """
+    sorted_, _ = written(rows.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("_place", 33)
+    counts = sorted_.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    place = (F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1)).alias(position)
+    return sorted_.join(F.broadcast(before), part == F.col("_part")).select(*rows.columns, place)
+
+
 def natural_rank(names: DataFrame, name: str = "name") -> DataFrame:
-    """Position of each name, from 0, in natural order. Name tables only."""
-    return names.withColumn("position", F.row_number().over(Window.orderBy(natural_key(F.col(name)), F.col(name))) - 1)
+    """Position of each name, from 0, in natural order."""
+    return with_position(names, natural_key(F.col(name)), F.col(name))
 
 
 def at_positions(names: DataFrame, positions: list[int], name: str = "name") -> DataFrame:
@@ -50,8 +66,7 @@ def at_positions(names: DataFrame, positions: list[int], name: str = "name") ->
 
 def zip_by_position(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
     """Two name tables side by side in natural order; they must have the same length."""
-    a = left.select(F.col(left_name), (F.row_number().over(Window.orderBy(natural_key(F.col(left_name)), F.col(left_name))) - 1).alias("position"))
-    b = right.select(F.col(right_name), (F.row_number().over(Window.orderBy(natural_key(F.col(right_name)), F.col(right_name))) - 1).alias("position"))
+    a, b = natural_rank(left.select(left_name), left_name), natural_rank(right.select(right_name), right_name)
     joined = a.join(b, "position", "full_outer")
     both = F.col(left_name).isNotNull() & F.col(right_name).isNotNull()
     return joined.select("position", F.when(both, F.col(left_name)).otherwise(F.raise_error(F.lit("the tables differ in length"))).alias(left_name), right_name)

@@ -75,6 +75,19 @@ def name_match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("tissues", F.concat(F.lit("["), F.array_join(F.transform("tissues", lambda x: x.cast("string")), ", "), F.lit("]")))
 
 
+@query("""with i as (select p_partkey % 4 src, p_partkey pos, case when p_partkey % 4 > 0 and p_partkey >= p_partkey % 4 * 40 and p_partkey % 7 = 0 then 'Lesion ' else 'CSF ' end || p_name as name from part),
+s as (select src, min(pos) stop from i where contains(name, 'Lesion') group by src)
+select pos as label, name, '[1]' tissues from i left join s using (src) where stop is null or pos < stop union all select 0, 'Background', '[0]'""")
+def name_rules_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name that ends its source's list: it and what comes after it go, in that source only."""
+    part, at = table(spark, sf_dir, "part"), F.col("p_partkey")
+    name = F.concat(F.when((at % 4 > 0) & (at >= at % 4 * 40) & (at % 7 == 0), "Lesion ").otherwise("CSF "), "p_name")
+    items = part.select((at % 4).alias("source"), at.alias("pos"), at.alias("label"), name.alias("name"))
+    reference = part.select(at.alias("pos"), F.lit("none").alias("name"), F.array(F.lit(0)).alias("tissues")).limit(1)
+    out = labels.assign_tissues(items, reference, items.select("source", "label"))
+    return out.withColumn("tissues", F.concat(F.lit("["), F.array_join(F.transform("tissues", lambda x: x.cast("string")), ", "), F.lit("]")))
+
+
 @query("select n_name name from nation union select r_name from region union select 'OTHER'")
 def set_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))

@@ -21,10 +21,11 @@ _WORK = "target string, name string, position int, step string, command array<st
 
 
 def steps(programs: Programs, target: str, source_image: str, source_labels: str, out: str, target_mask: str | None = None, source_mask: str | None = None) -> list[tuple[str, list[str]]]:
-    """The commands of one pair in their order; out: the pair's folder."""
+    """The commands of one pair in their order; out: the pair's folder, which the first makes."""
     at = lambda name: os.path.join(out, name)
     affine, grid = at("affine.txt"), at("cpp.nii.gz")
     return [
+        ("folder", ["mkdir", "-p", out]),
         ("affine", programs.affine(target, source_image, at("affine_image.nii.gz"), affine, target_mask, source_mask)),
         ("nonlinear", programs.nonlinear(target, source_image, affine, at("cubic_image.nii.gz"), grid, target_mask, source_mask)),
         ("image", programs.resample(target, source_image, grid, at("image.nii.gz"), linear=True)),
@@ -41,7 +42,6 @@ def registration_work(pairs: DataFrame, out: str, programs: Programs = Programs(
             rows = []
             for r in frame.itertuples():
                 folder = os.path.join(out, r.target, r.name)
-                os.makedirs(folder, exist_ok=True)
                 rows += [(r.target, r.name, i, step, command) for i, (step, command) in enumerate(steps(programs, r.target_image, r.source_image, r.source_labels, folder, r.target_mask, r.source_mask))]
             yield pd.DataFrame(rows, columns=["target", "name", "position", "step", "command"])
 

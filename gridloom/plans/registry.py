@@ -38,4 +38,4 @@ def rounded(c: str | Column, digits: int = 9) -> Column:
     return out.alias(c) if isinstance(c, str) else out
 
 
-from gridloom.plans import cohort_queries, evaluation_queries, fusion_queries, label_queries, stencil_queries  # noqa: E402, F401
+from gridloom.plans import cohort_queries, evaluation_queries, fusion_queries, label_queries, source_queries, stencil_queries  # noqa: E402, F401

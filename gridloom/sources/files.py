@@ -101,7 +101,7 @@ def write_csv(df: DataFrame, path: str, quote: bool = True) -> None:
     """CSV with a header; list columns as bracketed lists; quote=False writes no quotes at all."""
     lists = {c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), ", "), F.lit("]")) for c, t in df.dtypes if t.startswith("array")}
     out = df.withColumns(lists).write.mode("overwrite").option("header", True)
-    (out if quote else out.option("quote", "").option("escape", "\\")).csv(path)
+    (out.option("escape", '"') if quote else out.option("quote", "").option("escape", "\\")).csv(path)
 
 
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:

@@ -91,3 +91,11 @@ def test_positional_zip_needs_equal_lengths(spark):
     a, b = spark.createDataFrame([("a1",), ("a2",)], "l string"), spark.createDataFrame([("b1",)], "r string")
     with pytest.raises(Exception, match="differ in length"):
         cohort.zip_by_position(a, b, "l", "r").collect()
+
+
+def test_positions_over_many_ranges(spark):
+    names = [f"n{k}" for k in range(500)]
+    df = spark.createDataFrame([(n,) for n in sorted(names, reverse=True)], "name string").repartition(7)
+    got = {r["name"]: r["position"] for r in cohort.natural_rank(df).collect()}
+    assert got == {f"n{k}": k for k in range(500)}
+    assert cohort.natural_rank(df.limit(0)).count() == 0

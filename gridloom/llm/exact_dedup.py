@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import BLANKS, record, slices, split_by_ids, unused, utf8
-from gridloom.session import let_workers_import, written
+from gridloom.session import drop, let_workers_import, written
 
 #: Partners in a round, itself included.
 RADIX = 4
@@ -107,9 +107,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole, ids included, exactly one is kept. Other columns of docs, whatever
     their names, are not read. No rows give no rows.
     """
+    return _grouped(docs, id_col, text_col, radix)[0]
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radix: int) -> tuple[DataFrame, str]:
+    """The groups, and the path of the table that they are read from."""
     spark = docs.sparkSession
     let_workers_import(spark)
-    rows, _ = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_digests, _LOCAL), "digests")
+    rows, path = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_digests, _LOCAL), "digests")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rounds, slots = 1, radix
     while slots < partitions:
@@ -130,21 +135,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     joined = rows.join(shared, ["run", "sha", "size", "check"], "left")
     alone = F.col("group_size").isNull()
-    return joined.select(
+    out = joined.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (alone | ((F.col("keep_run") == F.col("run")) & (F.col("keep_pos") == F.col("pos")))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+    return out, path
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay; all columns as they are. Rows repeated whole become one."""
-    found = exact_dedup(docs, id_col, text_col)
+    found, path = _grouped(docs, id_col, text_col, RADIX)
     told = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("some"), F.min("kept").alias("every"))
     id_, sha, some, own, own_sha, place = unused(docs, "_id", "_sha", "_some", "_own", "_own_sha", "_place")
     told, _ = written(told.where(~F.col("every")).select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha), F.col("some").alias(some)), "copies")
+    drop(docs.sparkSession, path)
     maybe, surely = split_by_ids(docs, told.select(id_), id_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     mine = maybe.withColumns({own: F.col(id_col).cast("long"), own_sha: F.sha2(F.translate(text, BLANKS.decode(), "").cast("binary"), 256)})

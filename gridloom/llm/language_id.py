@@ -159,7 +159,8 @@ def identify(docs: DataFrame, modulus: int = 4, held_out: int = 2, sample_rows:
     those without a letter, and for all rows if there is nothing to learn from;
     score is otherwise the share of the chosen language. Null ids count as
     empty text in the fold and are returned as null; repeated rows are judged
-    alike; source and other columns are never read.
+    alike; source and other columns are never read. Of languages of equal loss
+    the first by name is chosen.
     """
     spark = docs.sparkSession
     let_workers_import(spark)

@@ -308,7 +308,7 @@ def _local_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record(schema, nodes, [find(x) for x in nodes])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """(node, component) for the nodes of edges(one, two): all but a component's smallest node.
 
     Rounds of stars: within partitions by union-find, then across them. Each
@@ -316,6 +316,7 @@ def components(edges: DataFrame) -> DataFrame:
     it in a join that can be split, so that a node with very many neighbours is
     no bottleneck. Every round is a written table; it ends when the edges are
     stars: no node has two smaller ones, and none that has one is itself one.
+    paths: gets the last table's path, which the result reads.
     """
     spark, before = edges.sparkSession, None
     edges = edges.select(F.greatest("one", "two").alias("one"), F.least("one", "two").alias("two")).where("one <> two")
@@ -333,6 +334,8 @@ def components(edges: DataFrame) -> DataFrame:
         ends = edges.select(F.inline(F.array(F.struct(F.col("one").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("two").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
         count = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
         if count.where("up > 1 or (up > 0 and down > 0)").isEmpty():
+            if paths is not None:
+                paths.append(path)
             return edges.select(F.col("one").alias("node"), F.col("two").alias("component"))
 
 
@@ -343,12 +346,18 @@ class _Run:
         self.spark, self.width, self.percent = docs.sparkSession, width, percent
         let_workers_import(self.spark)
         self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.signed, _ = written(self.texts.mapInArrow(_sign(width), _SIGNED), "minhash")
+        self.paths: list[str] = []  # of tables that the result reads
+        self.signed = self.kept(self.texts.mapInArrow(_sign(width), _SIGNED), "minhash")
         one = self.signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "a", "b", "low")).alias("s"))
-        self.classes, _ = written(one.select(F.col("s.doc_id").alias("id"), "s.n", "digest", "s.a", "s.b", "s.low"), "classes")
+        self.classes = self.kept(one.select(F.col("s.doc_id").alias("id"), "s.n", "digest", "s.a", "s.b", "s.low"), "classes")
 
-    def candidates(self) -> DataFrame:
-        """Pairs (one, two) of classes, and members (bucket, one) of the buckets set aside."""
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = written(df, name)
+        self.paths.append(path)
+        return table
+
+    def candidates(self) -> tuple[DataFrame, str]:
+        """Pairs (one, two) of classes, and members (bucket, one) of the buckets set aside; written."""
         # smaller sets reach the similarity only if they are equal. A band's salt is its own, so that the
         # members of a hot group meet other leaders in each band and their stars join
         fewest = -(-self.percent // (100 - self.percent)) if self.percent < 100 else 1
@@ -359,21 +368,23 @@ class _Run:
             "band", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id", "band"), F.col("parts")).cast("int")).alias("salt"), "id", "n", "b"
         )
         dealt = rows.repartition("band", "salt").sortWithinPartitions("band", "salt")
-        return written(dealt.mapInArrow(_collide(self.percent), _FOUND), "collisions")[0]
+        return written(dealt.mapInArrow(_collide(self.percent), _FOUND), "collisions")
 
-    def texts_of(self, ids: DataFrame) -> DataFrame:
+    def texts_of(self, ids: DataFrame) -> tuple[DataFrame, str]:
         """(doc_id, text) of the documents in ids; written."""
         texts = split_by_ids(self.texts.where("text is not null"), ids, "doc_id")[0]
-        return written(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")[0]
+        return written(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def links(self, pairs: DataFrame) -> tuple[DataFrame, str]:
         """Of candidate pairs (one, two) those that the full sets confirm; written."""
         low = self.classes.select("id", "low")
         met = pairs.join(low.withColumnsRenamed({"id": "one", "low": "low1"}), "one").join(low.withColumnsRenamed({"id": "two", "low": "low2"}), "two").select("one", "two", "low1", "low2")
-        near, _ = written(met.mapInArrow(_agree(LEAST_AGREEMENT), "one long, two long"), "near")
-        texts = self.texts_of(near.select(F.explode(F.array("one", "two")).alias("doc_id")).distinct())
+        near, near_at = written(met.mapInArrow(_agree(LEAST_AGREEMENT), "one long, two long"), "near")
+        texts, texts_at = self.texts_of(near.select(F.explode(F.array("one", "two")).alias("doc_id")).distinct())
         both = near.join(texts.withColumnsRenamed({"doc_id": "two", "text": "text2"}), "two").join(texts.withColumnsRenamed({"doc_id": "one", "text": "text1"}), "one").select("one", "two", "text1", "text2")
-        return written(both.mapInArrow(_confirm(self.percent, self.width), "one long, two long"), "links")[0]
+        found = written(both.mapInArrow(_confirm(self.percent, self.width), "one long, two long"), "links")
+        drop(self.spark, near_at, texts_at)
+        return found
 
     def across(self, aside: DataFrame, found: DataFrame) -> DataFrame:
         """Links between components among the members of the buckets set aside; written.
@@ -393,7 +404,7 @@ class _Run:
         if members.isEmpty():
             drop(self.spark, path)
             return self.spark.createDataFrame([], "one long, two long")
-        texts = self.texts_of(members.select(F.col("one").alias("doc_id")))
+        texts, texts_at = self.texts_of(members.select(F.col("one").alias("doc_id")))
         counts = texts.mapInArrow(_frequencies(self.width), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
         often = np.zeros(BINS, np.int64)
         often[[r["bin"] for r in counts]] = [r["n"] for r in counts]
@@ -407,8 +418,9 @@ class _Run:
         room = (100 + self.percent) * F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) >= self.percent * (F.col("n1") + F.col("n2"))
         pairs = small.join(large, "shingle").where((F.col("component1") != F.col("component2")) & order & sizes & room)
         pairs = pairs.select(F.least("one1", "one2").alias("one"), F.greatest("one1", "one2").alias("two")).distinct()
-        links = self.links(pairs)
-        drop(self.spark, path, places)
+        links, links_at = self.links(pairs)
+        self.paths.append(links_at)
+        drop(self.spark, path, places, texts_at)
         return links
 
 
@@ -476,18 +488,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     kept. Rows repeated whole are one document, each of them returned. Other
     columns are not read. No rows give no rows.
     """
-    run = _Run(docs, id_col, text_col, width, percent)
-    found = run.candidates()
-    edges = run.links(found.where("bucket is null").select("one", "two").distinct())
-    labels = components(edges)
+    return _labelled(_Run(docs, id_col, text_col, width, percent))
+
+
+def _labelled(run: _Run) -> DataFrame:
+    """The result of a search; run.paths are the tables that it reads."""
+    found, found_at = run.candidates()
+    edges, edges_at = run.links(found.where("bucket is null").select("one", "two").distinct())
+    labels = components(edges, run.paths)
     aside = found.where("bucket is not null").select("bucket", "one").distinct()
     more = run.across(aside, labels)
+    drop(run.spark, found_at, edges_at)
     classes = run.classes.select("id", "digest").join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     if not more.isEmpty():
         # components join components: those are few
         first = more.join(labels.withColumnRenamed("node", "one"), "one", "left").select(F.coalesce("component", "one").alias("one"), "two")
         joined = first.join(labels.withColumnRenamed("node", "two"), "two", "left").select("one", F.coalesce("component", "two").alias("two"))
-        merged = components(joined).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        merged = components(joined, run.paths).select(F.col("node").alias("component"), F.col("component").alias("to"))
         classes = classes.join(merged, "component", "left").select("digest", F.coalesce("to", "component").alias("component"))
     joined = run.signed.select("doc_id", "n", "digest").join(classes, "digest", "left")
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
@@ -499,7 +516,9 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = PERCENT, id
 
     Documents that are linked with nothing stay, so do rows without an id.
     """
-    gone, _ = written(near_duplicates(docs, width, percent, id_col, text_col).where(~F.col("kept")).select("doc_id"), "near-copies")
+    run = _Run(docs, id_col, text_col, width, percent)
+    gone, _ = written(_labelled(run).where(~F.col("kept")).select("doc_id"), "near-copies")
+    drop(run.spark, *run.paths)
     return without(docs, gone, id_col)
 
 

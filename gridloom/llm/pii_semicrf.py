@@ -453,7 +453,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spans as ``kind:start:end`` joined by commas, and all spans so joined (code
     points, end exclusive). Null text counts as empty and has none. Null ids
     pass through, repeated rows are read each, other columns are not read, no
-    rows give no rows. Without a field one is trained on docs.
+    rows give no rows. Without a field one is trained on docs. Of paths of equal
+    score to a token and label, that whose last segment begins last is taken, then
+    that with the smaller label before (none, then the kinds as listed).
     """
     let_workers_import(docs.sparkSession)
     field = train(docs, text_col) if field is None else field

@@ -170,7 +170,9 @@ def pack_documents(docs: DataFrame, path: str = BYTE_BPE, end_id: int = END_ID,
     padded length) and step_group. Each id is in exactly one piece. Null text
     counts as empty: only the end id. Null ids are returned as null, repeated
     rows are packed each, texts of any length are packed whole; other columns
-    are not read; no rows give no rows.
+    are not read; no rows give no rows. Of remainders of one length the one that
+    came last is taken first, so which sequence a piece is in depends on the
+    order and partitioning of the rows; that each id is in one does not.
     """
     let_workers_import(docs.sparkSession)
 

@@ -152,11 +152,12 @@ class Stretches:
     def _names(self) -> np.ndarray:
         """64-bit hashes, never 0; equal stretches have equal hashes."""
         out = self.size.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
-        rows, k = np.flatnonzero(self.n > 0), 0
+        full = self.n > 0
+        self.head = np.where(full, self.part(slice(None), 0), np.uint64(0)) if len(out) else np.zeros(0, np.uint64)
+        out = np.where(full, mix64(out * np.uint64(0x9E3779B97F4A7C15) ^ self.head), out)
+        rows, k = np.flatnonzero(self.n > 8), 1
         while len(rows):
-            every = len(rows) == len(out)
-            own = slice(None) if every else rows
-            out[own] = mix64(out[own] * np.uint64(0x9E3779B97F4A7C15) ^ self.part(own, k))
+            out[rows] = mix64(out[rows] * np.uint64(0x9E3779B97F4A7C15) ^ self.part(rows, k))
             k += 1
             rows = rows[self.n[rows] > 8 * k]
         out[out == 0] = 1
@@ -165,7 +166,7 @@ class Stretches:
     def take(self, rows: np.ndarray) -> Stretches:
         """Some of the stretches; the bytes are shared."""
         out = object.__new__(Stretches)
-        out.data, out.size, out.start, out.at, out.n, out.names = self.data, self.size[rows], self.start[rows], self.at[rows], self.n[rows], self.names[rows]
+        out.data, out.size, out.start, out.at, out.n, out.names, out.head = self.data, self.size[rows], self.start[rows], self.at[rows], self.n[rows], self.names[rows], self.head[rows]
         return out
 
     def text(self, i: int) -> bytes:
@@ -178,8 +179,8 @@ class Stretches:
 
     def same(self, rows: np.ndarray, other: Stretches, at: np.ndarray) -> np.ndarray:
         """Whether stretch rows[i] is other's stretch at[i], for each i."""
-        out = self.size[rows] == other.size[at]
-        left, k = np.flatnonzero(out & (self.n[rows] > 0)), 0
+        out = (self.size[rows] == other.size[at]) & (self.head[rows] == other.head[at])
+        left, k = np.flatnonzero(out & (self.n[rows] > 8)), 1
         while len(left):
             out[left] = equal = self.part(rows[left], k) == other.part(at[left], k)
             k += 1
@@ -215,7 +216,8 @@ class WordStore:
             out[rows[right]] = at[right]
             key[hit[right]] = 0
             go = go[key != 0]
-            slot[go] = (slot[go] + 1) & int(mask)
+            if len(go):
+                slot[go] = (slot[go] + 1) & int(mask)
         return out
 
     def _insert(self, names: np.ndarray, numbers: np.ndarray) -> None:
@@ -240,7 +242,7 @@ class WordStore:
         kind = np.int32 if len(mine.data) < 1 << 31 else np.int64
         mine.at, mine.size = np.concatenate([mine.at, first + size]).astype(kind), np.concatenate([mine.size, words.size]).astype(kind)
         mine.n = np.where(mine.size > WIDE, 32, mine.size).astype(np.int8)
-        mine.names = np.concatenate([mine.names, words.names])
+        mine.names, mine.head = np.concatenate([mine.names, words.names]), np.concatenate([mine.head, words.head])
         names = words.names
         if 2 * len(self) > len(self.keys):
             while 2 * len(self) > 1 << self.bits:

@@ -7,6 +7,7 @@ import os
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable
 from pathlib import Path
@@ -77,8 +78,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Tables that were written and not dropped yet, the oldest first.
-_WRITTEN: dict[str, None] = {}
+#: Tables that were written and not dropped yet, the oldest first, with the thread that wrote them.
+_WRITTEN: dict[str, int] = {}
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
@@ -90,7 +91,7 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFr
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
-    _WRITTEN[path] = None
+    _WRITTEN[path] = threading.get_ident()
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -105,11 +106,11 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 def tables_written() -> list[str]:
-    """The tables that this process wrote and didn't drop, the oldest first."""
-    return list(_WRITTEN)
+    """The tables that this thread wrote and didn't drop, the oldest first; other threads may still read theirs."""
+    return [path for path, thread in _WRITTEN.items() if thread == threading.get_ident()]
 
 
 def drop_written(spark: SparkSession, keep: Iterable[str] = ()) -> None:
-    """Delete all tables that this process wrote, but for some: for when the results that read them are stored."""
+    """Delete all tables that this thread wrote, but for some: for when the results that read them are stored."""
     keep = set(keep)
     drop(spark, *(p for p in tables_written() if p not in keep))

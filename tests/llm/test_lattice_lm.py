@@ -96,6 +96,39 @@ def test_words_that_a_sum_of_powers_confuses(docs_of):
     assert {r["n_known"] for r in got if r["held_out"]} == {1} and {r["n_known"] for r in got if not r["held_out"]} == {2}
 
 
+def test_scores_against_plain_expectation_maximisation(docs_of, lattice):
+    """Two rounds by enumerating every segmentation of every word."""
+    texts = ["the tin", "at the inn", "Nit", "a tint", None, "then the ten"] * 2
+    rows = list(enumerate(texts))
+    words = [(t or "").lower().encode().split() for t in texts]
+    counts = Counter(w for (i, _), ws in zip(rows, words) if train(i) for w in ws)
+    ends = sum(train(i) for i, _ in rows)
+    number = {p: k for k, p in enumerate(lattice.pieces)}
+
+    def segmentations(rest):
+        if not rest:
+            yield []
+        for k in range(1, len(rest) + 1):
+            if rest[:k] in number:
+                for tail in segmentations(rest[k:]):
+                    yield [number[rest[:k]], *tail]
+
+    every = {w: list(segmentations(b" " + w)) for ws in words for w in ws}
+    weights = lattice.first_guess
+    for _ in range(2):
+        total = np.full(len(lattice.pieces) + 1, 0.01)
+        for w, c in counts.items():
+            shares = [math.exp(sum(weights[x] for x in s)) for s in every[w]]
+            for s, share in zip(every[w], shares):
+                for x in s:
+                    total[x] += c * share / sum(shares)
+        total[-1] += ends
+        weights = np.log(total / total.sum())
+    score = lambda ws: (sum(math.log(sum(math.exp(sum(weights[x] for x in s)) for s in every[w])) for w in ws) + weights[-1]) / math.log(10)
+    got = {r["doc_id"]: r["score"] for r in score_documents(docs_of(rows), rounds=2).collect()}
+    assert got == {i: pytest.approx(score(ws)) for (i, _), ws in zip(rows, words)}
+
+
 def test_learning_helps_held_out_text(spark, docs_of):
     rows = [(i, f"word{i % 7} likes tokens and token{i % 5}") for i in range(200)]
     first = {r["doc_id"]: r["score"] for r in score_documents(docs_of(rows), rounds=0).collect()}

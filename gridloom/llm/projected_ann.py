@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import first_of_each, record
+from gridloom.llm.common import record
 from gridloom.session import drop, let_workers_import, written
 
 DIMS = 8
@@ -37,8 +37,10 @@ CERTAINTY = 0.98
 LEAF_ROWS = 64
 #: Vectors in a partition, about.
 PART_ROWS = 16_384
-#: Vectors of each width that the top of the tree is made from.
-SAMPLE_ROWS = 16_384
+#: Vectors that the top of the tree is made from, about; chosen by the hash of id and vector.
+SAMPLE_ROWS = 1 << 17
+#: Sampled vectors of a partition at least: bounds the number of partitions.
+LEAST_SAMPLED = 16
 QUERY_BLOCK = 4096
 #: Leaves verified between two stopping tests.
 STEP = 8
@@ -247,11 +249,15 @@ def searches(vectors: DataFrame, k: int, every: int, id_col: str, vector_col: st
     rows, rows_at = written(rows, "vectors")
     sizes = {r["width"]: r["n"] for r in rows.groupBy("width").agg(F.count("*").alias("n")).collect()}
     tops: dict[int, Top] = {}
-    samples: dict[int, list] = {w: [] for w in sizes}
-    for r in first_of_each(rows.withColumn("hash", F.xxhash64("vec_id")), "width", ["hash", "vec_id"], SAMPLE_ROWS).mapInArrow(_projected(dims), "width int, low array<double>").collect():
-        samples[r["width"]].append(r["low"])
+    every_ = 1 << 30
+    share = min(every_, SAMPLE_ROWS * every_ // max(1, sum(sizes.values())))
+    sample = rows.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(every_)) < share).mapInArrow(_projected(dims), "width int, low array<double>").limit(2 * SAMPLE_ROWS).toArrow()
+    sampled = sample.column("width").to_numpy()
+    low = _rows(sample.column("low"), len(sampled)) if len(sampled) else np.zeros((0, dims))
     for width, n in sizes.items():
-        tops[width] = top_of_tree(np.array(samples.pop(width)), math.ceil(n / part_rows))
+        own = low[sampled == width]
+        tops[width] = top_of_tree(own, min(math.ceil(n / part_rows), max(1, len(own) // LEAST_SAMPLED)))
+    del sample, sampled, low
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("width", pa.int32()), ("part", pa.int32()), ("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("low", pa.list_(pa.float64()))])
@@ -271,16 +277,20 @@ def searches(vectors: DataFrame, k: int, every: int, id_col: str, vector_col: st
         own = boxes.setdefault(r["width"], ([], [], []))
         own[0].append(r["part"]), own[1].append([r[f"low{i}"] for i in range(dims)]), own[2].append([r[f"high{i}"] for i in range(dims)])
     boxes = {w: tuple(map(np.array, own)) for w, own in boxes.items()}
-    keys = ["width", "part", "block"]
+    keys = ["width", "part", "chunk", "block"]
     # of equal vectors, the smallest ids are all that any search can return
     same = Window.partitionBy("width", "part", "v").orderBy("vec_id")
     data, data_at = written(placed.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).drop("place"), "data")
 
+    # a partition that came out too large is searched in chunks
+    chunks, chunks_at = written(data.groupBy("width", "part").agg(F.ceil(F.count("*") / (2 * part_rows)).cast("int").alias("chunks")), "chunks")
+
     def visit(asked: DataFrame) -> DataFrame:
-        """asked: width, part, query_id, v, low, worst."""
-        blocks = asked.groupBy("width", "part").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))
-        dealt = asked.join(blocks, ["width", "part"]).withColumn("block", F.pmod(F.xxhash64("query_id", "v"), F.col("blocks")).cast("int")).drop("blocks")
-        met = data.join(blocks, ["width", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        """asked: width, part, query_id, v, low, worst. A row for each query, partition and chunk of it."""
+        blocks = asked.groupBy("width", "part").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks")).join(chunks, ["width", "part"])
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        dealt = asked.join(blocks, ["width", "part"]).withColumn("block", F.pmod(F.xxhash64("query_id", "v"), F.col("blocks")).cast("int")).withColumn("chunk", each("chunks")).drop("blocks", "chunks")
+        met = data.join(blocks, ["width", "part"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).withColumn("block", each("blocks")).drop("blocks", "chunks")
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             n, m = left.num_rows, right.num_rows
@@ -294,7 +304,10 @@ def searches(vectors: DataFrame, k: int, every: int, id_col: str, vector_col: st
         return met.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(run, _OWN)
 
     first = placed.where(wanted).select("width", "part", F.col("vec_id").alias("query_id"), "v", "low", F.lit(float("inf")).alias("worst"))
-    own, _ = written(visit(first), "own-partition")
+    found, found_at = written(visit(first), "own-chunks")
+    near = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("scores", "ids")))), 1, k)
+    merged = found.groupBy("width", "part", "query_id", "v").agg(near.alias("near"), F.sum("read").alias("read"))
+    own, _ = written(merged.select("width", "part", "query_id", "v", F.col("near.ids").alias("ids"), F.col("near.scores").alias("scores"), "read"), "own-partition")
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The other partitions whose boxes don't pass the stopping test, for each query."""
@@ -315,7 +328,7 @@ def searches(vectors: DataFrame, k: int, every: int, id_col: str, vector_col: st
 
     sent, sent_at = written(own.mapInArrow(others, "width int, part int, query_id long, v array<double>, low array<double>, worst double"), "visits")
     more, _ = written(visit(sent), "other-partitions")
-    drop(spark, rows_at, placed_at, data_at, sent_at)
+    drop(spark, rows_at, placed_at, data_at, chunks_at, found_at, sent_at)
     return own.unionByName(more)
 
 

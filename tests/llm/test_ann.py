@@ -68,6 +68,17 @@ def test_a_vector_of_very_many_rows(spark):
         assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for i in range(7) if i != q][:5]
 
 
+def test_large_partitions_are_searched_in_chunks(spark, monkeypatch):
+    """A sample too small to split the vectors: one partition in many chunks gives the same neighbours."""
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 20)
+    rng = np.random.default_rng(11)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(700, 8)).tolist())]
+    got = ann.nearest(table(spark, rows), k=6, part_rows=40, query_block=3, certainty=0.9999).collect()
+    for q, want in exact(rows, 6).items():
+        own = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [i for _, i in own] == [i for _, i in want] and [n for n, _ in own] == list(range(1, 7))
+
+
 def test_the_share_of_vectors_read_falls_with_the_table(spark):
     """Vectors on a surface of few dimensions: a query reads little more of a table eight times as large."""
     rng, read = np.random.default_rng(6), []

@@ -1,6 +1,7 @@
 """Command lines for the whole flows: ``python -m gridloom COMMAND ...``.
 
-register: warp sources to targets by external programs. segment: fuse warped
+align: move a cohort to a template by its headers. register: warp sources to
+targets by external programs. segment: fuse warped
 sources. evaluate: overlap with the truth. clean: replace labels by their
 neighbours'. labels: the structure and tissue tables of a cohort. Folders hold
 a folder for each subject; subjects come in natural order.
@@ -83,6 +84,15 @@ def register(spark: SparkSession, args: argparse.Namespace) -> list[tuple[str, s
     return sorted((r["target"], r["name"]) for r in found.select("target", "name").collect())
 
 
+def align(spark: SparkSession, args: argparse.Namespace) -> list[str]:
+    """Align a cohort to a template by rewriting headers, into out/S. Returns the subjects done."""
+    subjects = [s for s in files.local_dirs(args.root) if os.path.isfile(os.path.join(args.root, s, args.image_name)) and os.path.isfile(os.path.join(args.root, s, args.labels_name))]
+    rows = [(s, os.path.join(args.root, s, args.image_name), os.path.join(args.root, s, args.labels_name)) for s in chosen(spark, subjects, args)]
+    programs = Programs(registration_dir=args.programs, threads=args.threads)
+    found = registration.prealign(_paths(spark, rows, "name string, image string, labels string"), args.template, args.out, programs)
+    return sorted((r["name"] for r in found.collect()), key=subjects.index)
+
+
 def segment(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     """Segment subjects from warped sources: targets/S/image, warped/S/A/image and labels. Returns the subjects done.
 
@@ -172,6 +182,10 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--targets", help="folder of targets; without, the atlases are targets of each other")
     r.add_argument("--threads", type=int, default=8)
     cohort_options(r)
+    a = command("align", align, ("--root", "--template", "--out"), image_name="image.nii.gz", labels_name="labels.nii.gz", programs="/usr/local/bin")
+    a.add_argument("--threads", type=int, default=8)
+    a.add_argument("--limit", type=int)
+    a.add_argument("--task-id", type=int)
     s = command("segment", segment, ("--targets", "--warped", "--results", "--structures", "--tissues"), **names)
     s.add_argument("--batch", type=int, default=16)
     cohort_options(s)

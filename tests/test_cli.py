@@ -65,7 +65,7 @@ at = lambda name: args[args.index(name) + 1]
 if "bad" in at("-flo"):
     sys.exit("cannot register")
 if "-aff" in args and "-cpp" not in args:
-    open(at("-aff"), "w").write("1")
+    open(at("-aff"), "w").write("2 0 0 4\\n0 1 0 0\\n0 0 1 0\\n0 0 0 1\\n")
 if "-cpp" in args:
     open(at("-aff")).read()
     open(at("-cpp"), "w").write("1")
@@ -94,6 +94,21 @@ def test_register_leaves_subjects_out(spark, tmp_path):
         cli.main([*base, "--task-id", "9"], spark)
 
 
+def test_align_rewrites_headers(spark, tmp_path):
+    (tmp_path / "bin").mkdir()
+    (tmp_path / "bin" / "reg_aladin").write_text(PROGRAM.replace("{python}", sys.executable))
+    (tmp_path / "bin" / "reg_aladin").chmod(0o755)
+    box = np.arange(8, dtype="i2").reshape(2, 2, 2)
+    for k in (1, 2):
+        write(tmp_path / "in" / f"s{k}" / "image.nii.gz", box.astype("f4"), np.diag([float(k), 1, 1, 1]))
+        write(tmp_path / "in" / f"s{k}" / "labels.nii.gz", box, np.diag([float(k), 1, 1, 1]))
+    argv = ["align", "--root", str(tmp_path / "in"), "--template", str(tmp_path / "mni.nii.gz"), "--out", str(tmp_path / "out"), "--programs", str(tmp_path / "bin")]
+    assert cli.main(argv, spark) == ["s1", "s2"]
+    for name in ("image", "labels"):
+        header, got = nifti.read_volume(str(tmp_path / "out" / "s2" / f"{name}_mni_aligned.nii.gz"), labels=True)
+        assert np.allclose(header.affine, np.linalg.inv([[2, 0, 0, 4], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1.0]]) @ np.diag([2.0, 1, 1, 1])) and np.array_equal(got[..., 0], box)
+
+
 def test_clean(spark, tmp_path):
     box = np.full((4, 4, 4), 5, "i2")
     box[1, 1, 1], box[3, 3, 3] = 1001, 2001

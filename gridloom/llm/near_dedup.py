@@ -2,13 +2,13 @@
 
 A document is the set of its distinct word shingles. Documents with the same
 words in the same order (by a digest of 32 bytes) form a class; the rest works
-on one row a class. Classes with the same set are linked like others. MinHash values are made
-for two small collections only, each of TABLES bands of ROWS values. A hash
-table's key is the combination of one band of the first collection with one of
-the second, which gives TABLES * TABLES tables of 2 * ROWS values each from
-2 * TABLES * ROWS values in all, about the square root of what separate tables
-would need. A pair of similarity s meets with probability
-(1 - (1 - s^ROWS)^TABLES)^2, which is 0.99998 at 0.8.
+on one row a class. Classes with the same set are linked like others. MinHash
+values are made for two small collections only, each of TABLES bands of ROWS
+values. A hash table's key is the combination of one band of the first
+collection with one of the second, which gives TABLES * TABLES tables of
+2 * ROWS values each from 2 * TABLES * ROWS values in all, about the square root
+of what separate tables would need. A pair of similarity s meets with
+probability (1 - (1 - s^ROWS)^TABLES)^2, which is 0.99998 at 0.8.
 
 Rows are dealt by their band of the first collection; the tables of the second
 are made where they arrive. Bands that very many share are split by a salt, and

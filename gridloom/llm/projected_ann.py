@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import record
 from gridloom.session import drop, let_workers_import, written
 
-DIMS = 8
-CERTAINTY = 0.98
+DIMS = 16
+CERTAINTY = 0.95
 LEAF_ROWS = 64
 #: Vectors in a partition, about.
 PART_ROWS = 16_384
@@ -42,8 +42,8 @@ SAMPLE_ROWS = 1 << 17
 #: Sampled vectors of a partition at least: bounds the number of partitions.
 LEAST_SAMPLED = 16
 QUERY_BLOCK = 4096
-#: Leaves verified between two stopping tests.
-STEP = 8
+#: Leaves verified before the first stopping test; then twice as many each time, up to MOST_STEP.
+STEP, MOST_STEP = 8, 64
 
 _PLACED = "width int, part int, vec_id long, v array<double>, low array<double>"
 _OWN = "width int, part int, query_id long, v array<double>, ids array<long>, scores array<double>, read long"
@@ -144,7 +144,7 @@ def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Euclidean distances in double precision, also where squares would overflow or vanish."""
     apart = vectors - query
     with np.errstate(over="ignore", invalid="ignore"):
-        out = np.sqrt((apart * apart).sum(axis=1))
+        out = np.sqrt(np.einsum("ij,ij->i", apart, apart))
         odd = np.flatnonzero(~((out > 1e-140) & (out < 1e150)))
         if len(odd):
             scale = np.abs(apart[odd]).max(axis=1)
@@ -176,19 +176,20 @@ def search(
         bound = box_bounds(low, high, point)
         near = np.argsort(bound, kind="stable")
         best_ids, best, read = np.empty(0, np.int64), np.empty(0), 0
-        for at in range(0, len(near), STEP):
-            if bound[near[at]] > limit * most * most:
-                break
-            rows = np.concatenate([np.arange(*bounds[leaf]) for leaf in near[at : at + STEP]])
+        at, step = 0, STEP
+        while at < len(near) and not bound[near[at]] > limit * most * most:
+            rows = np.concatenate([np.arange(*bounds[leaf]) for leaf in near[at : at + step].tolist()])
+            at, step = at + step, min(2 * step, MOST_STEP)
             rows = rows[ids[rows] != own]
             if np.isfinite(most):
                 away = projected[rows] - point
-                rows = rows[~((away * away).sum(axis=1) > limit * most * most)]
+                rows = rows[~(np.einsum("ij,ij->i", away, away) > limit * most * most)]
             apart = distances(vectors[rows], query)
             read += len(rows)
             best, best_ids = np.concatenate([best, apart]), np.concatenate([best_ids, ids[rows]])
             if len(best) > k:
-                keep = np.lexsort((best_ids, best))[:k]
+                near_k = np.flatnonzero(best <= np.partition(best, k - 1)[k - 1])  # with all ties
+                keep = near_k[np.lexsort((best_ids[near_k], best[near_k]))[:k]]
                 best, best_ids = best[keep], best_ids[keep]
             if len(best) == k:
                 most = min(most, best.max())

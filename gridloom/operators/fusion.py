@@ -30,9 +30,15 @@ def weighted_vote(votes: DataFrame, keys: list[str], label: str = "label", weigh
 
     A voxel where every source says background, or where all weights sum to
     zero, gets background with 1 instead. NaN and null weights count as 0.
+
+    Weights are added from the smallest up, so that a sum doesn't depend on the
+    order of rows, and labels with the same weights tie exactly.
     """
     w = F.coalesce(F.nanvl(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
-    summed = votes.repartition(*keys).groupBy(*keys, F.col(label).alias("label")).agg(F.sum(w).alias(out))
+    rows = votes.select(*keys, F.col(label).alias("label"), w.alias("_w")).repartition(*keys).sortWithinPartitions(*keys, "label", "_w")
+    # a maximum of structs makes Spark aggregate by sorting, which keeps that order also where a hash table would spill
+    total = F.when(F.max(F.struct("_w")).isNotNull(), F.sum("_w"))
+    summed = rows.groupBy(*keys, "label").agg(total.alias(out))
     own = Window.partitionBy(*keys)
     marked = summed.select(
         *keys, "label", out, F.max("label").over(own).alias("_most"), F.sum(out).over(own).alias("_sum"), F.row_number().over(own.orderBy("label")).alias("_n"), F.min("label").over(own).alias("_least")

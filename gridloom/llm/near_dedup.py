@@ -17,10 +17,11 @@ Tables' buckets of at most SMALL members give all their pairs; larger ones give
 links to one leader, and their members are set aside. Candidates of too unequal
 size, or of clearly lower similarity by their whole signatures, are dropped, and
 the others are confirmed on the full sets of shingles of their texts. After
-components are found, the buckets set aside whose members lie in several
-components are taken up again: their members are joined by their rarest
-shingles, which finds every pair that is similar enough (prefix filter), so that
-no link is lost that a leader didn't show.
+components are found, those set aside in a band whose members lie in several
+components are taken up again: they are joined by their rarest shingles, which
+finds every pair that is similar enough (prefix filter), so that no link is lost
+that a leader didn't show. A member is set aside once a band, in a row for all of
+the band's tables: at most TABLES rows, however large a group it is in.
 """
 
 from __future__ import annotations
@@ -153,16 +154,15 @@ def _bucket_pairs(group: np.ndarray, salted: np.ndarray, ids: np.ndarray, sizes:
     """Candidates (least id first), and (bucket, id) of the members of large buckets and of all in salted bands.
 
     group: number of the band's value, whole: the same as a hash without salt,
-    salted: the value is split over several tasks.
+    salted: the value is split over several tasks. Members set aside are named
+    by whole, not by their table's key, so that tables of one band repeat them.
     """
     n = len(ids)
     least = (sizes * percent + 99) // 100
     orders, popularity, pairs, aside = [], np.zeros(n, np.int64), [], []
 
-    def set_aside(rows: np.ndarray, j: int) -> None:
-        with np.errstate(over="ignore"):
-            name = mix64(whole[rows] * np.uint64(0x9E3779B97F4A7C15) + (np.uint64(j) << np.uint64(40)) + keys[rows, j])
-        aside.append((name.view(np.int64), ids[rows]))
+    def set_aside(rows: np.ndarray) -> None:
+        aside.append((whole[rows].view(np.int64), ids[rows]))
 
     split = np.flatnonzero(salted)
     for j in range(TABLES):
@@ -175,7 +175,7 @@ def _bucket_pairs(group: np.ndarray, salted: np.ndarray, ids: np.ndarray, sizes:
         popularity[order] += members - 1
         large = members > 1
         orders.append(order[large])
-        set_aside(split, j)
+        set_aside(split)
     rank = np.floor(4 * np.log2(popularity + 1.0)).astype(np.int64)
     for j in range(TABLES):
         rows = orders[j]
@@ -193,7 +193,7 @@ def _bucket_pairs(group: np.ndarray, salted: np.ndarray, ids: np.ndarray, sizes:
             pairs.append((rows[at - back], rows[at]))
         at = np.flatnonzero((members > SMALL) & (place > 0))
         pairs.append((rows[at - place[at]], rows[at]))
-        set_aside(rows[(members > SMALL) & ~salted[rows]], j)
+        set_aside(rows[(members > SMALL) & ~salted[rows]])
     out = []
     for x, y in pairs:
         ok = (sizes[x] >= least[y]) & (sizes[y] >= least[x]) & (ids[x] != ids[y])
@@ -221,9 +221,15 @@ def _collide(percent: int):
             for at in range(0, len(one), 50_000):
                 part = slice(at, at + 50_000)
                 yield record(_FOUND_ARROW, pa.nulls(len(one[part]), pa.int64()), one[part], two[part])
-            for name, ids_ in aside:
-                if len(name):
-                    yield record(_FOUND_ARROW, name, ids_, pa.nulls(len(name), pa.int64()))
+            # a member once a band, in however many tables its buckets were large
+            name, ids_ = (np.concatenate(x) for x in zip(*aside))
+            order = np.lexsort((ids_, name))
+            name, ids_ = name[order], ids_[order]
+            keep = np.concatenate([[True], (name[1:] != name[:-1]) | (ids_[1:] != ids_[:-1])]) if len(name) else np.zeros(0, bool)
+            name, ids_ = name[keep], ids_[keep]
+            for at in range(0, len(name), 50_000):
+                part = slice(at, at + 50_000)
+                yield record(_FOUND_ARROW, name[part], ids_[part], pa.nulls(len(name[part]), pa.int64()))
 
         have = 0
         for batch in batches:
@@ -357,7 +363,7 @@ class _Run:
         return table
 
     def candidates(self) -> tuple[DataFrame, str]:
-        """Pairs (one, two) of classes, and members (bucket, one) of the buckets set aside; written."""
+        """Pairs (one, two) of classes, and members (bucket, one) of the bands' values set aside; written."""
         # smaller sets reach the similarity only if they are equal. A band's salt is its own, so that the
         # members of a hot group meet other leaders in each band and their stars join
         fewest = -(-self.percent // (100 - self.percent)) if self.percent < 100 else 1
@@ -387,9 +393,9 @@ class _Run:
         return found
 
     def across(self, aside: DataFrame, found: DataFrame) -> DataFrame:
-        """Links between components among the members of the buckets set aside; written.
+        """Links between components among the members set aside; written.
 
-        Buckets of one component, or of one member, are settled. The members of
+        Bands' values of one component, or of one member, are settled. The members of
         the others are joined by their rarest shingles: with shingles ordered by
         how frequent they are among these members, a pair that is similar enough
         has a shingle in common among the first of the smaller set (index) and

@@ -175,3 +175,12 @@ def test_same_shingles_in_another_order_are_linked(docs_of):
     words = [f"w{i}" for i in range(30)]
     turned = words[10:] + words[:11]
     same(docs_of, [(1, " ".join(words + words[:1])), (2, " ".join(turned)), (3, " ".join(words + words[:1]).upper())], 2)
+
+
+def test_a_member_is_set_aside_once_a_band():
+    n = 4 * nd.SMALL
+    band, salt, ids, sizes = np.full(n, 7, np.int64), np.full(n, -1, np.int32), np.arange(n, dtype=np.int64), np.full(n, 50, np.int64)
+    keys = np.arange(nd.TABLES, dtype=np.uint32).tobytes()
+    batch = nd.pa.RecordBatch.from_arrays([*map(nd.pa.array, (band, salt, ids, sizes)), nd.pa.array([keys] * n)], names=["band", "salt", "id", "n", "b"])
+    found = [r for b in nd._collide(80)(iter([batch])) for r in b.to_pylist() if r["bucket"] is not None]
+    assert sorted((r["bucket"], r["one"]) for r in found) == [(7, i) for i in range(n)]

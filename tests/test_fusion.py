@@ -42,6 +42,11 @@ def test_the_same_weights_in_another_order_tie(spark):
     assert [(r["label"], r["rank"]) for r in fusion.ranked_labels(p, ["v"], 3).orderBy("rank").collect()] == [(5, 1), (7, 2)]
 
 
+def test_the_top_of_the_same_weights_is_the_smaller_label(spark):
+    votes = spark.createDataFrame([(1, 5, w) for w in (0.3, 0.2, 0.1)] + [(1, 7, w) for w in (0.1, 0.2, 0.3)], "v int, label int, weight double").coalesce(1)
+    assert fusion.top_label(fusion.weighted_vote(votes, ["v"]), ["v"]).first()["label"] == 5
+
+
 def prior(spark, rows, structures, mask=None, **kw):
     df = spark.createDataFrame([(1, label, p, mask) for label, p in rows], "v int, label int, p double, mask int")
     s = spark.createDataFrame(structures, "label int, tissues array<int>")

@@ -1,12 +1,15 @@
 """Vote, prior, class map and constrained choice on small cases worked out by hand."""
 
 import itertools
+import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import fusion
+from gridloom.plans import registry
 
 
 def vote(spark, votes):
@@ -47,6 +50,20 @@ def test_the_top_of_the_same_weights_is_the_smaller_label(spark):
     assert fusion.top_label(fusion.weighted_vote(votes, ["v"]), ["v"]).first()["label"] == 5
 
 
+def test_the_query_on_repeated_keys_is_that_of_exact_sums(spark, tmp_path):
+    # each copy of an order's lines shifts their labels by one, so that many labels get the same weights in different orders
+    rng = random.Random(3)
+    lines = [(order, rng.randrange(700), rng.randrange(11) / 100) for order in range(300) for _ in range(4)]
+    lines = [(order, part + 701 * copy, d) for copy in range(6) for order, part, d in lines]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_discount double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    sums = {}
+    for order, part, d in lines:
+        own = sums.setdefault(order, {})
+        own[part % 7] = own.get(part % 7, 0) + Fraction(math.exp(-(d * 10) / 0.15))
+    expected = {order: min(own, key=lambda label: (-own[label], label)) for order, own in sums.items()}
+    assert {r["voxel"]: r["label"] for r in registry.QUERIES["weighted_vote_argmax"](spark, str(tmp_path)).collect()} == expected
+
+
 def prior(spark, rows, structures, mask=None, **kw):
     df = spark.createDataFrame([(1, label, p, mask) for label, p in rows], "v int, label int, p double, mask int")
     s = spark.createDataFrame(structures, "label int, tissues array<int>")
